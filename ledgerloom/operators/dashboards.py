@@ -99,11 +99,9 @@ def top_series(points: DataFrame, keep: int = s.DEFAULTS.named_series) -> DataFr
         F.coalesce("named", F.lit("Other")).alias("series"), "month", "value"
     )
     folded = labels.groupBy("series", "month").agg(F.sum("value").alias("value"))
-    # Months of the report by at most keep + 1 series.
-    months = points.select("month").distinct()
-    names = labels.select("series").distinct()
-    grid = names.groupBy().agg(F.collect_set("series").alias("all_series"))
-    slots = months.crossJoin(F.broadcast(grid)).select("month", F.explode("all_series").alias("series"))
+    # Every month meets the at most keep + 1 names, read as one small scalar.
+    names = labels.agg(F.collect_set("series")).scalar()
+    slots = points.select("month").distinct().select("month", F.explode(names).alias("series"))
     return slots.join(folded, ["series", "month"], "left").select(
         "series", "month", F.coalesce("value", F.lit(0)).cast(TOTAL).alias("value")
     )

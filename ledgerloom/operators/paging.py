@@ -98,13 +98,13 @@ def recent_activity(runs: DataFrame, jobs: DataFrame, limit: int = s.DEFAULTS.re
         .select(
             F.lit(kind).alias("kind"),
             F.col(key).alias("item_id"),
-            F.col("completed_at").cast("timestamp_ntz").alias("at"),
+            F.col("completed_at").cast("timestamp_ntz").alias("happened_at"),
         )
-        .orderBy(F.col("at").desc(), F.col("item_id").asc())
+        .orderBy(F.col("happened_at").desc(), F.col("item_id").asc())
         .limit(limit)
         for kind, key, frame in (("ingestion_run", "run_id", runs), ("recategorization_job", "job_id", jobs))
     ]
-    return sides[0].unionByName(sides[1]).orderBy(F.col("at").desc(), F.col("kind"), F.col("item_id")).limit(limit)
+    return sides[0].unionByName(sides[1]).orderBy(F.col("happened_at").desc(), F.col("kind"), F.col("item_id")).limit(limit)
 
 
 def current_activity(runs: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -113,11 +113,11 @@ def current_activity(runs: DataFrame, jobs: DataFrame) -> DataFrame:
         frame.where(F.col("status") == "running").select(
             F.lit(kind).alias("kind"),
             F.col(key).alias("item_id"),
-            F.col(started).cast("timestamp_ntz").alias("at"),
+            F.col(started).cast("timestamp_ntz").alias("happened_at"),
         )
         for kind, key, started, frame in (
             ("ingestion_run", "run_id", "started_at", runs),
             ("recategorization_job", "job_id", "created_at", jobs),
         )
     ]
-    return sides[0].unionByName(sides[1]).orderBy(F.col("at").desc(), F.col("kind"), F.col("item_id")).limit(1)
+    return sides[0].unionByName(sides[1]).orderBy(F.col("happened_at").desc(), F.col("kind"), F.col("item_id")).limit(1)

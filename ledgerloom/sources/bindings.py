@@ -62,6 +62,19 @@ SELECT transaction_id, transaction_date, description, amount, direction,
        CASE WHEN transaction_id % 50 = 7 THEN CAST(amount * 1.3 AS DECIMAL(18,2)) END AS printed_sgd,
        custkey, state, priority
 FROM base""",
+    # For the SQL side only; Spark resolves conversions with the FX operators.
+    "converted": """
+SELECT l.*, CASE WHEN printed_sgd IS NOT NULL THEN 'printed' WHEN currency = 'SGD' THEN 'identity'
+                 WHEN f.rate_date = transaction_date THEN 'exact' WHEN f.rate_date IS NOT NULL THEN 'asof'
+                 ELSE 'unavailable' END AS conversion_source,
+       CAST(CASE WHEN printed_sgd IS NOT NULL THEN printed_sgd WHEN currency = 'SGD' THEN amount
+                 ELSE round_even(CAST(amount AS DECIMAL(18,2)) * f.rate, 2) END AS DECIMAL(18,2)) AS converted_sgd,
+       printed_sgd IS NULL AND currency <> 'SGD' AND f.rate_date IS NOT NULL
+         AND f.rate_date < transaction_date AS is_approximate,
+       printed_sgd IS NULL AND currency <> 'SGD' AND f.rate_date IS NULL AS is_unavailable,
+       CASE WHEN printed_sgd IS NULL AND currency <> 'SGD' THEN f.rate END AS fx_rate
+FROM ledger l ASOF LEFT JOIN fx_rates f
+  ON l.currency = f.from_currency AND l.transaction_date >= f.rate_date""",
     "categories": """
 SELECT lower(name) AS category_id, name, name <> 'LARGE' AS active, name = 'UNSURE' AS is_reserved
 FROM (SELECT DISTINCT p_type AS name FROM {part}
