@@ -1,29 +1,21 @@
-"""Nearest neighbours and similar pairs of vectors, exact, in blocks.
+"""Nearest neighbours and similar groups of vectors, exact.
 
-Equal vectors are searched once. The distinct vectors are assigned to the nearest of a few
-pivots; with unit vectors the triangle inequality tells which cells can hold a neighbour of
-which, so other cell pairs are never compared. Cells larger than a block are split, hence a
-hot cell is many tasks. A task multiplies two blocks and emits at most ``k`` rows per query
+Equal vectors are searched once. Blocks of distinct vectors within reach of each other are
+multiplied (see :mod:`ledgerloom.operators.blocks`); a task emits at most ``k`` rows per query
 or a spanning set of links, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom import settings as s
+from ledgerloom.operators.blocks import SLACK, block_join, points_of
 from ledgerloom.runtime import cut
 
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
-SLACK = 1e-6
-
 
 def unit_vector(vector: Column) -> Column:
     as_double = F.transform(vector, lambda x: x.cast("double"))
@@ -36,108 +28,41 @@ def _has_direction(vector: Column) -> Column:
 
 
 def distinct_vectors(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """(rep, members, unit, extra): one row per distinct vector, named by its smallest id."""
+    """(rep, members, point, size, vector, extra): one row per distinct vector, named by its smallest id."""
     keys = ["vector", *(extra or [])]
     groups = rows.where(_has_direction(F.col("vector"))).groupBy(*keys)
-    return groups.agg(F.min("id").alias("rep"), F.count("*").alias("members")).withColumn(
-        "unit", unit_vector(F.col("vector"))
+    return groups.agg(F.min("id").alias("rep"), F.count("*").alias("members")).withColumns(
+        {"point": unit_vector(F.col("vector")), "size": F.lit(1.0)}
     )
 
 
-def _pivots(vectors: DataFrame) -> np.ndarray:
-    """At most MAX_PIVOTS vectors in hash order: bounded, and the same on every run."""
-    wanted = int(np.clip(vectors.count() // 512, 1, MAX_PIVOTS))
-    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("unit").collect()
-    return np.array([r["unit"] for r in rows], dtype=np.float64)
-
-
-def _assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot (``cell``) and the distance to it (``away``)."""
+def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of unit vectors; it orders pairs like the cosine does."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
-    def nearest(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            units = np.stack(pdf["unit"].to_numpy())
-            scores = units @ pivots.T
-            cell = scores.argmax(axis=1)
-            best = scores[np.arange(len(cell)), cell]
-            yield pdf.assign(cell=cell.astype("int32"), away=np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best)))
 
-    schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
-    return vectors.mapInPandas(nearest, schema)
+def _score_reach(min_score: float):
+    """Pairs below the score are of no interest."""
+    limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_score)))
+    return lambda q, i, apart: np.full(apart.shape, limit)
 
 
-def _cell_facts(assigned: DataFrame, pivots: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per cell its size, radius and k smallest distances to the pivot (cells x k values at most)."""
-    sizes, radius = np.zeros(pivots, dtype=np.int64), np.full(pivots, -1.0)
-    for row in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():
-        sizes[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-    closest = np.full((pivots, max(k, 1)), np.inf)
-    if k:
-        ranked = assigned.selectExpr("cell", "away", "row_number() OVER (PARTITION BY cell ORDER BY away) AS place")
-        for row in ranked.where(F.col("place") <= k).collect():
-            closest[row["cell"], row["place"] - 1] = row["away"]
-    return sizes, radius, closest
+def _top_reach(k: int, min_score: float | None):
+    """Per query cell, a distance within which k index vectors are certain to lie."""
 
+    def reach(q, i, apart):
+        upper = (q.radius[:, None, None] + apart[:, :, None] + i.closest[None, :, :]).reshape(len(apart), -1)
+        limit = np.sort(upper, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(apart), np.inf)
+        if min_score is not None:
+            limit = np.minimum(limit, np.sqrt(max(0.0, 2.0 - 2.0 * min_score)))
+        return np.repeat(limit[:, None], len(apart), axis=1)
 
-def _block_join(
-    queries: DataFrame,
-    index: DataFrame,
-    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    schema: str,
-    k: int = 0,
-    min_score: float | None = None,
-) -> DataFrame:
-    """Run ``kernel`` on every pair of blocks that can hold a pair within reach."""
-    spark = queries.sparkSession
-    pivots = _pivots(index)
-    q, i = cut(_assign(queries, pivots)), cut(_assign(index, pivots))
-    n = len(pivots)
-    q_size, q_radius, _ = _cell_facts(q, n, 0)
-    i_size, i_radius, closest = _cell_facts(i, n, k)
-    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
-    reach = np.full(n, np.inf)
-    if k:
-        upper = (q_radius[:, None, None] + apart[:, :, None] + closest[None, :, :]).reshape(n, -1)
-        reach = np.sort(upper, axis=1)[:, k - 1] if upper.shape[1] >= k else reach
-    if min_score is not None:
-        reach = np.minimum(reach, np.sqrt(max(0.0, 2.0 - 2.0 * min_score)))
-    gap = apart - q_radius[:, None] - i_radius[None, :]
-    wanted = (gap <= reach[:, None] + SLACK) & (q_size[:, None] > 0) & (i_size[None, :] > 0)
-    q_parts = np.maximum(1, -(-q_size // BLOCK_ROWS))
-    i_parts = np.maximum(1, -(-i_size // BLOCK_ROWS))
-    pairs = [
-        (int(a), int(b), int(q_parts[a]), int(i_parts[b])) for a, b in zip(*np.nonzero(wanted), strict=True)
-    ]
-    # At most MAX_PIVOTS squared small rows.
-    plan = F.broadcast(spark.createDataFrame(pairs, "q_cell int, i_cell int, q_parts int, i_parts int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("q_parts")).cast("int")
-    q_blocks = (
-        q.join(plan, q["cell"] == plan["q_cell"])
-        .withColumn("q_part", own)
-        .withColumn("i_part", F.explode(F.sequence(F.lit(0), F.col("i_parts") - 1)))
-        .drop("cell", "away", "q_parts", "i_parts")
-    )
-    theirs = F.pmod(F.xxhash64("rep"), F.col("i_parts")).cast("int")
-    i_blocks = (
-        i.join(plan, i["cell"] == plan["i_cell"])
-        .withColumn("i_part", theirs)
-        .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-        .drop("cell", "away", "q_parts", "i_parts")
-    )
-    block = ["q_cell", "q_part", "i_cell", "i_part"]
-    empty = pd.DataFrame({f: pd.Series(dtype="object") for f in T._parse_datatype_string(schema).names})
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return kernel(left, right) if len(left) and len(right) else empty
-
-    return q_blocks.groupBy(*block).cogroup(i_blocks.groupBy(*block)).applyInPandas(run, schema)
+    return reach
 
 
 def _top_kernel(k: int, min_score: float | None):
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        scores = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+        scores = points_of(left) @ points_of(right).T
         reps = right["rep"].to_numpy()
         width = min(k, scores.shape[1])
         cutoff = np.partition(scores, scores.shape[1] - width, axis=1)[:, scores.shape[1] - width]
@@ -171,13 +96,14 @@ def nearest_neighbours(
     more = k + 1
     q_reps = cut(distinct_vectors(queries))
     i_reps = cut(distinct_vectors(index))
-    blocks = _block_join(
-        q_reps.select("rep", "unit"),
-        i_reps.select("rep", "unit"),
+    blocks = block_join(
+        q_reps.select("rep", "point", "size"),
+        i_reps.select("rep", "point", "size"),
+        chord,
+        _top_reach(more, min_score),
         _top_kernel(more, min_score),
         "q_rep long, i_rep long, score double",
         more,
-        min_score,
     )
     ranked = blocks.selectExpr(
         "*", "row_number() OVER (PARTITION BY q_rep ORDER BY score DESC, i_rep) AS place"
@@ -209,7 +135,7 @@ def nearest_neighbours(
 
 
 def _boosted_scores(left: pd.DataFrame, right: pd.DataFrame, boost: float) -> np.ndarray:
-    scores = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+    scores = points_of(left) @ points_of(right).T
     labels = pd.concat([left["category"], right["category"], left["llm_category"], right["llm_category"]])
     codes = pd.factorize(labels.where(labels != s.UNSURE))[0]
     a, b = len(left), len(right)
@@ -261,7 +187,7 @@ def _labelled_reps(groups: DataFrame) -> DataFrame:
     return cut(distinct_vectors(groups, ["category", "llm_category"]).drop("vector"))
 
 
-REP_COLUMNS = ("rep", "members", "unit", "category", "llm_category")
+REP_COLUMNS = ("rep", "members", "point", "size", "category", "llm_category")
 
 
 def similar_partners(
@@ -273,9 +199,9 @@ def similar_partners(
     category raises the score. The pairs themselves are not listed: they grow quadratically.
     """
     reps = _labelled_reps(groups).select(*REP_COLUMNS)
-    found = _block_join(
-        reps, reps, _partner_kernel(threshold, boost), "rep long, n long, partner long, score double",
-        min_score=threshold - boost,
+    found = block_join(
+        reps, reps, chord, _score_reach(threshold - boost), _partner_kernel(threshold, boost),
+        "rep long, n long, partner long, score double",
     )
     per_rep = found.groupBy("rep").agg(F.sum("n").alias("n"), F.max("score").alias("score"))
     twins = reps.select("rep", "members", "category", "llm_category").join(per_rep, "rep", "left")
@@ -297,8 +223,8 @@ def similar_links(
     """(a, b): links that connect exactly the groups which a chain of similar pairs connects."""
     same = ["vector", "category", "llm_category"]
     reps = _labelled_reps(groups).select(*REP_COLUMNS)
-    across = _block_join(
-        reps, reps, _link_kernel(threshold, boost), "a long, b long", min_score=threshold - boost
+    across = block_join(
+        reps, reps, chord, _score_reach(threshold - boost), _link_kernel(threshold, boost), "a long, b long"
     )
     named = distinct_vectors(groups, ["category", "llm_category"]).select(*same, "rep")
     within = (

@@ -1,92 +1,93 @@
-"""Exact join of similar texts without comparing all pairs.
-
-Two texts of lengths la and lb that score at least T differ by at most
-D(la, lb) = (100 - T)(la + lb) / 100 insertions and deletions. Cut the left text into more
-segments than the largest D it can meet: at least one segment then survives unchanged in the
-right text, shifted by a bounded offset. Left segments and right substrings meet in an
-equi-join; the segments a pair shares are counted, and only pairs with enough of them are
-scored. No pair is lost, and texts are joined once per distinct text, not per row.
+"""Exact join of similar texts.
+
+The indel distance of two texts is at least the L1 distance of their character counts, and a
+score of T allows a distance of (100 - T)(la + lb) / 100 at most. Texts are therefore joined
+as points of character counts: blocks out of reach are skipped, pairs are tested on the
+counts, and only the few that pass are scored. Each distinct text takes part once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import settings as s
-from ledgerloom.functions.indel import indel_score
-
-
-def _budget(la: str, lb: str, t: int) -> str:
-    return f"(({100 - t} * ({la} + {lb})) div 100)"
-
-
-def _longest(length: str, t: int) -> str:
-    return f"(({200 - t} * {length}) div {t})"
-
-
-def _shortest(length: str, t: int) -> str:
-    return f"(({t} * {length} + {200 - t} - 1) div {200 - t})"
-
-
-def _segments(length: str, t: int) -> str:
-    return f"({_budget(length, _longest(length, t), t)} + 1)"
-
-
-def left_segments(texts: DataFrame, t: int) -> DataFrame:
-    """(key, la, i, seg): each text cut into equally long segments."""
-    return (
-        texts.selectExpr("key", "length(key) AS la")
-        .where("la > 0")
-        .selectExpr("key", "la", f"{_segments('la', t)} AS n")
-        .selectExpr("key", "la", "n", "explode(sequence(0, n - 1)) AS i")
-        .selectExpr(
-            "key AS left_key",
-            "la",
-            "i",
-            "substring(key, CAST((i * la) div n AS INT) + 1,"
-            " CAST(((i + 1) * la) div n - (i * la) div n AS INT)) AS seg",
-        )
-    )
-
-
-def right_probes(texts: DataFrame, t: int) -> DataFrame:
-    """(key, la, i, seg): substrings that segment i of a left text of length la can survive as."""
-    sized = texts.selectExpr("key", "length(key) AS lb").where("lb > 0")
-    lengths = sized.selectExpr("key", "lb", f"explode(sequence({_shortest('lb', t)}, {_longest('lb', t)})) AS la")
-    cuts = lengths.selectExpr(
-        "key", "lb", "la", f"{_segments('la', t)} AS n", f"{_budget('la', 'lb', t)} AS d"
-    ).selectExpr("key", "lb", "la", "n", "d", "explode(sequence(0, n - 1)) AS i")
-    placed = cuts.selectExpr(
-        "key", "la", "i",
-        "CAST(((i + 1) * la) div n - (i * la) div n AS INT) AS len",
-        "CAST(greatest(0, (i * la) div n - (d - (lb - la)) div 2) AS INT) AS low",
-        "CAST(least(lb - (((i + 1) * la) div n - (i * la) div n),"
-        " (i * la) div n + (d + (lb - la)) div 2) AS INT) AS high",
-    ).where("low <= high")
-    return placed.selectExpr(
-        "key AS right_key", "CAST(la AS INT) AS la", "i",
-        "explode(array_distinct(transform(sequence(low, high), p -> substring(key, p + 1, len)))) AS seg",
-    )
+from ledgerloom.functions.indel import lcs_lengths
+from ledgerloom.operators.blocks import block_join, points_of
+from ledgerloom.runtime import cut
+
+CLASSES = 64
+SCORED_AT_ONCE = 100_000
+
+
+def _with_counts(batches):
+    for pdf in batches:
+        counts = np.zeros((len(pdf), CLASSES), dtype=np.float64)
+        for row, text in enumerate(pdf["rep"]):
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % CLASSES
+            counts[row] = np.bincount(codes, minlength=CLASSES)
+        yield pdf.assign(point=list(counts), size=counts.sum(axis=1))
+
+
+def _points(texts: DataFrame) -> DataFrame:
+    reps = texts.select(F.col("key").alias("rep")).distinct()
+    return cut(reps.mapInPandas(_with_counts, "rep string, point array<double>, size double"))
+
+
+def count_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L1 distances, one character class at a time."""
+    total = np.zeros((len(a), len(b)), dtype=np.float64)
+    for column in range(a.shape[1]):
+        x, y = a[:, column], b[:, column]
+        if x.any() or y.any():
+            total += np.abs(x[:, None] - y[None, :])
+    return total
+
+
+def _score_kernel(threshold: int):
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = points_of(left).astype(np.int32), points_of(right).astype(np.int32)
+        total = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
+        gaps = np.zeros(total.shape, dtype=np.int32)
+        for column in np.flatnonzero(a.any(axis=0) | b.any(axis=0)):
+            gaps += np.abs(a[:, column, None] - b[None, :, column])
+        rows, cols = np.nonzero(gaps * 100 <= (100 - threshold) * total)
+        l_text, r_text = left["rep"].to_numpy(), right["rep"].to_numpy()
+        found = []
+        for start in range(0, len(rows), SCORED_AT_ONCE):
+            r, c = rows[start : start + SCORED_AT_ONCE], cols[start : start + SCORED_AT_ONCE]
+            both = total[r, c].astype(np.float64)
+            common = lcs_lengths(list(l_text[r]), list(r_text[c]))
+            keep = 200 * common >= threshold * both
+            share = np.divide(both - 2 * common, both, out=np.zeros_like(both), where=both > 0)
+            found.append(
+                pd.DataFrame(
+                    {"left_key": l_text[r], "right_key": r_text[c], "score": (1.0 - share) * 100.0}
+                )[keep]
+            )
+        if not found:
+            return pd.DataFrame({"left_key": [], "right_key": [], "score": []})
+        return pd.concat(found, ignore_index=True)
+
+    return kernel
 
 
 def similar_texts(left: DataFrame, right: DataFrame, threshold: int = s.DEFAULTS.text_threshold) -> DataFrame:
     """All (left_key, right_key, score) with an indel score of at least ``threshold``.
 
-    Both inputs have one text column ``key``, free of repeats. Empty texts equal each other only.
+    Both inputs have a text column ``key``. Two empty texts are equal.
     """
-    t = threshold
-    candidates = (
-        left_segments(left, t)
-        .join(right_probes(right, t), ["la", "i", "seg"])
-        .groupBy("left_key", "right_key", "la")
-        .agg(F.count("*").alias("shared"))
-        .where(f"shared >= {_segments('la', t)} - {_budget('la', 'length(right_key)', t)}")
-        .select("left_key", "right_key")
-    )
-    scored = candidates.withColumn("score", indel_score(F.col("left_key"), F.col("right_key")))
-    empties = left.where("key = ''").select(F.col("key").alias("left_key")).join(
-        right.where("key = ''").select(F.col("key").alias("right_key")),
-        F.col("left_key") == F.col("right_key"),
+
+    def reach(q, i, _apart):
+        return (100 - threshold) / 100.0 * (q.largest[:, None] + i.largest[None, :])
+
+    return block_join(
+        _points(left),
+        _points(right),
+        count_distance,
+        reach,
+        _score_kernel(threshold),
+        "left_key string, right_key string, score double",
     )
-    return scored.where(F.col("score") >= t).unionByName(empties.withColumn("score", F.lit(100.0)))
