@@ -116,14 +116,13 @@ def parse_statement_json(spark, sf):
 
 @query("needs_day_month_swap", f", {DOCS} SELECT statement_id, swapped FROM docs WHERE block % 10 <> 4")
 def needs_day_month_swap(spark, sf):
-    return parsed(spark, sf).where("valid").select("statement_id", "swapped")
+    flag = F.when(F.col("valid"), F.array("swapped"))
+    return parsed(spark, sf).select("statement_id", F.explode(flag).alias("swapped"))
 
 
 @query("swap_day_month", f", {DOCS} SELECT statement_id, CAST(pos AS INTEGER) AS pos, d AS transaction_date FROM seen WHERE valid")
 def swap_day_month(spark, sf):
-    return parsed(spark, sf).where("valid").select(
-        "statement_id", F.posexplode("lines").alias("pos", "line")
-    ).select("statement_id", "pos", "line.transaction_date")
+    return ex.valid_lines(parsed(spark, sf)).select("statement_id", "pos", "line.transaction_date")
 
 
 ORDER_WORDS = r"(?i)\b(payment|interest\s+charge|late\s+(charge|fee|payment)|cash\s+rebate|annual\s+fee|ccy\s+conversion\s+fee)\b"
@@ -152,19 +151,15 @@ repaired AS (SELECT s.*, CASE WHEN s.swapped THEN s.d ELSE f.fixed END AS final
 
 @query("repair_ambiguous_dates", f", {REPAIR} SELECT statement_id, CAST(pos AS INTEGER) AS pos, final AS transaction_date FROM repaired", recursive=True)
 def repair_ambiguous_dates(spark, sf):
-    fixed = ex.repair_statements(parsed(spark, sf)).where("valid")
-    return fixed.select("statement_id", F.posexplode("lines").alias("pos", "line")).select(
-        "statement_id", "pos", "line.transaction_date"
-    )
+    lines = ex.valid_lines(ex.repair_statements(parsed(spark, sf)))
+    return lines.select("statement_id", "pos", "line.transaction_date")
 
 
 @query("anchor_excluded_lines", f", {REPAIR} SELECT statement_id, CAST(pos AS INTEGER) AS pos, final AS transaction_date FROM repaired WHERE description = 'PAYMENT BY INTERNET'", recursive=True)
 def anchor_excluded_lines(spark, sf):
-    fixed = ex.repair_statements(parsed(spark, sf)).where("valid")
-    return (
-        fixed.select("statement_id", F.posexplode("lines").alias("pos", "line"))
-        .where(F.col("line.description") == "PAYMENT BY INTERNET")
-        .select("statement_id", "pos", "line.transaction_date")
+    lines = ex.valid_lines(ex.repair_statements(parsed(spark, sf)))
+    return lines.where(F.col("line.description") == "PAYMENT BY INTERNET").select(
+        "statement_id", "pos", "line.transaction_date"
     )
 
 
@@ -205,8 +200,6 @@ FROM run_files GROUP BY run_id""")(lambda spark, sf: ex.run_counters(bind(spark,
 
 # --- labels ----------------------------------------------------------------------------------
 
-RULE = "abs(hash(statement_id)) % 91"
-
 
 def batch_answers(spark, sf):
     """Answers per chunk: some cut short, some with a value off the list, some no list at all."""

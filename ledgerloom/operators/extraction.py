@@ -89,6 +89,13 @@ def repair_statements(parsed: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFr
     ).drop("prepared", "anchor")
 
 
+def valid_lines(statements: DataFrame) -> DataFrame:
+    """(statement_id, pos, line) of the statements that pass the schema check."""
+    return statements.select(
+        "statement_id", F.posexplode(F.when(F.col("valid"), F.col("lines"))).alias("pos", "line")
+    )
+
+
 def gate_statements(repaired: DataFrame, as_of: dt.date, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
     """Drops balance lines and future dates, then names the first failing check."""
     kept = F.filter(
@@ -106,9 +113,16 @@ def gate_statements(repaired: DataFrame, as_of: dt.date, cfg: s.Settings = s.DEF
 
 
 def accepted_lines(gated: DataFrame) -> DataFrame:
-    """Ledger lines of the accepted statements, in print order (``pos``)."""
-    return gated.where(F.col("reason").isNull()).select(
-        "statement_id", "bank_name", "currency", F.posexplode("lines").alias("pos", "line")
+    """Ledger lines of the accepted statements, in print order (``pos``).
+
+    Rejected statements explode to nothing. A filter would be pushed below the parsing and
+    evaluate it once more per reference.
+    """
+    return gated.select(
+        "statement_id",
+        "bank_name",
+        "currency",
+        F.posexplode(F.when(F.col("reason").isNull(), F.col("lines"))).alias("pos", "line"),
     ).select(
         "statement_id",
         "pos",
