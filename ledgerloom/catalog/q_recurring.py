@@ -37,21 +37,20 @@ def _nearest(day: str) -> str:
 
 
 CYCLE = "CASE WHEN frequency = 'monthly' THEN strftime(due, '%Y-%m') ELSE strftime(due, '%Y') END"
-DAYS = "(SELECT DISTINCT transaction_date AS d FROM ledger)"
+# Every ledger row with the due rule of some payment, by customer.
+RULES = """SELECT transaction_id, transaction_date AS d, CASE WHEN custkey % 3 = 0 THEN 'annual' ELSE 'monthly' END AS frequency,
+  CASE WHEN custkey % 3 = 0 THEN CAST(custkey % 12 + 1 AS INTEGER) END AS due_month,
+  CAST(custkey % 31 + 1 AS INTEGER) AS due_day FROM ledger"""
 
 
-def _payment_days(spark, sf):
-    days = ledger(spark, sf).select(F.col("transaction_date").alias("d")).distinct()
-    payments = bind(spark, sf, "payments")
-    return payments.join(days, F.dayofmonth("d") == F.pmod(F.col("due_day") + 3, F.lit(28)))
+def _rules(spark, sf):
+    return spark.sql(RULES.replace("FROM ledger", "FROM {src}"), src=ledger(spark, sf))
 
 
-@query("month_instance", f"""SELECT transaction_id, payment_id, {_clamped("date_trunc('month', transaction_date)", "due_day")} AS due
-FROM ledger JOIN payments USING (category_id) WHERE day(transaction_date) = 15""")
+@query("month_instance", f"""SELECT transaction_id, {_clamped("date_trunc('month', d)", "due_day")} AS due FROM ({RULES}) t""")
 def month_instance(spark, sf):
-    rows = ledger(spark, sf).where(F.dayofmonth("transaction_date") == 15)
-    due = dates.month_instance(dates.month_start(F.col("transaction_date")), F.col("due_day"))
-    return rows.join(bind(spark, sf, "payments"), "category_id").select("transaction_id", "payment_id", due.alias("due"))
+    due = dates.month_instance(dates.month_start(F.col("d")), F.col("due_day"))
+    return _rules(spark, sf).select("transaction_id", due.alias("due"))
 
 
 @query("add_months_ym", """SELECT transaction_id, strftime(date_trunc('month', transaction_date) + to_months(CAST(custkey % 30 - 15 AS INTEGER)), '%Y-%m') AS month
@@ -62,19 +61,16 @@ def add_months_ym(spark, sf):
     return ledger(spark, sf).select("transaction_id", dates.month_key(month).alias("month"))
 
 
-@query("nearest_due_date", f"SELECT payment_id, d, {_nearest('d')} AS due FROM payments JOIN {DAYS} x ON day(d) = (due_day + 3) % 28")
+@query("nearest_due_date", f"SELECT transaction_id, {_nearest('d')} AS due FROM ({RULES}) t")
 def nearest_due_date(spark, sf):
     due = dates.nearest_due_date(F.col("frequency"), F.col("due_month"), F.col("due_day"), F.col("d"))
-    return _payment_days(spark, sf).select("payment_id", "d", due.alias("due"))
+    return _rules(spark, sf).select("transaction_id", due.alias("due"))
 
 
-@query("cycle_period", f"""SELECT payment_id, d, {CYCLE} AS period FROM (
-  SELECT payment_id, d, frequency, {_nearest('d')} AS due FROM payments JOIN {DAYS} x ON day(d) = (due_day + 3) % 28) t""")
+@query("cycle_period", f"SELECT transaction_id, {CYCLE} AS period FROM (SELECT *, {_nearest('d')} AS due FROM ({RULES}) r) t")
 def cycle_period(spark, sf):
     due = dates.nearest_due_date(F.col("frequency"), F.col("due_month"), F.col("due_day"), F.col("d"))
-    return _payment_days(spark, sf).select(
-        "payment_id", "d", dates.cycle_period(F.col("frequency"), due).alias("period")
-    )
+    return _rules(spark, sf).select("transaction_id", dates.cycle_period(F.col("frequency"), due).alias("period"))
 
 
 STATUS = """CASE WHEN NOT is_trusted THEN 'pending'
