@@ -55,21 +55,22 @@ def _score_kernel(threshold: int):
             gaps += np.abs(a[:, column, None] - b[None, :, column])
         rows, cols = np.nonzero(gaps * 100 <= (100 - threshold) * total)
         l_text, r_text = left["rep"].to_numpy(), right["rep"].to_numpy()
-        found = []
+        found = [np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)]
         for start in range(0, len(rows), SCORED_AT_ONCE):
             r, c = rows[start : start + SCORED_AT_ONCE], cols[start : start + SCORED_AT_ONCE]
             both = total[r, c].astype(np.float64)
             common = lcs_lengths(list(l_text[r]), list(r_text[c]))
             keep = 200 * common >= threshold * both
             share = np.divide(both - 2 * common, both, out=np.zeros_like(both), where=both > 0)
-            found.append(
-                pd.DataFrame(
-                    {"left_key": l_text[r], "right_key": r_text[c], "score": (1.0 - share) * 100.0}
-                )[keep]
-            )
-        if not found:
-            return pd.DataFrame({"left_key": [], "right_key": [], "score": []})
-        return pd.concat(found, ignore_index=True)
+            part = r[keep], c[keep], (1.0 - share[keep]) * 100.0
+            found = [np.concatenate(pair) for pair in zip(found, part, strict=True)]
+        return pd.DataFrame(
+            {
+                "left_key": pd.Series(l_text[found[0]], dtype="object"),
+                "right_key": pd.Series(r_text[found[1]], dtype="object"),
+                "score": found[2],
+            }
+        )
 
     return kernel
 
