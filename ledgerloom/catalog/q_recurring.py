@@ -128,9 +128,8 @@ together AS (SELECT l.transaction_id, l.transaction_date, l.amount, p.payment_id
 def match_recurring_by_vectors(spark, sf):
     rows, payments = ledger(spark, sf), bind(spark, sf, "payments")
     vectors = bind(spark, sf, "embeddings")
-    slots = payments.select("payment_id").join(
-        vectors.agg(F.count("*").alias("n")), F.col("n") > 0
-    ).select("payment_id", (F.col("payment_id") % F.col("n")).alias("vec_id"))
+    n = vectors.agg(F.count("*")).scalar()
+    slots = payments.select("payment_id", (F.col("payment_id") % n).alias("vec_id"))
     index = slots.join(vectors, "vec_id").select(F.col("payment_id").alias("id"), F.col("embedding").alias("vector"))
     placed = bind(spark, sf, "ledger_vectors").select(
         # Row ids are set apart from payment ids: nothing here is its own neighbour.

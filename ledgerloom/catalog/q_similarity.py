@@ -15,6 +15,7 @@ from ledgerloom.functions.indel import indel_score
 from ledgerloom.operators import filters as flt
 from ledgerloom.operators import neighbours, similarity
 from ledgerloom.operators.textjoin import similar_texts
+from ledgerloom.runtime import cut
 from ledgerloom.settings import DEFAULTS
 from ledgerloom.sources.bindings import bind
 
@@ -127,8 +128,12 @@ def _with_vectors(spark, sf, rows):
     return rows.join(v, "transaction_id")
 
 
-def _index(spark, sf):
-    return _with_vectors(spark, sf, _candidates(spark, sf)).select(F.col("transaction_id").alias("id"), "vector")
+def _vector_inputs(spark, sf):
+    """Incoming rows with vectors, the index and the candidates, as stored tables."""
+    candidates = cut(_candidates(spark, sf))
+    incoming = cut(_with_vectors(spark, sf, _incoming(spark, sf)))
+    index = cut(_with_vectors(spark, sf, candidates).select(F.col("transaction_id").alias("id"), "vector"))
+    return incoming, index, candidates
 
 
 IN_RANGE = "(abs(i.amount - c.amount) <= 5 OR greatest(i.amount, c.amount) <= 4.0 * least(i.amount, c.amount))"
@@ -179,9 +184,7 @@ def _register_vector_match(name, cfg):
 
     @query(name, body + " SELECT transaction_id, match_id, match_category, match_source, round(score, 2) AS score FROM vector_best")
     def vector_match(spark, sf):
-        best = similarity.best_vector_match(
-            _with_vectors(spark, sf, _incoming(spark, sf)), _index(spark, sf), _candidates(spark, sf), cfg
-        )
+        best = similarity.best_vector_match(*_vector_inputs(spark, sf), cfg)
         return best.withColumn("score", F.round("score", 2))
 
 
@@ -212,9 +215,8 @@ def decide_category(spark, sf):
   SELECT * FROM text_best WHERE transaction_id NOT IN (SELECT transaction_id FROM vector_best))
 """ + _decision("either"))
 def categorize(spark, sf):
-    return similarity.categorize(
-        _with_vectors(spark, sf, _incoming(spark, sf)), _candidates(spark, sf), _index(spark, sf)
-    )
+    incoming, index, candidates = _vector_inputs(spark, sf)
+    return similarity.categorize(incoming, candidates, index)
 
 
 @query("select_best", f"""{KEYED}

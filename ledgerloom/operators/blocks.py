@@ -116,17 +116,21 @@ def block_join(
         ]
     if not pairs:
         return spark.createDataFrame([], schema)
+    block = ["q_cell", "q_part", "i_cell", "i_part"]
     # At most MAX_PIVOTS squared small rows.
     plan = F.broadcast(spark.createDataFrame(pairs, "q_cell int, i_cell int, q_parts int, i_parts int"))
-    block = ["q_cell", "q_part", "i_cell", "i_part"]
     # Fixed: the tasks are heavy for their bytes, adaptive coalescing would merge them.
     tasks = min(MAX_TASKS, sum(a * b for _, _, a, b in pairs))
 
     def blocks(side: DataFrame, own: str, other: str) -> DataFrame:
+        side = side.withColumnRenamed("cell", f"{own}_cell")
+        if n == 1:
+            parts = {f"{other}_cell": F.lit(0), "q_parts": F.lit(pairs[0][2]), "i_parts": F.lit(pairs[0][3])}
+            placed = side.withColumns(parts)
+        else:
+            placed = side.join(plan, f"{own}_cell")
         return (
-            side.withColumnRenamed("cell", f"{own}_cell")
-            .join(plan, f"{own}_cell")
-            .withColumn(f"{own}_part", F.pmod(F.xxhash64("rep"), F.col(f"{own}_parts")).cast("int"))
+            placed.withColumn(f"{own}_part", F.pmod(F.xxhash64("rep"), F.col(f"{own}_parts")).cast("int"))
             .withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
             .drop("away", "q_parts", "i_parts")
             .repartition(tasks, *block)

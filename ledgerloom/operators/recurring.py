@@ -72,7 +72,7 @@ def match_by_text(
     keyed = rows.select(
         token_key(F.upper("description")).alias("text_key"), "transaction_date", "transaction_id", "amount"
     )
-    firsts = (
+    firsts = cut(
         keyed.groupBy("text_key", "transaction_date")
         .agg(F.min(F.struct("transaction_id", "amount")).alias("first"))
         .select("text_key", "transaction_date", "first.*")
@@ -197,17 +197,14 @@ def cluster_heads(
     ``group_limit`` is never gathered in one task; its heads are found one after the other,
     each as a minimum over the amounts beyond the last head's range.
     """
-    amounts = rows.select("pattern", "cents").distinct()
+    amounts = cut(rows.select("pattern", "cents").distinct())
     sizes = amounts.groupBy("pattern").agg(F.count("*").alias("n"), F.min("cents").alias("head"))
-    small = sizes.where(F.col("n") <= group_limit).select("pattern")
-    result = (
-        amounts.join(small, "pattern", "left_semi")
-        .groupBy("pattern")
-        .applyInPandas(_heads_in_group(cfg), "pattern string, heads array<bigint>")
-    )
     front = cut(sizes.where(F.col("n") > group_limit).select("pattern", "head"))
+    schema = "pattern string, heads array<bigint>"
     if front.isEmpty():
-        return result
+        return amounts.groupBy("pattern").applyInPandas(_heads_in_group(cfg), schema)
+    small = amounts.join(front.select("pattern"), "pattern", "left_anti")
+    result = small.groupBy("pattern").applyInPandas(_heads_in_group(cfg), schema)
     large = cut(amounts.join(front.select("pattern"), "pattern", "left_semi"))
     chains = []
     while not front.isEmpty():
@@ -324,11 +321,16 @@ def detect_recurring(
 ) -> DataFrame:
     """New suggestions: unmatched rows by pattern, optionally merged by vectors, clustered by
     amount, kept when some cluster shows a monthly gap."""
-    rows = with_pattern(unmatched(ledger, matches)).where("pattern <> ''")
+    rows = cut(
+        with_pattern(unmatched(ledger, matches))
+        .where("pattern <> ''")
+        .select("transaction_id", "pattern", "transaction_date", "amount", "category", "llm_category")
+    )
     if vectors is not None:
         merged = merged_patterns(rows, vectors, cfg)
         rows = rows.join(merged, "pattern", "left").withColumn(
             "pattern", F.coalesce("merged", "pattern")
         ).drop("merged")
+    rows = rows.select("pattern", "transaction_date", "amount", "category")
     days = cluster_days(amount_clusters(rows, cfg))
     return one_suggestion_per_pattern(cluster_profiles(days, cfg), suggestions, cfg)

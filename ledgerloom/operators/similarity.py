@@ -13,6 +13,7 @@ from ledgerloom.functions.vectors import boosted
 from ledgerloom.operators.neighbours import nearest_neighbours
 from ledgerloom.operators.rangefirst import first_in_range
 from ledgerloom.operators.textjoin import similar_texts
+from ledgerloom.runtime import cut
 
 
 def match_key(description: Column) -> Column:
@@ -24,6 +25,15 @@ def _texts(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.col(column).alias("key")).distinct()
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    """Keys and amounts of the rows to match; read several times, so the texts are cleaned once."""
+    return cut(
+        rows.select(
+            "transaction_id", match_key(F.col("description")).alias("q_key"), cents(F.col("amount")).alias("q_cents")
+        )
+    )
+
+
 def _widest(cfg: s.Settings) -> Column:
     """Upper bound on the length of any amount interval that contains the item."""
     ratio, floor = int(cfg.amount_ratio) + 1, int(cfg.amount_floor * 100)
@@ -37,16 +47,16 @@ def best_text_match(incoming: DataFrame, candidates: DataFrame, cfg: s.Settings
     Texts are compared once per distinct key; the best candidate is found per distinct
     (key, amount), so a description that fills a third of the ledger stays one key here.
     """
-    asked = incoming.select(
-        "transaction_id", match_key(F.col("description")).alias("q_key"), cents(F.col("amount")).alias("q_cents")
-    )
-    known = candidates.select(
-        F.col("transaction_id").alias("match_id"),
-        match_key(F.col("description")).alias("c_key"),
-        (F.col("category_source") == s.MANUAL).alias("manual"),
-        cents(F.col("amount")).alias("cents"),
-        "category_name",
-        "category_source",
+    asked = _asked(incoming)
+    known = cut(
+        candidates.select(
+            F.col("transaction_id").alias("match_id"),
+            match_key(F.col("description")).alias("c_key"),
+            (F.col("category_source") == s.MANUAL).alias("manual"),
+            cents(F.col("amount")).alias("cents"),
+            "category_name",
+            "category_source",
+        )
     ).withColumn("reach", _widest(cfg))
     pairs = similar_texts(_texts(known, "c_key"), _texts(asked, "q_key"), cfg.text_threshold).select(
         F.col("left_key").alias("c_key"), F.col("right_key").alias("q_key"), "score"
@@ -165,14 +175,14 @@ def rescan(unsure: DataFrame, corrected: DataFrame, cfg: s.Settings = s.DEFAULTS
     first one that reaches the auto-apply score settles the row, later jobs do not see it,
     earlier weaker ones leave a pending proposal.
     """
-    asked = unsure.select(
-        "transaction_id", match_key(F.col("description")).alias("q_key"), cents(F.col("amount")).alias("q_cents")
-    )
-    jobs = corrected.where(F.col("category_source") == s.MANUAL).select(
-        "job_id",
-        match_key(F.col("description")).alias("c_key"),
-        cents(F.col("amount")).alias("cents"),
-        F.col("category_name").alias("proposed_category"),
+    asked = _asked(unsure)
+    jobs = cut(
+        corrected.where(F.col("category_source") == s.MANUAL).select(
+            "job_id",
+            match_key(F.col("description")).alias("c_key"),
+            cents(F.col("amount")).alias("cents"),
+            F.col("category_name").alias("proposed_category"),
+        )
     ).withColumn("reach", _widest(cfg))
     pairs = similar_texts(_texts(jobs, "c_key"), _texts(asked, "q_key"), cfg.text_threshold).select(
         F.col("left_key").alias("c_key"), F.col("right_key").alias("q_key"), "score"

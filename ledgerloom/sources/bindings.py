@@ -44,8 +44,8 @@ LEFT JOIN {part} p ON p.p_partkey = m.partkey""",
 SELECT cur AS from_currency, 'SGD' AS to_currency, d AS rate_date,
        CAST(CASE cur WHEN 'USD' THEN 1.30 ELSE 1.45 END
             + dayofyear(d) % 50 * 0.001 AS DECIMAL(18,8)) AS rate
-FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM {orders}) x
-CROSS JOIN (SELECT 'USD' AS cur UNION ALL SELECT 'EUR' AS cur) y
+FROM (SELECT DISTINCT 'USD' AS cur, CAST(o_orderdate AS DATE) AS d FROM {orders}
+      UNION ALL SELECT DISTINCT 'EUR' AS cur, CAST(o_orderdate AS DATE) AS d FROM {orders}) x
 WHERE dayofyear(d) % 3 = 0""",
     "ledger": """
 SELECT transaction_id, transaction_date, description, amount, direction,
@@ -150,8 +150,8 @@ SELECT vec_id, embedding, label, concat('group-', CAST(label AS VARCHAR(5))) AS
 FROM {embeddings}""",
     "ledger_vectors": """
 SELECT l.transaction_id, v.vec_id, v.embedding
-FROM (SELECT transaction_id, CAST(floor(transaction_id / 10) AS BIGINT) % n AS slot
-      FROM ledger CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c) l
+FROM (SELECT transaction_id, CAST(floor(transaction_id / 10) AS BIGINT) % (SELECT count(*) FROM {embeddings}) AS slot
+      FROM ledger) l
 JOIN {embeddings} v ON v.vec_id = l.slot""",
     "statement_lines": """
 SELECT concat(CAST(block AS VARCHAR(20)), '/', month, '/', CAST(volume AS VARCHAR(20))) AS statement_id,
