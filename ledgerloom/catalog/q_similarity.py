@@ -44,7 +44,20 @@ def token_sort_ratio(spark, sf):
     return similar_texts(keys, keys).select("left_key", "right_key", F.round("score", 6).alias("score"))
 
 
-DESCRIPTIONS = f"SELECT description AS d, {sql.token_key('description')} AS k FROM ledger"
+# The score itself, row by row: a matched row's cleaned text and the name of its payment.
+SCORED_ROWS = f"""SELECT m.match_id, {sql.token_key(sql.normalize_noise('l.description'))} AS a, {sql.token_key('upper(p.name)')} AS b
+  FROM matches m JOIN ledger l USING (transaction_id) JOIN payments p ON p.payment_id = m.payment_id"""
+
+
+@query("indel_score", f""", texts AS ({SCORED_ROWS}), {sql.pairs('scored', 'SELECT a AS k FROM texts', 'SELECT b AS k FROM texts', 0)}
+SELECT match_id, round(score, 6) AS score FROM texts JOIN scored ON l = a AND r = b""")
+def indel_score_rows(spark, sf):
+    matches, payments = bind(spark, sf, "matches"), bind(spark, sf, "payments")
+    rows = matches.join(ledger(spark, sf).select("transaction_id", "description"), "transaction_id").join(
+        payments.select("payment_id", "name"), "payment_id"
+    )
+    score = indel_score(similarity.match_key(F.col("description")), text.token_key(F.upper("name")))
+    return rows.select("match_id", F.round(score, 6).alias("score"))
 
 
 @query("amounts_in_range", """SELECT l.transaction_id, p.payment_id,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import settings as s
 from ledgerloom.functions.amounts import amount_label
+from ledgerloom.runtime import cut
 
 SELECTABLE_ROWS = 1_000_000
 SPLITTERS = 200
@@ -72,10 +73,11 @@ def kth_smallest(rows: DataFrame, column: str, k: int, selectable: int = SELECTA
 
 def train_val_split(usable: DataFrame, ratio: float = s.DEFAULTS.train_ratio) -> DataFrame:
     """The first ``int(n * ratio)`` rows by id are for training, the others for validation."""
-    n_train = int(usable.count() * ratio)
+    ids = cut(usable.select("transaction_id"))
+    n_train = int(ids.count() * ratio)
     if n_train == 0:
         return usable.withColumn("split", F.lit("val"))
-    last = kth_smallest(usable, "transaction_id", n_train)
+    last = kth_smallest(ids, "transaction_id", n_train)
     return usable.withColumn("split", F.when(F.col("transaction_id") <= F.lit(last), "train").otherwise("val"))
 
 

@@ -102,7 +102,8 @@ SELECT l.transaction_id AS match_id, p.payment_id, l.transaction_id,
        l.amount AS amount_at_match,
        CAST(l.transaction_date AS TIMESTAMP) AS created_at
 FROM ledger l JOIN payments p
-  ON l.description = concat(substr(upper(p.name), 1, length(p.name) - 4), CAST(100000 + l.transaction_id AS VARCHAR(20)))
+  ON substr(l.description, 1, length(l.description) - length(CAST(100000 + l.transaction_id AS VARCHAR(20))))
+     = substr(upper(p.name), 1, length(p.name) - 4)
 WHERE l.priority = '1-URGENT'""",
     "jobs": """
 SELECT transaction_id AS job_id, transaction_id AS source_transaction_id,
