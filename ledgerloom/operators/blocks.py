@@ -40,9 +40,8 @@ def points_of(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["point"].to_numpy())
 
 
-def _pivots(index: DataFrame, rows: int) -> np.ndarray:
+def _pivots(index: DataFrame, wanted: int) -> np.ndarray:
     """At most MAX_PIVOTS points in hash order: bounded, and the same on every run."""
-    wanted = int(np.clip(rows // ROWS_PER_PIVOT, 1, MAX_PIVOTS))
     sample = index.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("point").collect()
     return np.array([r["point"] for r in sample], dtype=np.float64)
 
@@ -98,12 +97,12 @@ def block_join(
     q_rows, i_rows = queries.count(), index.count()
     if not q_rows or not i_rows:
         return spark.createDataFrame([], schema)
-    pivots = _pivots(index, i_rows)
-    n = len(pivots)
+    n = int(np.clip(i_rows // ROWS_PER_PIVOT, 1, MAX_PIVOTS))
     if n == 1:
         q, i = (side.withColumns({"cell": F.lit(0), "away": F.lit(0.0)}) for side in (queries, index))
         pairs = [(0, 0, -(-q_rows // BLOCK_ROWS), -(-i_rows // BLOCK_ROWS))]
     else:
+        pivots = _pivots(index, n)
         q, i = _assign(queries, pivots, distance), _assign(index, pivots, distance)
         q_cells, i_cells = _cells(q, n, 0), _cells(i, n, k)
         apart = distance(pivots, pivots)

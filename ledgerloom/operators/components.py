@@ -28,12 +28,14 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Nodes without a link are not listed. Each round is one large and one small star, so the
     number of rounds grows with the logarithm of the longest chain; every round is
-    checkpointed, so a lost executor costs one round at most.
+    written out, so a lost executor costs one round at most.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    size = edges.count()
     for _ in range(MAX_ROUNDS):
         contracted = cut(_small_star(_large_star(edges).where("a <> b")).where("a <> b").distinct())
-        same = contracted.count() == edges.count() and contracted.exceptAll(edges).isEmpty()
+        before, size = size, contracted.count()
+        same = size == before and contracted.exceptAll(edges).isEmpty()
         edges = contracted
         if same:
             stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
