@@ -6,12 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ledgerloom.catalog.inputs import categories, ledger
+from ledgerloom.catalog.inputs import categories
 from ledgerloom.catalog.registry import query
 from ledgerloom.operators import extraction as ex
 from ledgerloom.operators import filters as flt
 from ledgerloom.sources import statements as st
-from ledgerloom.sources.bindings import bind, table
+from ledgerloom.sources.bindings import bind
 
 AS_OF = dt.date(2001, 3, 15)
 

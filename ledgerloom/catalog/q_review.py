@@ -9,7 +9,6 @@ from ledgerloom.catalog.inputs import TODAY, categories, converted, ledger
 from ledgerloom.catalog.registry import query
 from ledgerloom.operators import audit as aud
 from ledgerloom.operators import categories as cats
-from ledgerloom.operators import dashboards as dash
 from ledgerloom.operators import filters as flt
 from ledgerloom.operators import paging, review, training
 from ledgerloom.runtime import scratch_path
