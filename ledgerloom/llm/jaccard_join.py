@@ -49,7 +49,9 @@ from ledgerloom.runtime import cut
 ORDER_BITS = 20
 ID_BITS = 22
 BLOCK = 512
+PARITY = 256
 _CLASS_BITS = 5
+_BITS = [f"p{i}" for i in range(PARITY // 64)]
 _OTHER_ORDERS = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
 
 
@@ -77,7 +79,7 @@ def _frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig1, sig2, prefix): set size, set signature and prefix under the first order."""
+    """(doc_id, n, sig1, sig2, p0.., prefix): set size, signature, parity bits, prefix under the first order."""
     order = docs.sparkSession.sparkContext.broadcast(classes)
     low = np.uint64(HASH_BITS)
     kept = np.uint64(HASH_BITS - _CLASS_BITS)
@@ -90,6 +92,9 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                 owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(s)), dtype=np.uint64)]) for s in (1 << 60, 1 << 61)]
                 sums = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+                flips = owner.astype(np.int64) * PARITY + ((sets >> np.uint64(ORDER_BITS)) % np.uint64(PARITY)).astype(np.int64)
+                flips = np.bincount(flips, minlength=len(n) * PARITY).astype(np.uint8) & np.uint8(1)
+                parity = np.packbits(flips).view(np.int64).reshape(len(n), PARITY // 64)
                 rank = order.value[(sets & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)].astype(np.uint64)
                 both = np.sort((owner << low) | (rank << kept) | (sets >> np.uint64(_CLASS_BITS)))
                 take = np.where(n > 0, _prefix_length(n, percent), 0)
@@ -102,12 +107,16 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                         pa.array(n, pa.int64()),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
+                        *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY // 64)],
                         pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(tokens)),
                     ],
-                    names=["doc_id", "n", "sig1", "sig2", "prefix"],
+                    names=["doc_id", "n", "sig1", "sig2", *_BITS, "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>")
+    bits = ", ".join(f"{c} long" for c in _BITS)
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id long, n long, sig1 long, sig2 long, {bits}, prefix array<long>"
+    )
 
 
 def _id_bucket(ids: np.ndarray) -> np.ndarray:
@@ -208,16 +217,18 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     groups = cut(groups)
     reps = groups.groupBy("node").agg(F.min(F.struct("sig1", "sig2")).alias("sig")).select("node", "sig.sig1", "sig.sig2")
     chosen = rows.join(reps, (rows.doc_id == reps.node) & (rows.sig1 == reps.sig1) & (rows.sig2 == reps.sig2))
-    chosen = chosen.select("node", "n", "prefix").dropDuplicates(["node"])
-    postings = chosen.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    chosen = chosen.select("node", "n", *_BITS, "prefix").dropDuplicates(["node"])
+    postings = chosen.select("node", "n", *_BITS, F.posexplode("prefix").alias("place", "token"))
     entries = postings.groupBy("token").agg(
-        F.count("*").alias("df"), F.min(F.struct("place", "node", "n")).alias("leader")
+        F.count("*").alias("df"), F.min(F.struct("place", "node", "n", *_BITS)).alias("leader")
     )
     index = cut(postings.join(entries.where("df > 1"), "token"))
 
     room = f"{100 + percent} * ({{0}}.place + {{1}}.place) <= {100 - percent} * ({{0}}.n + {{1}}.n)"
     sizes = f"100 * least({{0}}.n, {{1}}.n) >= {percent} * greatest({{0}}.n, {{1}}.n)"
-    near = f"({room}) and ({sizes})"
+    flipped = " + ".join(f"bit_count({{0}}.{c} ^ {{1}}.{c})" for c in _BITS)
+    parity = f"{100 + percent} * ({flipped}) <= {100 - percent} * ({{0}}.n + {{1}}.n)"
+    near = f"({room}) and ({sizes}) and ({parity})"
     one_each = (F.max(F.struct("df", "token")).alias("best"),)
 
     def distinct_pairs(found: DataFrame) -> DataFrame:
@@ -231,7 +242,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     joined = cut(connected_components(links))
 
     merged = index.join(joined, "node", "left").select(
-        "token", "df", "node", "n", "place", F.coalesce("component", "node").alias("component")
+        "token", "df", "node", "n", "place", *_BITS, F.coalesce("component", "node").alias("component")
     )
     merged = cut(merged)
     a, b = merged.alias("a"), merged.alias("b")
