@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard_join
+from ledgerloom.llm import jaccard_join, quality_divergence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,10 +43,80 @@ SELECT s.doc_id, CAST(n AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(y
 FROM sizes s LEFT JOIN reach ON x = s.doc_id GROUP BY s.doc_id, n
 """
 
+
+def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_divergence.assess(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _distance_sql(pairs: str) -> str:
+    """Jensen-Shannon distance of a list of [p, q]."""
+    side = "CASE WHEN x[{0}] > 0 THEN x[{0}] * log2(2 * x[{0}] / (x[1] + x[2])) ELSE 0 END"
+    terms = f"list_transform({pairs}, lambda x: {side.format(1)} + {side.format(2)})"
+    return f"sqrt(greatest(list_sum({terms}), 0) / 2)"
+
+
+_q = quality_divergence
+_CLASS_COUNTS = "[" + ", ".join(
+    f"length(regexp_replace(packed, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g'))" for pattern in _q.CLASSES.values()
+) + ", strlen(packed) - length(packed)]"
+_SHARES = "list_transform({0}, lambda n: n / {1})"
+_REST = "greatest(0.0, 1 - list_sum({0}))"
+OP3_SQL = f"""
+WITH words AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS.format(text="text")} AS w FROM documents
+), packed AS (SELECT *, len(w) AS n, array_to_string(w, '') AS packed FROM words),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words),
+dup_lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS d FROM lines WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM packed)
+), places AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS r FROM places, range(3) t(k) GROUP BY doc_id
+), totals AS (
+  SELECT lang, sum(n) AS total, sum(length(packed)) AS chars,
+    [{", ".join(f"sum(c[{i + 1}])" for i in range(len(_q.CLASSES) + 1))}] AS own
+  FROM (SELECT lang, n, packed, {_CLASS_COUNTS} AS c FROM packed WHERE lang IS NOT NULL) GROUP BY lang
+  HAVING sum(n) >= {_q.MIN_REFERENCE}
+), common AS (
+  SELECT lang, word, count(*) / any_value(total) AS share
+  FROM (SELECT lang, unnest(w) AS word FROM packed) JOIN totals USING (lang)
+  GROUP BY lang, word HAVING count(*) * {_q.COMMON} >= any_value(total)
+), refs AS (
+  SELECT lang, list(word ORDER BY word) AS word, list(share ORDER BY word) AS share FROM common GROUP BY lang
+), judged AS (
+  SELECT p.*, word, share, {_SHARES.format(_CLASS_COUNTS, "nullif(length(packed), 0)")} AS mine_c,
+    {_SHARES.format("own", "nullif(chars, 0)")} AS ref_c,
+    list_transform(word, lambda c: len(list_filter(w, lambda x: x = c)) / n) AS mine_w
+  FROM packed p LEFT JOIN totals USING (lang) LEFT JOIN refs USING (lang)
+), distances AS (
+  SELECT *,
+    CASE WHEN n >= {_q.MIN_WORDS_CLASSES} AND ref_c IS NOT NULL THEN {_distance_sql(
+      f"list_transform(list_zip(list_append(mine_c, {_REST.format('mine_c')}), list_append(ref_c, {_REST.format('ref_c')})), lambda z: [z[1], z[2]])"
+    )} END AS by_class,
+    CASE WHEN n >= {_q.MIN_WORDS_COMMON} AND share IS NOT NULL THEN {_distance_sql(
+      f"list_transform(list_zip(list_append(mine_w, {_REST.format('mine_w')}), list_append(share, {_REST.format('share')})), lambda z: [z[1], z[2]])"
+    )} END AS by_word
+  FROM judged
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(packed) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words,
+  n < {_q.MIN_WORDS} OR 100 * coalesce(r, 0) > {_q.MAX_REPEAT_PERCENT} * n AS base_failed,
+  NOT (n < {_q.MIN_WORDS} OR 100 * coalesce(r, 0) > {_q.MAX_REPEAT_PERCENT} * n)
+    AND coalesce(by_class, 0) <= {_q.MAX_DISTANCE_CLASSES} AND coalesce(by_word, 0) <= {_q.MAX_DISTANCE_COMMON} AS kept
+FROM distances LEFT JOIN dup_lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_distribution_divergence": op3_distribution_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_distribution_divergence": OP3_SQL,
 }
