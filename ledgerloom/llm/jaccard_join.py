@@ -10,6 +10,7 @@ the first ``n - ceil(percent * n / 100) + 1`` shingles of each have one in commo
 2. equal sets become one class. Prefixes under the first order go to an inverted index; a pair is
    only made where it also agrees on sizes and on the places of the shingle (what stands before the
    first common shingle is in one set only, and a link leaves room for so much difference);
+   Pairs are checked once more on as many parity bits as suit their size, which holds for long texts;
 3. pairs must share a prefix shingle under each further order too before their sets are compared.
 
 A group of thousands of near copies is not spelled out as pairs: each index entry is first
@@ -78,8 +79,22 @@ def _frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     return classes
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, set if an odd number have it; two to four bits a shingle."""
+    size = max(64, 1 << int(2 * len(tokens)).bit_length())
+    flips = np.bincount((tokens >> np.uint64(ORDER_BITS)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits(flips.astype(np.uint8) & np.uint8(1)).tobytes()
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """A number of shingles that are surely in only one of two sets, by their parity bits."""
+    bits = sorted((np.frombuffer(x, np.uint8) for x in (a, b)), key=len)
+    folded = np.bitwise_xor.reduce(bits[1].reshape(-1, len(bits[0])), axis=0)
+    return int(np.bitwise_count(bits[0] ^ folded).sum())
+
+
 def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig1, sig2, p0.., prefix): set size, signature, parity bits, prefix under the first order."""
+    """(doc_id, n, sig1, sig2, p0.., wide, prefix): set size, signature, parity bits, more of them, prefix under the first order."""
     order = docs.sparkSession.sparkContext.broadcast(classes)
     low = np.uint64(HASH_BITS)
     kept = np.uint64(HASH_BITS - _CLASS_BITS)
@@ -95,6 +110,7 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                 flips = owner.astype(np.int64) * PARITY + ((sets >> np.uint64(ORDER_BITS)) % np.uint64(PARITY)).astype(np.int64)
                 flips = np.bincount(flips, minlength=len(n) * PARITY).astype(np.uint8) & np.uint8(1)
                 parity = np.packbits(flips).view(np.int64).reshape(len(n), PARITY // 64)
+                wide = [_parity(sets[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 rank = order.value[(sets & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)].astype(np.uint64)
                 both = np.sort((owner << low) | (rank << kept) | (sets >> np.uint64(_CLASS_BITS)))
                 take = np.where(n > 0, _prefix_length(n, percent), 0)
@@ -108,14 +124,15 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY // 64)],
+                        pa.array(wide, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(tokens)),
                     ],
-                    names=["doc_id", "n", "sig1", "sig2", *_BITS, "prefix"],
+                    names=["doc_id", "n", "sig1", "sig2", *_BITS, "wide", "prefix"],
                 )
 
     bits = ", ".join(f"{c} long" for c in _BITS)
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id long, n long, sig1 long, sig2 long, {bits}, prefix array<long>"
+        run, f"doc_id long, n long, sig1 long, sig2 long, {bits}, wide binary, prefix array<long>"
     )
 
 
@@ -164,19 +181,37 @@ def _shares_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return True
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` whose parity bits leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "wx", "wy"))
+            near = [
+                (100 + percent) * _least_difference(p, q) <= (100 - percent) * n for n, p, q in zip(sizes, a, b, strict=True)
+            ]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y", "df", "token"])
+
+    for side in "xy":
+        names = [F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}")]
+        pairs = pairs.join(nodes.select(*names), side)
+    pairs = pairs.select("x", "y", "df", "token", (F.col("nx") + F.col("ny")).alias("both"), "wx", "wy")
+    return pairs.mapInArrow(run, "x long, y long, df long, token long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
     """Of ``pairs`` (x, y, token, df) those that are links, as (a, b).
 
     Pairs are dealt by index entry; entries of many documents are split into blocks of both sides.
     """
     blocks = F.ceil(F.col("df") / BLOCK)
     pairs = cut(
-        pairs.select(
+        _near(pairs, known, percent).select(
             "x", "y", F.xxhash64("token", F.pmod(F.xxhash64("x"), blocks), F.pmod(F.xxhash64("y"), blocks)).alias("entry")
         )
     )
     uses = pairs.select("entry", F.col("x").alias("node")).union(pairs.select("entry", F.col("y").alias("node"))).distinct()
-    nodes = cut(uses.select("node").distinct().join(reps, "node").select("node", "sig1"))
+    nodes = cut(uses.select("node").distinct().join(known, "node").select("node", "sig1"))
     sets = _sets_of(docs, nodes, width)
     rows = uses.join(sets, "node").select("entry", F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "tokens")
     rows = rows.unionByName(pairs.select("entry", F.lit(1).alias("kind"), "x", "y", F.lit(None).cast("binary").alias("tokens")))
@@ -217,7 +252,8 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     groups = cut(groups)
     reps = groups.groupBy("node").agg(F.min(F.struct("sig1", "sig2")).alias("sig")).select("node", "sig.sig1", "sig.sig2")
     chosen = rows.join(reps, (rows.doc_id == reps.node) & (rows.sig1 == reps.sig1) & (rows.sig2 == reps.sig2))
-    chosen = chosen.select("node", "n", *_BITS, "prefix").dropDuplicates(["node"])
+    chosen = chosen.select("node", rows.sig1, "n", *_BITS, "wide", "prefix").dropDuplicates(["node"])
+    known = cut(chosen.select("node", "sig1", "n", "wide"))
     postings = chosen.select("node", "n", *_BITS, F.posexplode("prefix").alias("place", "token"))
     entries = postings.groupBy("token").agg(
         F.count("*").alias("df"), F.min(F.struct("place", "node", "n", *_BITS)).alias("leader")
@@ -238,7 +274,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     stars = stars.select(
         F.least("node", "leader.node").alias("x"), F.greatest("node", "leader.node").alias("y"), "df", "token"
     )
-    links = _verified(docs, distinct_pairs(stars), reps, width, percent)
+    links = _verified(docs, distinct_pairs(stars), known, width, percent)
     joined = cut(connected_components(links))
 
     merged = index.join(joined, "node", "left").select(
@@ -248,7 +284,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     a, b = merged.alias("a"), merged.alias("b")
     rest = a.join(b, F.expr("a.token = b.token and a.node < b.node and a.component <> b.component and " + near.format("a", "b")))
     rest = rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), "a.df", "a.token")
-    more = _verified(docs, distinct_pairs(rest), reps, width, percent)
+    more = _verified(docs, distinct_pairs(rest), known, width, percent)
     final = connected_components(links.unionByName(more))
 
     ids = groups.join(final, "node", "left").select(
