@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard_join, quality_divergence
+from ledgerloom.llm import bin_packing, jaccard_join, quality_divergence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,9 +111,14 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(packed) AS BIGINT) AS w
 FROM distances LEFT JOIN dup_lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
 """
 
+def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_distribution_divergence": op3_distribution_divergence,
+    "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
 
 ORACLES: dict[str, str] = {
