@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, quality_divergence
+from ledgerloom.llm import bin_packing, jaccard_join, mixing, quality_divergence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,71 @@ FROM sizes s LEFT JOIN reach ON x = s.doc_id GROUP BY s.doc_id, n
 """
 
 
+BUDGET_PERCENT, EPOCHS = 60, 2
+WEIGHTS = {
+    "domain": {"domain0": 1, "domain1": 4, "domain2": 3, "domain3": 2},
+    "lang": {"en": 4, "de": 2, "fr": 3, "es": 1},
+}
+
+
+def op2_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = mixing.source_domain()
+    counted, leaves = mixing.plan(_table(spark, sf_dir, "documents"), domain, BUDGET_PERCENT, EPOCHS, WEIGHTS)
+    return mixing.copies(counted.withColumnRenamed("domain", "of"), leaves, F.col("of")).select(
+        "doc_id", F.col("of").alias("domain"), "lang", "source", "n_tokens", "epoch"
+    )
+
+
+def _level_sql(name: str, parent: list[str], before: str) -> str:
+    """CTEs that split the budgets of ``before`` among the children at ``name``."""
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    keys = ", ".join([*parent, name])
+    weight = "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {w}" for k, w in WEIGHTS[name].items()) + " ELSE 1 END" if name in WEIGHTS else "1"
+    return f"""
+{name}_nodes AS (
+  SELECT {keys}, sum(capacity) AS capacity, {weight} AS weight FROM leaves GROUP BY {keys}
+), {name}_asked AS (
+  SELECT *, least(budget, sum(capacity) OVER ({by})) AS goal,
+    sum(capacity) OVER w AS held, sum(weight) OVER ({by}) - sum(weight) OVER w AS above
+  FROM {name}_nodes {f"JOIN {before} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {before}"}
+  WINDOW w AS ({by} ORDER BY capacity / weight, {name} ROWS UNBOUNDED PRECEDING)
+), {name}_full AS (SELECT *, (goal - held) * weight >= capacity * above AS is_full FROM {name}_asked),
+{name}_rest AS (
+  SELECT *, goal - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by}) AS rest,
+    sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}) AS open_weight FROM {name}_full
+), {name}_part AS (SELECT *, CASE WHEN is_full THEN 0 ELSE rest * weight // open_weight END AS part FROM {name}_rest),
+{name}_budget AS (
+  SELECT {keys}, CASE WHEN is_full THEN capacity
+    ELSE part + CASE WHEN row_number() OVER ({by} ORDER BY is_full, {name}) <= rest - sum(part) OVER ({by}) THEN 1 ELSE 0 END
+    END AS budget FROM {name}_part
+)"""
+
+
+OP2_SQL = f"""
+WITH counted AS (
+  SELECT doc_id, 'domain' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)', 1) AS BIGINT), 0) % 4) AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CAST(len({WORDS.format(text="text")}) AS BIGINT) AS n_tokens FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {EPOCHS} AS capacity FROM counted GROUP BY ALL
+), root AS (SELECT sum(tokens) * {BUDGET_PERCENT} // 100 AS budget FROM leaves),
+{_level_sql("domain", [], "root")},
+{_level_sql("lang", ["domain"], "domain_budget")},
+{_level_sql("source", ["domain", "lang"], "lang_budget")},
+quota AS (
+  SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest
+  FROM leaves JOIN source_budget USING (domain, lang, source) WHERE budget > 0
+), placed AS (
+  SELECT c.*, epochs, rest, coalesce(sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source ORDER BY md5('{mixing.SEED}:' || epochs || ':' || doc_id)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM counted c JOIN quota USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens,
+  unnest(range(CAST(epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM placed
+"""
+
+
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.assess(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -117,11 +183,13 @@ def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op3_distribution_divergence": op3_distribution_divergence,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_hierarchical_mixing": OP2_SQL,
     "op3_distribution_divergence": OP3_SQL,
 }
