@@ -298,3 +298,16 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one document of every component, the one of the smallest id; all columns stay.
+
+    Rows without an id all stay. Of rows that repeat an id one stays.
+    """
+    found = cut(similar_documents(docs, width, percent))
+    stay = found.where("doc_id = component_id").select("doc_id")
+    kept = docs.join(stay.distinct(), "doc_id", "left_semi").select(docs.columns)
+    if not stay.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -81,7 +81,7 @@ def _with_languages(rows: DataFrame, refs: DataFrame) -> DataFrame:
     if _small(refs):
         return rows.join(F.broadcast(refs), "lang", "left")
     salted = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS)).cast("int"))
     return rows.join(salted, ["lang", "salt"], "left").drop("salt")
 
 
@@ -105,7 +105,7 @@ def _distance(parts: Column) -> Column:
 def _counted(docs: DataFrame) -> DataFrame:
     """All counts of each document; ``times`` are those of its language's common words."""
     rows = _with_languages(docs, common_words(docs)).select(
-        "doc_id", "lang", "word", "share", F.coalesce("text", F.lit("")).alias("text"), _words(F.col("text")).alias("w")
+        "row", "lang", "word", "share", F.coalesce("text", F.lit("")).alias("text"), _words(F.col("text")).alias("w")
     )
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     windows = F.when(
@@ -117,7 +117,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     known = F.filter("w", lambda w: F.array_contains(F.col("word"), w))
     rows = rows.select(
-        "doc_id", "lang", "word", "share", "w", F.array_join("w", "").alias("packed"), lines.alias("lines"), windows.alias("h"),
+        "row", "lang", "word", "share", "w", F.array_join("w", "").alias("packed"), lines.alias("lines"), windows.alias("h"),
         F.when(F.size("w") >= MIN_WORDS_COMMON, known).alias("known"),
     )
     rows = rows.withColumn("rare", F.regexp_replace("packed", COMMON_LETTERS, ""))
@@ -126,7 +126,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     counts = [_left(F.col("rare"), pattern) for pattern in CLASSES.values()]
     more = (F.octet_length("packed") - F.length("packed")).cast("long")
     rows = rows.select(
-        "doc_id", "lang", "share",
+        "row", "lang", "share",
         F.size("w").cast("long").alias("n_words"),
         F.length("packed").cast("long").alias("word_chars"),
         _left(F.col("rare"), CLASSES["symbol"]).alias("n_symbols"),
@@ -147,10 +147,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", repeated).drop("placed", "at")
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts, base_failed, class_distance, word_distance (null where not tested), kept."""
-    docs = docs.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = cut(_counted(docs))
+def _judged(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``row`` (``columns`` of ``docs``), counts, base_failed, class_distance, word_distance, kept."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    rows = cut(_counted(docs.select(row, F.col("lang").cast("string"), F.col("text").cast("string"))))
     sums = rows.where("lang is not null").groupBy("lang").agg(
         F.sum("n_words").alias("words"),
         F.sum("word_chars").alias("word_chars"),
@@ -164,7 +164,7 @@ def assess(docs: DataFrame) -> DataFrame:
     enough = (F.col("n_words") >= MIN_WORDS_CLASSES) & F.col("classes").isNotNull()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(enough, _distance(F.zip_with("own", "classes", _part))).alias("class_distance"),
         F.when(F.col("tested") & F.col("share").isNotNull(), _distance(by_word)).alias("word_distance"),
     )
@@ -172,3 +172,13 @@ def assess(docs: DataFrame) -> DataFrame:
         F.coalesce("word_distance", F.lit(0.0)) <= MAX_DISTANCE_COMMON
     )
     return rows.withColumn("kept", ~F.col("base_failed") & usual)
+
+
+def assess(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, counts, base_failed, class_distance, word_distance (null where not tested), kept."""
+    return _judged(docs, ["doc_id"]).select("row.doc_id", "*").drop("row")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns."""
+    return _judged(docs, docs.columns).where("kept").select("row.*")
