@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, mixing, quality_divergence, secret_forest
+from ledgerloom.llm import bin_packing, jaccard_join, mixing, quality_divergence, secret_forest, toxicity_zstd
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -177,6 +177,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(packed) AS BIGINT) AS w
 FROM distances LEFT JOIN dup_lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
 """
 
+def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_zstd.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(_table(spark, sf_dir, "documents"))
 
@@ -189,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op3_distribution_divergence": op3_distribution_divergence,
+    "op5_compression_distance": op5_compression_distance,
     "op9_secret_forest": op9_secret_forest,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
