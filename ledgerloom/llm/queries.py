@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, mixing, quality_divergence, secret_forest, toxicity_zstd
+from ledgerloom.llm import bin_packing, jaccard_join, mixing, pii_offsets, quality_divergence, secret_forest, toxicity_zstd
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,6 +181,10 @@ def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_offset_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_offsets.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(_table(spark, sf_dir, "documents"))
 
@@ -194,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op3_distribution_divergence": op3_distribution_divergence,
     "op5_compression_distance": op5_compression_distance,
+    "op8_offset_deobfuscation": op8_offset_deobfuscation,
     "op9_secret_forest": op9_secret_forest,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
