@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, mixing, pii_offsets, quality_divergence, secret_forest, toxicity_zstd
+from ledgerloom.llm import bin_packing, jaccard_join, mixing, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,6 +181,71 @@ def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_link_graph_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _rule_sql(column: str) -> str:
+    rules = sorted(url_trust.RULES, key=lambda r: -len(r.name))
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    value = (lambda r: r.name) if column == "rule" else (lambda r: r.action)
+    return "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{value(r)}'" for r in rules) + " END"
+
+
+_u = url_trust
+_HOST = f"translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_u.UPPER}', '{_u.LOWER}')"
+_LINKS = _u.LINKS.replace("'", "''")
+OP7_SQL = f"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, html, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), ruled AS (SELECT page_id, host, path, {_rule_sql("rule")} AS rule, {_rule_sql("action")} AS action FROM parts),
+links AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINKS}', 1)), '{_u.UPPER}', '{_u.LOWER}') AS dst
+    FROM parts WHERE host <> '') WHERE src <> dst GROUP BY ALL
+), names AS (SELECT host FROM parts WHERE host <> '' UNION SELECT dst FROM links),
+chains AS (
+  SELECT string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) - 1)) AS i FROM names
+  WHERE len(string_split(host, '.')) >= 3
+), steps AS (
+  SELECT DISTINCT array_to_string(l[i:], '.') AS a, array_to_string(l[i + 1:], '.') AS b FROM chains
+), edges AS (
+  SELECT src, dst, sum(n) AS n FROM (
+    SELECT * FROM links UNION ALL SELECT a, b, 1 FROM steps UNION ALL SELECT b, a, 1 FROM steps) GROUP BY ALL
+), directed AS (
+  SELECT 'allow' AS kind, src, dst, n FROM edges UNION ALL SELECT 'block', dst, src, n FROM edges
+), shares AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM directed),
+seeds AS (
+  SELECT action AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY action) AS seed
+  FROM ruled WHERE host <> '' AND action IS NOT NULL GROUP BY action, host
+), moves AS (
+  SELECT kind, src, dst, share FROM shares
+  UNION ALL SELECT DISTINCT kind, host, host, 1.0 FROM (
+    SELECT kind, host FROM seeds UNION SELECT kind, dst FROM directed) t
+  WHERE NOT EXISTS (SELECT 1 FROM shares s WHERE s.kind = t.kind AND s.src = t.host)
+), walk AS (
+  SELECT 0 AS step, kind, host, seed AS rank FROM seeds
+  UNION ALL
+  SELECT step, kind, host, sum(rank) AS rank FROM (
+    SELECT step + 1 AS step, w.kind, dst AS host, rank * share * {_u.DAMPING} AS rank
+    FROM walk w JOIN moves m ON m.kind = w.kind AND m.src = w.host WHERE step < {_u.ROUNDS}
+    UNION ALL
+    SELECT step + 1, s.kind, s.host, seed * (1 - {_u.DAMPING})
+    FROM seeds s, (SELECT DISTINCT step FROM walk) t WHERE step < {_u.ROUNDS}
+  ) GROUP BY step, kind, host
+), hosts AS (
+  SELECT host, round(coalesce(max(rank) FILTER (kind = 'allow'), 0), {_u.DIGITS}) AS trust,
+    round(coalesce(max(rank) FILTER (kind = 'block'), 0), {_u.DIGITS}) AS distrust
+  FROM walk WHERE step = {_u.ROUNDS} GROUP BY host
+)
+SELECT page_id, r.host, path, rule,
+  coalesce(action, CASE WHEN distrust > {_u.BIAS} * trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN hosts h ON h.host = r.host
+"""
+
+
 def op8_offset_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_offsets.find(_table(spark, sf_dir, "documents"))
 
@@ -198,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op3_distribution_divergence": op3_distribution_divergence,
     "op5_compression_distance": op5_compression_distance,
+    "op7_link_graph_trust": op7_link_graph_trust,
     "op8_offset_deobfuscation": op8_offset_deobfuscation,
     "op9_secret_forest": op9_secret_forest,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
@@ -207,4 +273,5 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_hierarchical_mixing": OP2_SQL,
     "op3_distribution_divergence": OP3_SQL,
+    "op7_link_graph_trust": OP7_SQL,
 }
