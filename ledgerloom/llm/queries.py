@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, mixing, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust
+from ledgerloom.llm import bin_packing, jaccard_join, mixing, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust, warc_chain
+from ledgerloom.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -177,6 +178,28 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(packed) AS BIGINT) AS w
 FROM distances LEFT JOIN dup_lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
 """
 
+def op4_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc_chain.write(_table(spark, sf_dir, "pages"), path)
+    return warc_chain.read(spark, path)
+
+
+_B32 = " || ".join(
+    f"substr('{warc_chain._BASE32}', ((('0x' || substr(d, {5 * g + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
+    for g in range(8)
+    for s in (15, 10, 5, 0)
+)
+OP4_SQL = f"""
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages
+), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM payloads)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -262,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op3_distribution_divergence": op3_distribution_divergence,
+    "op4_boundary_chain": op4_boundary_chain,
     "op5_compression_distance": op5_compression_distance,
     "op7_link_graph_trust": op7_link_graph_trust,
     "op8_offset_deobfuscation": op8_offset_deobfuscation,
@@ -273,5 +297,6 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_hierarchical_mixing": OP2_SQL,
     "op3_distribution_divergence": OP3_SQL,
+    "op4_boundary_chain": OP4_SQL,
     "op7_link_graph_trust": OP7_SQL,
 }
