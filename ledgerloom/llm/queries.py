@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, mixing, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust, warc_chain
+from ledgerloom.llm import bin_packing, jaccard_join, mixing, nn_descent, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust, warc_chain
 from ledgerloom.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,28 @@ def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP6_SQL = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), usable AS (
+  SELECT * FROM unit WHERE norm > 0 AND isfinite(norm) AND len(list_filter(v, lambda x: x IS NULL)) = 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+lowest AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN degrees d ON d.x = vec_id LEFT JOIN lowest l ON l.x = vec_id
+"""
+
+
 def op7_link_graph_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -287,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "op3_distribution_divergence": op3_distribution_divergence,
     "op4_boundary_chain": op4_boundary_chain,
     "op5_compression_distance": op5_compression_distance,
+    "op6_nn_descent": op6_nn_descent,
     "op7_link_graph_trust": op7_link_graph_trust,
     "op8_offset_deobfuscation": op8_offset_deobfuscation,
     "op9_secret_forest": op9_secret_forest,
@@ -298,5 +321,6 @@ ORACLES: dict[str, str] = {
     "op2_hierarchical_mixing": OP2_SQL,
     "op3_distribution_divergence": OP3_SQL,
     "op4_boundary_chain": OP4_SQL,
+    "op6_nn_descent": OP6_SQL,
     "op7_link_graph_trust": OP7_SQL,
 }
