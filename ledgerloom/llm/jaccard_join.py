@@ -17,11 +17,11 @@ A group of thousands of near copies is not spelled out as pairs: each index entr
 compared with its leader only, what that links is contracted, and pairs are then made only between
 different components. A task verifies the pairs of one entry, split into blocks, so that a
 set travels once per entry and not once per pair. Nothing is capped: the result is exact but for
-collisions of 54-bit hashes within a pair and of 126-bit signatures among sets.
+collisions of 54-bit hashes within a pair and of the 64-bit sums that name the classes.
 
 Nulls and odd rows: a null text is empty; empty sets link with nothing. A row without ``doc_id`` is
-returned with a null component. Rows that repeat an id form one document, whose set is the one
-of the smallest signature. Other columns of the input are not read.
+returned with a null component. Rows that repeat an id are judged each by its own text. Other columns of
+the input are not read.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def _id_bucket(ids: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the documents in ``nodes`` (node, sig1): their sets as bytes.
+    """(node, tokens) of the classes in ``nodes`` (node, doc_id): their sets as bytes.
 
     Only texts whose id falls into a bucket that has a node are hashed again; the buckets are
     a broadcast of fixed size, and the join on the id removes what else fell into them.
@@ -150,7 +150,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield _id_bucket(batch.column(0).to_numpy(zero_copy_only=False))
 
-    wanted = docs.sparkSession.sparkContext.broadcast(bounded.bucket_counts(nodes.select("node"), ids, ID_BITS) > 0)
+    wanted = docs.sparkSession.sparkContext.broadcast(bounded.bucket_counts(nodes.select("doc_id"), ids, ID_BITS) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +164,11 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                         pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)),
                         pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                     ],
-                    names=["node", "sig1", "tokens"],
+                    names=["doc_id", "node", "tokens"],
                 )
 
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "node long, sig1 long, tokens binary")
-    return found.join(nodes, ["node", "sig1"], "left_semi").dropDuplicates(["node"])
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, node long, tokens binary")
+    return found.join(nodes, ["node", "doc_id"], "left_semi").select("node", "tokens").dropDuplicates(["node"])
 
 
 def _shares_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -211,7 +211,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, p
         )
     )
     uses = pairs.select("entry", F.col("x").alias("node")).union(pairs.select("entry", F.col("y").alias("node"))).distinct()
-    nodes = cut(uses.select("node").distinct().join(known, "node").select("node", "sig1"))
+    nodes = cut(uses.select("node").distinct().join(known, "node").select("node", "doc_id"))
     sets = _sets_of(docs, nodes, width)
     rows = uses.join(sets, "node").select("entry", F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "tokens")
     rows = rows.unionByName(pairs.select("entry", F.lit(1).alias("kind"), "x", "y", F.lit(None).cast("binary").alias("tokens")))
@@ -248,12 +248,10 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     classes = _frequency_classes(docs, width)
     rows = cut(_prefixes(docs, classes, width, percent))
-    groups = rows.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"))
-    groups = cut(groups)
-    reps = groups.groupBy("node").agg(F.min(F.struct("sig1", "sig2")).alias("sig")).select("node", "sig.sig1", "sig.sig2")
-    chosen = rows.join(reps, (rows.doc_id == reps.node) & (rows.sig1 == reps.sig1) & (rows.sig2 == reps.sig2))
-    chosen = chosen.select("node", rows.sig1, "n", *_BITS, "wide", "prefix").dropDuplicates(["node"])
-    known = cut(chosen.select("node", "sig1", "n", "wide"))
+    groups = cut(rows.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_id")))
+    chosen = rows.join(groups, ["sig1", "sig2", "doc_id"]).withColumnRenamed("sig1", "node")
+    chosen = chosen.select("node", "doc_id", "n", *_BITS, "wide", "prefix").dropDuplicates(["node"])
+    known = cut(chosen.select("node", "doc_id", "n", "wide"))
     postings = chosen.select("node", "n", *_BITS, F.posexplode("prefix").alias("place", "token"))
     entries = postings.groupBy("token").agg(
         F.count("*").alias("df"), F.min(F.struct("place", "node", "n", *_BITS)).alias("leader")
@@ -287,16 +285,16 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     more = _verified(docs, distinct_pairs(rest), known, width, percent)
     final = connected_components(links.unionByName(more))
 
-    ids = groups.join(final, "node", "left").select(
-        "sig1", "sig2", F.coalesce("component", "node").alias("component")
+    ids = groups.join(final.withColumnRenamed("node", "sig1"), "sig1", "left").select(
+        "sig1", "sig2", "doc_id", F.coalesce("component", "sig1").alias("component")
     )
+    smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = ids.join(smallest, "component").select("sig1", "sig2", "component_id")
     slim = rows.select("doc_id", "n", "sig1", "sig2")
     out = slim.join(ids, ["sig1", "sig2"], "left")
-    own = F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
     )
 
 
