@@ -3,8 +3,8 @@
 ``scan`` lists every candidate of every text with the forest's score, ``redact`` replaces the
 candidates that score ``THRESHOLD`` or more by ``PLACEHOLDER`` and changes nothing else.
 
-A candidate is a run of at least ``SHORTEST`` characters of keys and encodings that has a digit or
-changes between capital and small letters. The forest sees its length and make-up, how its
+A candidate is a run of at least ``SHORTEST`` characters of keys and encodings that has a digit, changes
+between capital and small letters, or has a provider's form. The forest sees its length and make-up, how its
 characters follow each other, how much of it is covered by letter triples that are usual in the corpus
 (counted over all texts), signs of a path or an address, and the words beside it.
 
@@ -51,6 +51,7 @@ PROVIDER = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox
 DIGESTS = ("sha", "md5", "commit", "checksum", "uuid", "etag", "digest")
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
+_PATH = re.compile(r"(?:/[A-Za-z0-9_+-]+){2,}/?")
 _BEFORE = re.compile(r"([^\s=:\"']*)[\"']?\s*([=:]?)\s*[\"']?$")
 _CONTEXT = 48
 NAMES = (
@@ -94,7 +95,8 @@ def _usual(text: str, weights: np.ndarray) -> tuple[float, float]:
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     for m in _RUN.finditer(text):
         run = m.group()
-        if any("0" <= c <= "9" for c in run) or (re.search("[A-Z]", run[1:]) and re.search("[a-z]", run)):
+        mixed = re.search("[A-Z]", run[1:]) and re.search("[a-z]", run)
+        if mixed or any("0" <= c <= "9" for c in run) or PROVIDER.fullmatch(run):
             yield m.span()
 
 
@@ -131,7 +133,7 @@ def rule_label(text: str, start: int, end: int) -> int | None:
     if PROVIDER.fullmatch(run) or (sign and any(k in before for k in KEY_NAMES)):
         return 1
     beside = text[max(0, start - 1) : start]
-    if run.isdigit() or beside in ("/", "\\", "@") or any(k in before for k in DIGESTS):
+    if run.isdigit() or _PATH.fullmatch(run) or beside in ("/", "\\", "@") or any(k in before for k in DIGESTS):
         return 0
     return None
 
