@@ -9,8 +9,8 @@ that ends both dictionaries: without it zstandard stores so short an input uncom
 difference would show. The difference of the two lengths, in bytes, is the window's evidence; a text
 is described by its strongest windows and the shares of windows above a few limits.
 
-The learning sample is bounded: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` distinct labelled texts of at
-most ``MAX_CHARS`` characters, the first by a hash of the text. Only the text is an input of the score.
+The learning sample is bounded: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents, the first by
+a hash of the id, without those of over ``MAX_CHARS`` characters. Only the text is an input of the score.
 A null or empty text has no windows and gets the curve's value for none. Rows without a label take no
 part in learning. Without texts of both labels every score is the share of toxic sample texts (0 if
 there is none). Repeated rows score alike. An empty table gives an empty result.
@@ -151,15 +151,20 @@ def scorer(model: dict):
     return score
 
 
-def learn(labelled: DataFrame) -> dict:
-    """The model from ``labelled`` (text, toxic): two bounded samples go to the driver, nothing else."""
-    texts = labelled.where(F.length("text") <= MAX_CHARS).select("text", "toxic", F.xxhash64("text").alias("pick"))
+def learn(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model from ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) labels.
+
+    Ids are drawn first, a bounded number per label, and sent to all tasks, so texts are not shuffled;
+    the texts that are drawn go to the driver, nothing else.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") <= MAX_CHARS)
     parts = []
     for label, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
-        picks = texts.where(F.col("toxic") == label).select("pick").distinct().orderBy("pick").limit(most)
-        rows = texts.where(F.col("toxic") == label).join(F.broadcast(picks), "pick").dropDuplicates(["pick"]).collect()
-        parts.append([r["text"] for r in sorted(rows, key=lambda r: r["pick"])])
-    # picks ascend, so the parts that dictionaries and curve are made of are random too
+        ids = labels.where(F.col("toxic") == label).select("doc_id").distinct()
+        drawn = ids.select("doc_id", F.xxhash64("doc_id").alias("pick")).orderBy("pick").limit(most)
+        rows = texts.join(F.broadcast(drawn), "doc_id").select("pick", "text").collect()
+        # ascending picks are a random order; a text counts once
+        parts.append(list(dict.fromkeys(r["text"] for r in sorted(rows, key=lambda r: (r["pick"], r["text"])))))
     return train(*parts)
 
 
@@ -184,9 +189,8 @@ def held_out(doc_id: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; ``labels`` (doc_id, toxic) label some."""
-    learnt = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    model = learn(docs.select("doc_id", "text").join(learnt, "doc_id").select("text", "toxic"))
-    found = scores(docs, model)
+    learnt = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), "toxic")
+    found = scores(docs, learn(docs, learnt))
     return found.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
