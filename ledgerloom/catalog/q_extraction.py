@@ -49,7 +49,7 @@ def statement_answers(spark, sf):
     )
     raw = (
         F.when(F.col("block") % 10 == 4, F.expr("substr(json, 1, length(json) - 10)"))
-        .when(F.col("block") % 10 == 6, F.concat(F.lit("```json\n"), "json", F.lit("\n```")))
+        .when(F.col("block") % 10 == 6, F.concat(F.lit("\n\t```json\n"), "json", F.lit("\r\n```\n")))
         .otherwise(F.col("json"))
     )
     return doc.select("statement_id", raw.alias("raw"))
@@ -246,8 +246,8 @@ def _single(spark, sf):
     """Individual answers, every description once."""
     return bind(spark, sf, "label_items").select(
         "statement_id", "description",
-        F.when(F.col("slot") == 3, F.lit("can't say")).otherwise(F.concat(F.lit(" "), "llm_category", F.lit("\n "))).alias("answer"),
-    ).withColumn("answer", F.regexp_replace("answer", "\\n", " "))
+        F.when(F.col("slot") == 3, F.lit("can't say")).otherwise(F.concat(F.lit("\t\r\n "), "llm_category", F.lit(" \r\n"))).alias("answer"),
+    )
 
 
 @query("parse_batch_labels", f", {LABELS} SELECT statement_id, CAST(chunk AS BIGINT) AS chunk, CAST(slot AS INTEGER) AS slot, label FROM batch")
@@ -286,9 +286,15 @@ fields AS (SELECT line_id, p[1] AS name, p[2] AS amount, lower(p[3]) AS frequenc
   CASE WHEN lower(p[3]) = 'annual' AND len(p) >= 5 THEN p[5] ELSE p[4] END AS due_day FROM raw)"""
 
 
+def _pasted(spark, sf):
+    """The lines as pasted from elsewhere: tabs around the parts, a blank line, carriage returns."""
+    spaced = F.replace("line", F.lit(","), F.lit("\t,\t "))
+    return bind(spark, sf, "import_lines").withColumn("line", F.concat(F.lit("\t"), spaced, F.lit("\r\n \t\r")))
+
+
 @query("parse_bulk_import", f", {PARTS} SELECT * FROM fields")
 def parse_bulk_import(spark, sf):
-    return st.parse_bulk_import(bind(spark, sf, "import_lines")).drop("row")
+    return st.parse_bulk_import(_pasted(spark, sf)).drop("row")
 
 
 @query("validate_bulk_rows", f""", {PARTS}, typed AS (SELECT line_id, name, frequency, TRY_CAST(amount AS DECIMAL(18,2)) AS expected_amount,
@@ -301,4 +307,4 @@ SELECT line_id, name, expected_amount, frequency, due_month, due_day,
        WHEN frequency = 'annual' AND due_month NOT BETWEEN 1 AND 12 THEN 'due month out of range' END AS reason
 FROM typed""")
 def validate_bulk_rows(spark, sf):
-    return st.validate_bulk_rows(st.parse_bulk_import(bind(spark, sf, "import_lines"))).drop("row")
+    return st.validate_bulk_rows(st.parse_bulk_import(_pasted(spark, sf))).drop("row")

@@ -124,14 +124,15 @@ def stream_statements(spark, sf):
     inbox = scratch_path(spark, "statements")
     files = _files(spark, sf)
     schema = files.schema
-    for folder in ("a", "b"):
-        files.where(F.col("file_id").startswith(f"{folder}/")).coalesce(1).write.mode("append").parquet(inbox)
     out, checkpoint = streams.paths(spark, "stream-statements")
 
     def run(batch, known):
         return plan.file_outcomes(batch, plan.extract(batch, known, qx.AS_OF), known)
 
-    done = streams.stream_statements(streams.file_stream(spark, inbox, "*.parquet", schema), run, out, checkpoint)
+    for folder in ("a", "b"):
+        files.where(F.col("file_id").startswith(f"{folder}/")).write.mode("append").parquet(inbox)
+        arrived = streams.file_stream(spark, inbox, "*.parquet", schema, files=1000)
+        done = streams.stream_statements(arrived, run, out, checkpoint)
     return done.select("file_id", "outcome", "reason", "n_transactions")
 
 
@@ -163,7 +164,7 @@ FROM (SELECT strftime(transaction_date, '%Y-%m') AS month,
 def stream_monthly_totals(spark, sf):
     inbox = scratch_path(spark, "converted")
     rows = converted(spark, sf).select("transaction_date", "in_flow", "out_flow", "converted_sgd", "is_unavailable")
-    rows.repartition(3, "transaction_date").write.parquet(inbox)
+    rows.write.parquet(inbox)
     out, checkpoint = streams.paths(spark, "stream-months")
     return streams.stream_monthly_totals(
         streams.file_stream(spark, inbox, "*.parquet", rows.schema), out, checkpoint

@@ -165,9 +165,9 @@ def category_menu_order(spark, sf):
     )
 
 
-@query("sort_join_outer", f"SELECT {COLS} FROM ledger ORDER BY category, transaction_id LIMIT 200")
+@query("sort_join_outer", f"SELECT {COLS}, row_number() OVER (ORDER BY category, transaction_id) AS rank FROM ledger")
 def sort_join_outer(spark, sf):
-    return paging.page(paging.sort_by_category(ledger(spark, sf), categories(spark, sf)), 1, 200).select(*SHORT)
+    return paging.with_rank(paging.sort_by_category(ledger(spark, sf), categories(spark, sf)).select(*SHORT))
 
 
 @query("lookup_by_ids", """SELECT l.transaction_id, description, amount FROM ledger l
@@ -311,9 +311,9 @@ UNION ALL SELECT 'category', name FROM categories WHERE active""")(
 # --- sorts, pages ----------------------------------------------------------------------------
 
 for _key, _sql in (("date", "transaction_date"), ("amount", "amount"), ("category", "category"), ("bank", "bank_name")):
-    # Sorted rows are always served by the page.
-    query(f"sort_by_{_key}", f"SELECT {COLS} FROM ledger ORDER BY {_sql} DESC, transaction_id LIMIT 200")(
-        lambda spark, sf, key=_key: paging.page(paging.sort_ledger(ledger(spark, sf), key), 1, 200).select(*SHORT)
+    # All rows; the rank shows the order.
+    query(f"sort_by_{_key}", f"SELECT {COLS}, row_number() OVER (ORDER BY {_sql} DESC, transaction_id) AS rank FROM ledger")(
+        lambda spark, sf, key=_key: paging.with_rank(paging.sort_ledger(ledger(spark, sf), key).select(*SHORT))
     )
 
 query("page", f"SELECT {COLS} FROM ledger ORDER BY transaction_date DESC, transaction_id LIMIT 50 OFFSET 100")(

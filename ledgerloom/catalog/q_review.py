@@ -203,11 +203,14 @@ def apply_category_edits(spark, sf):
     )
 
 
-@query("seed_categories", "SELECT category_id, name, active, is_reserved FROM categories UNION ALL SELECT lower(name), name, true, false FROM (VALUES "
-       + ", ".join(f"({quoted(n)})" for n in s.SEED_CATEGORIES) + ") v(name) WHERE name NOT IN (SELECT name FROM categories)")
+@query("seed_categories", """SELECT category_id, name, active, is_reserved FROM categories
+UNION ALL SELECT lower(name), name, true, false FROM (SELECT DISTINCT o_orderpriority AS name FROM orders) v
+WHERE name NOT IN (SELECT name FROM categories)""")
 def seed_categories(spark, sf):
-    names = spark.createDataFrame([(n,) for n in (*s.SEED_CATEGORIES, s.UNSURE)], "name string")
-    return cats.seed_categories(categories(spark, sf), names)
+    """The priorities of the orders as the names to seed, with one that exists."""
+    names = bind(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"))
+    known = categories(spark, sf).where(F.col("name") == s.UNSURE).select("name")
+    return cats.seed_categories(categories(spark, sf), names.unionByName(known))
 
 
 RENAMED = "SELECT payment_id, CASE WHEN is_trusted THEN concat(name, ' x') ELSE name END AS name FROM payments"
@@ -358,7 +361,7 @@ EXPORT = ", ".join(
 )
 
 
-@query("export_ledger_csv", f"SELECT {EXPORT} FROM (SELECT * FROM converted ORDER BY transaction_date DESC, transaction_id LIMIT 50000) t")
+@query("export_ledger_csv", f"SELECT {EXPORT} FROM converted")
 def export_ledger_csv(spark, sf):
     path = scratch_path(spark, "export")
     exports.write_csv(exports.export_rows(converted(spark, sf)), path)

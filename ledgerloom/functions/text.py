@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ledgerloom import settings as s
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_noise(description: Column) -> Column:
     """Drop reference-code-like words and squeeze blanks (case is kept)."""
     without_digits = F.regexp_replace(description, s.DIGIT_RUN, " ")
@@ -19,7 +24,7 @@ def normalize_noise(description: Column) -> Column:
 
 def pattern_key(description: Column) -> Column:
     """Upper-cased description without one trailing reference number."""
-    return F.trim(F.regexp_replace(F.upper(F.trim(description)), s.TRAILING_REFERENCE, ""))
+    return strip(F.regexp_replace(F.upper(strip(description)), s.TRAILING_REFERENCE, ""))
 
 
 def token_key(text: Column) -> Column:
@@ -42,5 +47,5 @@ def is_unordered_line(description: Column) -> Column:
 
 def valid_label(answer: Column, whitelist: Column) -> Column:
     """The trimmed answer if it is on the whitelist, else UNSURE."""
-    label = F.trim(answer)
+    label = strip(answer)
     return F.when(F.array_contains(whitelist, label), label).otherwise(F.lit(s.UNSURE))

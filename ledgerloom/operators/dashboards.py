@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import settings as s
+from ledgerloom.runtime import cut
 from ledgerloom.functions.dates import month_key
 from ledgerloom.operators.filters import currency_is, date_range
 
@@ -91,6 +92,7 @@ def top_series(points: DataFrame, keep: int = s.DEFAULTS.named_series) -> DataFr
 
     ``points`` (series, month, value) is an aggregate: series x months rows.
     """
+    points = cut(points)
     totals = points.groupBy("series").agg(F.sum("value").alias("total"))
     best = totals.orderBy(F.col("total").desc(), F.col("series")).limit(keep).select(
         "series", F.col("series").alias("named")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import settings as s
 from ledgerloom.functions.amounts import magnitude
+from ledgerloom.runtime import cut
 
 SORT_KEYS = ("date", "amount", "category", "bank")
 
@@ -24,6 +25,27 @@ def sort_ledger(ledger: DataFrame, key: str = "date", descending: bool = True) -
     return ledger.orderBy(column.desc() if descending else column.asc(), F.col("transaction_id").asc())
 
 
+def with_rank(ordered: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of each row in an ordered result, counted from 1.
+
+    The order is stored once. Rows are numbered within the parts of the sort; the parts before give
+    the rest, so no task sees more than its part.
+    """
+    placed = cut(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per part of the sort
+    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = F.col("_id") - F.shiftleft(part, 33)
+    return (
+        placed.withColumn("_part", part)
+        .join(before, "_part")
+        .withColumn("rank", (F.col("_before") + within + 1).cast("bigint"))
+        .drop("_id", "_part", "_before")
+    )
+
+
 def sort_by_category(ledger: DataFrame, categories: DataFrame, descending: bool = False) -> DataFrame:
     """Rows ordered by the looked-up category name; rows without a category are kept."""
     names = categories.select("category_id", F.col("name").alias("sort_name"))
@@ -77,12 +99,13 @@ def pending_batch(rows: DataFrame, limit: int = s.DEFAULTS.embedding_batch_size)
 
 def category_menu_order(usage: DataFrame, top: int = s.DEFAULTS.top_used_categories) -> DataFrame:
     """Most used categories first, the others by name; ``menu_rank`` numbers the menu."""
-    by_usage = Window.orderBy(F.col("n_transactions").desc(), F.col("name").asc())
-    ranked = usage.withColumn("usage_rank", F.row_number().over(by_usage))
-    place = F.least(F.col("usage_rank"), F.lit(top + 1))
-    return ranked.withColumn(
-        "menu_rank", F.row_number().over(Window.orderBy(place, F.col("name")))
-    ).drop("usage_rank")
+    usage = cut(usage)
+    first = usage.orderBy(F.col("n_transactions").desc(), F.col("name").asc()).limit(top)
+    # at most ``top`` rows are ever in one place
+    ranked = first.select("name", F.row_number().over(Window.orderBy(F.col("n_transactions").desc(), "name")).alias("menu_rank"))
+    others = with_rank(usage.join(ranked, "name", "left_anti").orderBy("name")).withColumnRenamed("rank", "menu_rank")
+    named = usage.join(ranked, "name")
+    return named.unionByName(others.withColumn("menu_rank", F.col("menu_rank") + top).select(named.columns))
 
 
 def bank_and_category_menus(ledger: DataFrame, categories: DataFrame) -> DataFrame:

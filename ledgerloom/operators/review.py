@@ -62,10 +62,8 @@ def corrected_ledger(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
         .groupBy("transaction_id")
         .agg(F.max_by(F.struct("category", "category_source"), "decision_id").alias("new"))
     )
-    return ledger.drop("category", "category_source").join(
-        ledger.select("transaction_id", F.col("category").alias("was"), F.col("category_source").alias("by")),
-        "transaction_id",
-    ).join(last, "transaction_id", "left").select(
+    was = ledger.withColumnsRenamed({"category": "was", "category_source": "by"})
+    return was.join(last, "transaction_id", "left").select(
         *[c for c in ledger.columns if c not in ("category", "category_source")],
         F.coalesce("new.category", "was").alias("category"),
         F.coalesce("new.category_source", "by").alias("category_source"),

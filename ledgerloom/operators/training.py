@@ -11,7 +11,6 @@ from ledgerloom import settings as s
 from ledgerloom.functions.amounts import amount_label
 from ledgerloom.runtime import cut
 
-SELECTABLE_ROWS = 1_000_000
 SPLITTERS = 200
 
 
@@ -37,20 +36,17 @@ def source_breakdown(eligible: DataFrame) -> DataFrame:
     )
 
 
-def kth_smallest(rows: DataFrame, column: str, k: int, selectable: int = SELECTABLE_ROWS):
+def kth_smallest(rows: DataFrame, column: str, k: int):
     """The k-th smallest value (from 1), found by narrowing a value range.
 
-    Counts between a few hundred sampled values show which range holds the value; only a
-    range of at most ``selectable`` rows is ever ordered. The sample affects the number of
-    rounds, not the answer.
+    Counts between a few hundred sampled values show which range holds the value, until the range
+    holds one value. The sample affects the number of rounds, not the answer; no rows are sorted.
     """
     rows = rows.select(column)
     while True:
         n = rows.count()
         if not 1 <= k <= n:
             raise ValueError(f"there is no value number {k} among {n}")
-        if n <= selectable:
-            return rows.orderBy(column).offset(k - 1).limit(1).first()[0]
         sample = rows.orderBy(F.xxhash64(column, F.lit(n)), column).limit(SPLITTERS).distinct().collect()
         cuts = sorted(r[0] for r in sample)
         place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column)))

@@ -10,12 +10,13 @@ from ledgerloom.functions.amounts import amount_label
 from ledgerloom.operators.training import whitelist_text
 
 
-def export_rows(rows: DataFrame, limit: int = s.DEFAULTS.export_max_rows) -> DataFrame:
-    """The newest rows with the eight export columns."""
+def export_rows(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows, newest first, with the eight export columns; all of them unless a limit is asked for."""
     columns = (
         "transaction_date", "description", "out_flow", "in_flow", "bank_name", "category", "currency", "converted_sgd",
     )
-    newest = rows.orderBy(F.col("transaction_date").desc(), F.col("transaction_id").asc()).limit(limit)
+    newest = rows.orderBy(F.col("transaction_date").desc(), F.col("transaction_id").asc())
+    newest = newest if limit is None else newest.limit(limit)
     return newest.select(*[F.col(c).alias(h) for c, h in zip(columns, s.EXPORT_HEADER, strict=True)])
 
 

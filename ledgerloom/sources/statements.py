@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import settings as s
+from ledgerloom.functions.text import strip
 
 FILE_SCHEMA = T.StructType(
     [
@@ -49,9 +50,9 @@ def content_hash(content: Column) -> Column:
 
 def strip_fence(raw: Column) -> Column:
     """The text inside a Markdown code fence, or the whole text without one."""
-    text = F.trim(raw)
+    text = strip(raw)
     inside = F.regexp_replace(F.get(F.split(text, "```"), F.lit(1)), "^json", "")
-    return F.trim(F.when(text.startswith("```"), inside).otherwise(text))
+    return strip(F.when(text.startswith("```"), inside).otherwise(text))
 
 
 def _parts(day: Column) -> Column:
@@ -120,6 +121,7 @@ def parse_statements(answers: DataFrame) -> DataFrame:
     head_ok = (
         F.col("doc").isNotNull()
         & F.col("doc._corrupt").isNull()
+        & F.col("doc.transactions").isNotNull()
         & F.col("doc.confidence").isin(*s.CONFIDENCE_LEVELS)
         & (given.isNull() | F.try_to_date(given, "yyyy-MM-dd").isNotNull())
     )
@@ -150,7 +152,7 @@ def parse_batch_labels(answers: DataFrame, items: DataFrame, whitelist: DataFram
         "statement_id",
         "chunk",
         "slot",
-        F.when(F.schema_of_variant("entry") == "STRING", F.trim(F.try_variant_get("entry", "$", "string"))).alias("label"),
+        F.when(F.schema_of_variant("entry") == "STRING", strip(F.try_variant_get("entry", "$", "string"))).alias("label"),
     )
     allowed = whitelist.select(F.col("name").alias("label")).unionByName(
         whitelist.sparkSession.range(1).select(F.lit(s.UNSURE).alias("label"))
@@ -161,7 +163,7 @@ def parse_batch_labels(answers: DataFrame, items: DataFrame, whitelist: DataFram
 def merge_labels(items: DataFrame, batch: DataFrame, single: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Label per item: the batch's, else the trimmed single answer if on the list, else UNSURE."""
     listed = whitelist.select(F.col("name").alias("single_label"))
-    singles = single.select("statement_id", "description", F.trim("answer").alias("single_label")).join(
+    singles = single.select("statement_id", "description", strip(F.col("answer")).alias("single_label")).join(
         listed, "single_label", "left_semi"
     )
     keys = ["statement_id", "description"]
@@ -176,9 +178,9 @@ def merge_labels(items: DataFrame, batch: DataFrame, single: DataFrame, whitelis
 def parse_bulk_import(text: DataFrame) -> DataFrame:
     """Pasted text (line_id, line; possibly many lines each) as raw payment rows."""
     lines = text.select("line_id", F.posexplode(F.split("line", "\n")).alias("row", "entry")).where(
-        F.trim("entry") != ""
+        strip(F.col("entry")) != ""
     )
-    parts = F.transform(F.split(F.trim("entry"), ","), lambda p: F.trim(p))
+    parts = F.transform(F.split(strip(F.col("entry")), ","), strip)
     frequency = F.lower(F.get("parts", F.lit(2)))
     annual = (frequency == "annual") & (F.size("parts") >= 5)
     return lines.withColumn("parts", parts).select(

@@ -153,8 +153,8 @@ def test_kth_smallest_narrows_without_ordering_everything(spark):
     values = [rng.choice([7, 7, 7, rng.randint(0, 10**6)]) for _ in range(3000)]
     frame = spark.createDataFrame([(v,) for v in values], "v bigint")
     for k in (1, 1500, 2999, 3000):
-        assert training.kth_smallest(frame, "v", k, selectable=50) == sorted(values)[k - 1]
+        assert training.kth_smallest(frame, "v", k) == sorted(values)[k - 1]
     texts_frame = frame.select(F.format_string("%09d", "v").alias("v"))
-    assert training.kth_smallest(texts_frame, "v", 2000, selectable=50) == f"{sorted(values)[1999]:09d}"
+    assert training.kth_smallest(texts_frame, "v", 2000) == f"{sorted(values)[1999]:09d}"
     with pytest.raises(ValueError):
         training.kth_smallest(frame, "v", 3001)
