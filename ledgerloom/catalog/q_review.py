@@ -185,11 +185,17 @@ EDITS = """SELECT category_id AS edit_id, 'remove' AS action, category_id, CAST(
 UNION ALL SELECT concat('r-', category_id), 'rename', category_id, concat(name, '2') FROM categories
 UNION ALL SELECT concat('d-', category_id), 'rename', category_id, 'PROMO' FROM categories
 UNION ALL SELECT concat('x-', category_id), 'rename', concat('no-', category_id), 'ANY' FROM categories
-UNION ALL SELECT concat('a-', category_id), 'add', CAST(NULL AS VARCHAR(20)), CASE WHEN active THEN name ELSE concat('NEW ', name) END FROM categories"""
+UNION ALL SELECT concat('a-', category_id), 'add', CAST(NULL AS VARCHAR(20)), CASE WHEN active THEN name ELSE concat('NEW ', name) END FROM categories
+UNION ALL SELECT concat('a2-', category_id), 'add', CAST(NULL AS VARCHAR(20)), 'TWICE' FROM categories
+UNION ALL SELECT concat('z-', category_id), 'add', CAST(NULL AS VARCHAR(20)), name FROM categories"""
 
 
 @query("apply_category_edits", f""", used AS (SELECT category_id, count(*) AS n FROM ledger GROUP BY 1), judged AS (
-  SELECT e.*, t.name AS old_name, CASE WHEN action = 'add' AND h.category_id IS NOT NULL THEN 'duplicate name'
+  SELECT e.*, CASE WHEN action = 'remove' AND edit_id > concat('r-', e.category_id) AND NOT t.is_reserved THEN concat(t.name, '2')
+      ELSE t.name END AS old_name,
+    CASE WHEN edit_id LIKE 'z-%' AND h.is_reserved THEN 'duplicate name' WHEN edit_id LIKE 'z-%' THEN NULL
+    WHEN edit_id LIKE 'a2-%' AND row_number() OVER (PARTITION BY new_name ORDER BY edit_id) > 1 THEN 'duplicate name'
+    WHEN action = 'add' AND h.category_id IS NOT NULL THEN 'duplicate name'
     WHEN action <> 'add' AND t.name IS NULL THEN 'not found' WHEN action <> 'add' AND t.is_reserved THEN 'reserved'
     WHEN action = 'rename' AND h.category_id <> e.category_id THEN 'duplicate name'
     WHEN action = 'remove' AND u.n > 0 THEN 'in use' END AS reason

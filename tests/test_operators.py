@@ -314,3 +314,25 @@ def test_bulk_import_keeps_good_rows(spark):
         ("Gym", None), ("Tax", None), ("Bad", "bad amount"), ("Late", "due day out of range"),
         ("Noday", "due day missing"), ("Odd", "due month out of range"),
     ]
+
+
+def test_category_edits_see_the_edits_before_them(spark):
+    from ledgerloom.operators import categories as cats
+
+    held = spark.createDataFrame(
+        [("a", "A", True, False), ("b", "B", True, False), ("u", "UNSURE", True, True)],
+        "category_id string, name string, active boolean, is_reserved boolean",
+    )
+    ledger = spark.createDataFrame([("b",)], "category_id string")
+    edits = [
+        ("1", "add", None, "NEW"), ("2", "add", None, "NEW"), ("3", "rename", "a", "C"), ("4", "add", None, "A"),
+        ("5", "rename", "b", "C"), ("6", "rename", "a", "B"), ("7", "remove", "b", None), ("8", "remove", "a", None),
+        ("9", "rename", "u", "X"), ("91", "rename", "zz", "X"), ("92", "add", None, "C"), ("93", "rename", "a", "C"),
+    ]
+    table = spark.createDataFrame(edits, "edit_id string, action string, category_id string, new_name string")
+    found = {r.edit_id: (r.reason, r.name) for r in cats.apply_category_edits(held, table, ledger).collect()}
+    assert found == {
+        "1": (None, "NEW"), "2": ("duplicate name", None), "3": (None, "C"), "4": (None, "A"), "5": ("duplicate name", "B"),
+        "6": ("duplicate name", "C"), "7": ("in use", "B"), "8": (None, "C"), "9": ("reserved", "UNSURE"), "91": ("not found", None),
+        "92": ("duplicate name", None), "93": (None, "C"),
+    }
