@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import q_extraction as qx
+from ledgerloom.catalog import q_recurring
 from ledgerloom.catalog import sql_text as sql
 from ledgerloom.catalog.inputs import categories, converted, ledger
 from ledgerloom.catalog.q_similarity import _decision
@@ -100,16 +101,18 @@ def ingest_ledger(spark, sf):
     )
 
 
-@query("list_statement_files")
+@query("list_statement_files", """, boxed AS (SELECT concat(lang, '/', doc_id // 50) AS folder,
+    string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY 1)
+SELECT folder, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS content_hash FROM boxed""")
 def list_statement_files(spark, sf):
-    """The documents written as files and listed again: ten folders of a few files each."""
+    """The documents written as files and listed again: a file for every fifty ids of a language, in their order."""
     path = scratch_path(spark, "inbox")
-    bind(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    boxed = bind(spark, sf, "documents").select("lang", F.floor(F.col("doc_id") / 50).alias("box"), "doc_id", "text")
+    boxed = boxed.repartition("lang", "box").sortWithinPartitions("lang", "box", "doc_id")
+    boxed.drop("doc_id").write.partitionBy("lang", "box").text(path)
     listed = st.list_files(spark, path, "txt")
-    return listed.select(
-        F.regexp_extract("path", "lang=([a-z]+)", 1).alias("folder"), "length",
-        st.content_hash(F.col("content")).alias("content_hash"),
-    )
+    folder = F.regexp_replace(F.regexp_extract("path", "(lang=[^/]+/box=[0-9]+)", 1), "(lang|box)=", "")
+    return listed.select(folder.alias("folder"), "length", st.content_hash(F.col("content")).alias("content_hash"))
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -136,15 +139,20 @@ def stream_statements(spark, sf):
     return done.select("file_id", "outcome", "reason", "n_transactions")
 
 
-@query("stream_recurring_match")
+@query("stream_recurring_match", q_recurring.BY_TEXT)
 def stream_recurring_match(spark, sf):
+    """The ledger in two deliveries, the lower ids first, so what arrives first is what the batch form takes."""
     inbox = scratch_path(spark, "ledger")
-    rows = ledger(spark, sf).select("transaction_id", "transaction_date", "description", "amount")
-    rows.repartitionByRange(2, "transaction_id").write.parquet(inbox)
+    rows = cut(ledger(spark, sf).select("transaction_id", "transaction_date", "description", "amount"))
+    low, high = rows.agg(F.min("transaction_id"), F.max("transaction_id")).first()
+    early = F.col("transaction_id") <= (low + high) // 2
     out, checkpoint = streams.paths(spark, "stream-matches")
-    stream = streams.file_stream(spark, inbox, "*.parquet", rows.schema)
     payments, matches = cut(bind(spark, sf, "payments")), cut(bind(spark, sf, "matches"))
-    return streams.stream_recurring_matches(stream, payments, matches, out, checkpoint)
+    for part in (early, ~early):
+        rows.where(part).write.mode("append").parquet(inbox)
+        arrived = streams.file_stream(spark, inbox, "*.parquet", rows.schema, files=1000)
+        done = streams.stream_recurring_matches(arrived, payments, matches, out, checkpoint)
+    return done
 
 
 @query("stream_log_tail", "SELECT event_id AS line_id, user_id AS run_id, event_type AS level FROM events")

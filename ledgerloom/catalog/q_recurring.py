@@ -87,12 +87,15 @@ TEXT_KEY = sql.token_key("upper(description)")
 NAME_KEY = sql.token_key("upper(name)")
 
 
-@query("match_recurring", f""", {sql.pairs('scored', f'SELECT {TEXT_KEY} AS k FROM ledger', f'SELECT {NAME_KEY} AS k FROM payments')},
-together AS (SELECT l.transaction_id, l.transaction_date, l.amount, p.payment_id, p.expected_amount, p.frequency,
-    p.due_month, p.due_day, p.is_trusted
+TOGETHER = "l.transaction_id, l.transaction_date, l.amount, p.payment_id, p.expected_amount, p.frequency, p.due_month, p.due_day, p.is_trusted"
+BY_TEXT = f""", {sql.pairs('scored', f'SELECT {TEXT_KEY} AS k FROM ledger', f'SELECT {NAME_KEY} AS k FROM payments')},
+together AS (SELECT {TOGETHER}
   FROM (SELECT *, {TEXT_KEY} AS k FROM ledger) l JOIN scored s ON s.l = l.k
-  JOIN (SELECT *, {NAME_KEY} AS k FROM payments) p ON p.k = s.r), {FIRST}""")
-def match_recurring(spark, sf):
+  JOIN (SELECT *, {NAME_KEY} AS k FROM payments) p ON p.k = s.r), {FIRST}"""
+
+
+@query("match_recurring_by_text", BY_TEXT)
+def match_recurring_by_text(spark, sf):
     return recurring.match_by_text(ledger(spark, sf), bind(spark, sf, "payments"), bind(spark, sf, "matches"))
 
 
@@ -117,29 +120,50 @@ def _slot(table: str, key: str) -> str:
     return f"(SELECT x.*, v.vec_id, v.embedding FROM {table} x CROSS JOIN (SELECT count(*) AS n FROM embeddings) c JOIN embeddings v ON v.vec_id = x.{key} % c.n)"
 
 
-@query("match_recurring_by_vectors", f""", cosines AS (SELECT a.vec_id AS a, b.vec_id AS b,
+NEAR = f"""cosines AS (SELECT a.vec_id AS a, b.vec_id AS b,
   list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a CROSS JOIN embeddings b),
 pay AS {_slot('payments', 'payment_id')},
 near AS (SELECT q_vec, payment_id, score FROM (SELECT c.a AS q_vec, p.payment_id, c.score FROM cosines c JOIN pay p ON p.vec_id = c.b) t
   QUALIFY row_number() OVER (PARTITION BY q_vec ORDER BY score DESC, payment_id) <= 5),
-together AS (SELECT l.transaction_id, l.transaction_date, l.amount, p.payment_id, p.expected_amount, p.frequency, p.due_month, p.due_day, p.is_trusted
+by_vectors AS (SELECT {TOGETHER}
   FROM ledger l JOIN ledger_vectors v USING (transaction_id) JOIN near n ON n.q_vec = v.vec_id JOIN payments p USING (payment_id)
-  WHERE CASE WHEN l.llm_category <> 'UNSURE' AND l.llm_category = p.category THEN least(1.0, n.score + 0.05) ELSE n.score END >= 0.30), {FIRST}""")
-def match_recurring_by_vectors(spark, sf):
-    rows, payments = ledger(spark, sf), bind(spark, sf, "payments")
+  WHERE CASE WHEN l.llm_category <> 'UNSURE' AND l.llm_category = p.category THEN least(1.0, n.score + 0.05) ELSE n.score END >= 0.30)"""
+
+
+def _searched(spark, sf, searched, min_score=None):
+    """What a vector search returns for the rows that ``searched`` selects."""
+    payments = bind(spark, sf, "payments")
     vectors = bind(spark, sf, "embeddings")
     n = vectors.agg(F.count("*")).scalar()
     slots = payments.select("payment_id", (F.col("payment_id") % n).alias("vec_id"))
     index = slots.join(vectors, "vec_id").select(F.col("payment_id").alias("id"), F.col("embedding").alias("vector"))
-    placed = bind(spark, sf, "ledger_vectors").select(
+    placed = bind(spark, sf, "ledger_vectors").where(searched).select(
         # Row ids are set apart from payment ids: nothing here is its own neighbour.
         (-F.col("transaction_id") - 1).alias("id"), F.col("embedding").alias("vector")
     )
-    near = neighbours.nearest_neighbours(placed, index, min_score=0.25).select(
+    return neighbours.nearest_neighbours(placed, index, min_score=min_score).select(
         (-F.col("query_id") - 1).alias("transaction_id"), F.col("neighbour_id").alias("payment_id"), "score"
     )
-    cfg = dataclasses.replace(DEFAULTS, vector_threshold=0.30)
-    return recurring.match_by_neighbours(rows, payments, bind(spark, sf, "matches"), near, cfg)
+
+
+NEAR_ENOUGH = dataclasses.replace(DEFAULTS, vector_threshold=0.30)
+
+
+@query("match_recurring_by_vectors", f""", {NEAR}, together AS (SELECT * FROM by_vectors), {FIRST}""")
+def match_recurring_by_vectors(spark, sf):
+    return recurring.match_by_neighbours(
+        ledger(spark, sf), bind(spark, sf, "payments"), bind(spark, sf, "matches"), _searched(spark, sf, F.lit(True), 0.25), NEAR_ENOUGH
+    )
+
+
+@query("match_recurring", BY_TEXT.replace("together AS", "by_text AS").split(", cycled AS")[0] + f""", {NEAR},
+together AS (SELECT * FROM by_text WHERE transaction_id % 2 = 1 UNION ALL SELECT * FROM by_vectors WHERE transaction_id % 2 = 0), {FIRST}""")
+def match_recurring(spark, sf):
+    """Every other row has a vector yet; the rest goes by its text."""
+    near = _searched(spark, sf, F.col("transaction_id") % 2 == 0)
+    return recurring.match_recurring(
+        ledger(spark, sf), bind(spark, sf, "payments"), bind(spark, sf, "matches"), near, NEAR_ENOUGH
+    )
 
 
 @query("decide_match_status", f"""SELECT m.match_id, {STATUS} AS status FROM (SELECT match_id, payment_id, amount_at_match AS amount FROM matches) m

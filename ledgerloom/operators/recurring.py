@@ -59,15 +59,13 @@ def _first_per_cycle(pairs: DataFrame, matches: DataFrame, cfg: s.Settings) -> D
 
 
 PAYMENT_COLUMNS = ("payment_id", "expected_amount", "frequency", "due_month", "due_day", "is_trusted")
+PAIR_COLUMNS = ("transaction_id", "transaction_date", "amount", *PAYMENT_COLUMNS)
 
 
-def match_by_text(
-    rows: DataFrame, payments: DataFrame, matches: DataFrame, cfg: s.Settings = s.DEFAULTS
-) -> DataFrame:
-    """New matches of ledger rows whose upper-cased text is like a payment's name.
+def _text_pairs(rows: DataFrame, payments: DataFrame, cfg: s.Settings) -> DataFrame:
+    """Rows with the payments whose name is like their upper-cased text.
 
-    The amount plays no part in the choice, only in the status. Rows are cut to the first
-    per (text, day) before they meet the payments: no other can win a cycle.
+    Rows are cut to the first per (text, day) before they meet the payments: no other can win a cycle.
     """
     keyed = rows.select(
         token_key(F.upper("description")).alias("text_key"), "transaction_date", "transaction_id", "amount"
@@ -83,28 +81,53 @@ def match_by_text(
         named.select(F.col("name_key").alias("key")).distinct(),
         cfg.text_threshold,
     ).select(F.col("left_key").alias("text_key"), F.col("right_key").alias("name_key"))
-    together = firsts.join(pairs, "text_key").join(named, "name_key")
-    return _first_per_cycle(together, matches, cfg)
+    return firsts.join(pairs, "text_key").join(named, "name_key").select(*PAIR_COLUMNS)
 
 
-def match_by_neighbours(
-    rows: DataFrame, payments: DataFrame, matches: DataFrame, neighbours: DataFrame, cfg: s.Settings = s.DEFAULTS
-) -> DataFrame:
-    """New matches where a vector search found payments near the row.
-
-    ``neighbours``: transaction_id, payment_id, score. Rows the search returned nothing for
-    belong to :func:`match_by_text`; a payment missing from a row's neighbours is unmatched.
-    """
+def _near_pairs(rows: DataFrame, payments: DataFrame, neighbours: DataFrame, cfg: s.Settings) -> DataFrame:
+    """Rows with those of their ``neighbours`` (transaction_id, payment_id, score) that are near enough."""
     named = payments.select(F.col("category").alias("payment_category"), *PAYMENT_COLUMNS)
     score = boosted(F.col("score"), F.col("payment_category"), F.col("llm_category"), cfg.llm_boost)
-    together = (
+    return (
         neighbours.join(
             rows.select("transaction_id", "transaction_date", "amount", "llm_category"), "transaction_id"
         )
         .join(named, "payment_id")
         .where(score >= cfg.vector_threshold)
+        .select(*PAIR_COLUMNS)
     )
-    return _first_per_cycle(together, matches, cfg)
+
+
+def match_by_text(
+    rows: DataFrame, payments: DataFrame, matches: DataFrame, cfg: s.Settings = s.DEFAULTS
+) -> DataFrame:
+    """New matches of ledger rows whose upper-cased text is like a payment's name.
+
+    The amount plays no part in the choice, only in the status.
+    """
+    return _first_per_cycle(_text_pairs(rows, payments, cfg), matches, cfg)
+
+
+def match_by_neighbours(
+    rows: DataFrame, payments: DataFrame, matches: DataFrame, neighbours: DataFrame, cfg: s.Settings = s.DEFAULTS
+) -> DataFrame:
+    """New matches where a vector search found payments near the row; ``neighbours`` as for ``match_recurring``."""
+    return _first_per_cycle(_near_pairs(rows, payments, neighbours, cfg), matches, cfg)
+
+
+def match_recurring(
+    rows: DataFrame, payments: DataFrame, matches: DataFrame, neighbours: DataFrame, cfg: s.Settings = s.DEFAULTS
+) -> DataFrame:
+    """New matches by vectors for rows whose search returned anything, by text for the others.
+
+    ``neighbours``: transaction_id, payment_id, score, all that the search returned. Whether it returned
+    anything decides before any threshold; a searched row without a near payment stays unmatched.
+    The first row of either kind takes a cycle.
+    """
+    searched = neighbours.select("transaction_id").distinct()
+    others = rows.join(searched, "transaction_id", "left_anti")
+    pairs = _near_pairs(rows, payments, neighbours, cfg).unionByName(_text_pairs(others, payments, cfg))
+    return _first_per_cycle(pairs, matches, cfg)
 
 
 def payment_statuses(
