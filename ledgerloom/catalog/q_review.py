@@ -390,36 +390,44 @@ def backup_snapshot(spark, sf):
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
-@query("context_csv", """, newest AS (SELECT * FROM converted ORDER BY transaction_date DESC, transaction_id LIMIT 3000)
-SELECT count(*) AS n_rows, 'date,description,direction,amount,currency,converted_sgd,bank,category' || chr(10) || string_agg(
+@query("context_csv", """, newest AS (SELECT *, count(*) OVER (PARTITION BY custkey) > 3000 AS more FROM converted
+  QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY transaction_date DESC, transaction_id) <= 3000)
+SELECT custkey, any_value(more) AS truncated, count(*) AS n_rows, 'date,description,direction,amount,currency,converted_sgd,bank,category' || chr(10) || string_agg(
   concat(transaction_date, ',"', replace(description, '"', '""'), '",', CASE WHEN out_flow IS NOT NULL THEN 'out' ELSE 'in' END, ',',
     amount, ',', currency, ',', coalesce(CAST(converted_sgd AS VARCHAR), ''), ',', bank_name, ',', category), chr(10)
-  ORDER BY transaction_date DESC, transaction_id) AS context FROM newest""")
+  ORDER BY transaction_date DESC, transaction_id) AS context FROM newest GROUP BY custkey""")
 def context_csv(spark, sf):
-    return exports.context_csv(paging.limit_with_truncation(converted(spark, sf)))
+    return exports.context_csv(converted(spark, sf), "custkey")
 
 
 def _statement_amounts(spark, sf):
-    return bind(spark, sf, "statement_lines").withColumnRenamed("amount", "amount_sgd")
+    """Statement lines with their amounts in the reporting currency, as prompts show them."""
+    amounts = converted(spark, sf).select("transaction_id", F.col("converted_sgd").alias("amount_sgd"))
+    return bind(spark, sf, "statement_lines").join(amounts, "transaction_id")
+
+
+FIRST_AMOUNTS = """firsts AS (SELECT statement_id, l.description, first(c.converted_sgd ORDER BY pos) AS amount_sgd
+  FROM statement_lines l JOIN converted c USING (transaction_id) GROUP BY 1, 2)"""
 
 
 BATCH_PARTS = s.BATCH_PROMPT.replace("%d", "%s").split("%s")
 BATCH_SQL = "concat(" + ", ".join(
     part for pair in zip(
         [quoted(p).replace("\n", "' || chr(10) || '") for p in BATCH_PARTS],
-        ["count(*)", WHITELIST, "string_agg(concat(slot + 1, '. ', description, ' (amount: ', amount, ' SGD)'), chr(10) ORDER BY slot)", "''"],
+        ["count(*)", WHITELIST, "string_agg(concat(slot + 1, '. ', description, ' (amount: ', coalesce(CAST(amount_sgd AS VARCHAR) || ' SGD', 'unknown'), ')'), chr(10) ORDER BY slot)", "''"],
         strict=True,
     ) for part in pair
 ) + ")"
 
 
-@query("classification_prompts", f"SELECT statement_id, chunk, {BATCH_SQL} AS prompt FROM label_items GROUP BY 1, 2")
+@query("classification_prompts", f""", {FIRST_AMOUNTS}
+SELECT statement_id, chunk, {BATCH_SQL} AS prompt FROM label_items JOIN firsts USING (statement_id, description) GROUP BY 1, 2""")
 def classification_prompts(spark, sf):
     items = exports.prompt_items(_statement_amounts(spark, sf))
     return exports.batch_prompts(items, flt.active_whitelist(categories(spark, sf)))
 
 
-query("first_amount_per_description", "SELECT statement_id, description, arg_min(amount, pos) AS amount_sgd FROM statement_lines GROUP BY 1, 2")(
+query("first_amount_per_description", f", {FIRST_AMOUNTS} SELECT * FROM firsts")(
     lambda spark, sf: exports.first_amounts(_statement_amounts(spark, sf)).select("statement_id", "description", "amount_sgd")
 )
 query("distinct_descriptions", "SELECT DISTINCT description FROM ledger")(

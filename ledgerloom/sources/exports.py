@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import settings as s
@@ -30,11 +30,15 @@ def backup_rows(ledger: DataFrame) -> DataFrame:
     return ledger.select(*s.BACKUP_COLUMNS)
 
 
-def context_csv(rows: DataFrame) -> DataFrame:
-    """The rows in scope as one CSV text for a prompt, newest first.
+def context_csv(rows: DataFrame, account: str, limit: int = s.DEFAULTS.context_max_rows) -> DataFrame:
+    """The newest rows of each account as one CSV text for a prompt; ``truncated`` tells if there are more.
 
-    ``rows`` has passed the context limit (3000 rows), which bounds the text.
+    The limit on rows is part of the feature: a prompt holds so many. It bounds each text, and rows
+    beyond it are dropped before any are gathered.
     """
+    newest_first = Window.partitionBy(account).orderBy(F.col("transaction_date").desc(), F.col("transaction_id").asc())
+    sizes = rows.groupBy(account).agg((F.count("*") > limit).alias("truncated"))
+    rows = rows.withColumn("_place", F.row_number().over(newest_first)).where(F.col("_place") <= limit)
     quoted = F.concat(F.lit('"'), F.replace("description", F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(
         ",",
@@ -51,7 +55,10 @@ def context_csv(rows: DataFrame) -> DataFrame:
         (-F.unix_date("transaction_date")).alias("newest"), "transaction_id", line.alias("line")
     )
     body = F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["line"]), "\n")
-    return rows.agg(F.count("*").alias("n_rows"), F.concat(F.lit(s.CONTEXT_HEADER + "\n"), body).alias("context"))
+    texts = rows.groupBy(account).agg(
+        F.count("*").alias("n_rows"), F.concat(F.lit(s.CONTEXT_HEADER + "\n"), body).alias("context")
+    )
+    return texts.join(sizes, account)
 
 
 def prompt_items(lines: DataFrame, batch: int = s.DEFAULTS.label_batch_size) -> DataFrame:
