@@ -28,6 +28,15 @@ def count_repeats(table: str, rule: str, rows: DataFrame, *keys: str) -> DataFra
     )
 
 
+def count_keyed(table: str, rows: DataFrame, rule: str, keys: tuple[str, ...], **rules: Column) -> DataFrame:
+    """Keys that occur more than once and rows that break ``rules``, in one pass over the table."""
+    by_key = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), *broken(**rules))
+    counted = by_key.agg(
+        F.count_if(F.col("_rows") > 1).alias(rule), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in rules]
+    )
+    return counted.unpivot([], [rule, *rules], "rule", "violations").select(F.lit(table).alias("table"), "rule", "violations")
+
+
 def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations of every rule whose table is given."""
     c = F.col
@@ -36,14 +45,13 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
     due = c("due_day").between(1, 31)
     checks = {
         "ledger": lambda t: [
-            count_violations(
-                "ledger", t,
+            count_keyed(
+                "ledger", t, "unique_id", ("transaction_id",),
                 one_positive_flow=~(single & (F.coalesce("out_flow", "in_flow") > 0)),
                 unavailable_has_no_amount=c("is_unavailable") & (c("converted_sgd").isNotNull() | c("fx_rate").isNotNull()),
                 not_both_flags=c("is_unavailable") & c("is_approximate"),
                 known_source=~c("category_source").isin(*s.CATEGORY_SOURCES),
-            ),
-            count_repeats("ledger", "unique_id", t, "transaction_id"),
+            )
         ],
         "run_files": lambda t: [
             count_violations(
@@ -84,10 +92,10 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
             )
         ],
         "backups": lambda t: [
-            count_repeats("backups", "one_per_day", t, "backup_date"),
-            count_violations(
-                "backups", t, category_fits_outcome=((c("outcome") == "failed") != c("failure_category").isNotNull())
-            ),
+            count_keyed(
+                "backups", t, "one_per_day", ("backup_date",),
+                category_fits_outcome=((c("outcome") == "failed") != c("failure_category").isNotNull()),
+            )
         ],
     }
     parts = [part for name, rows in tables.items() for part in checks[name](rows)]
