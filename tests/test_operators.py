@@ -336,3 +336,40 @@ def test_category_edits_see_the_edits_before_them(spark):
         "6": ("duplicate name", "C"), "7": ("in use", "B"), "8": (None, "C"), "9": ("reserved", "UNSURE"), "91": ("not found", None),
         "92": ("duplicate name", None), "93": (None, "C"),
     }
+
+
+def test_vectors_decide_for_searched_rows_and_the_first_takes_the_cycle(spark):
+    rows = spark.createDataFrame(
+        [(i, dt.date(2001, 3, 10), text, D("20.00"), "UNSURE") for i, text in ((1, "GYM CLUB"), (2, "GYM CLUB"), (3, "RENT"), (4, "RENT"), (5, "POOL"))],
+        "transaction_id bigint, transaction_date date, description string, amount decimal(18,2), llm_category string",
+    )
+    payments = spark.createDataFrame(
+        [(i, name, "c", D("20.00"), "monthly", None, 10, True) for i, name in ((1, "Gym Club"), (2, "Rent"), (3, "Pool"))],
+        "payment_id bigint, name string, category string, expected_amount decimal(18,2), frequency string, due_month int, due_day int, is_trusted boolean",
+    )
+    matches = spark.createDataFrame([], "payment_id bigint, cycle_period string, status string")
+    # row 1 was searched and found the rent, rows 3 and 5 only something too far away; the others go by text
+    near = spark.createDataFrame([(1, 2, 0.99), (3, 2, 0.01), (5, 3, 0.01)], "transaction_id bigint, payment_id bigint, score double")
+    found = recurring.match_recurring(rows, payments, matches, near).collect()
+    assert sorted((r.payment_id, r.transaction_id) for r in found) == [(1, 2), (2, 1)]
+    assert len({(r.payment_id, r.cycle_period) for r in found}) == len(found)
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from ledgerloom.functions.text import strip, valid_label
+    from ledgerloom.sources.statements import strip_fence
+
+    texts = ["a", " a\n", "\t\r\na b ", " ", "", None]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t")).alias("v")).collect()]
+    assert got == [None if t is None else t.strip() for t in texts]
+    row = spark.range(1).select(
+        valid_label(F.lit("Dining\r\n"), F.array(F.lit("Dining"))).alias("label"),
+        strip_fence(F.lit('\n ```json\n{"a": 1}\n```\r\n')).alias("inside"),
+    ).first()
+    assert (row.label, row.inside) == ("Dining", '{"a": 1}')
+
+
+def test_ranks_of_a_sorted_result(spark):
+    rows = spark.range(1000).select(F.xxhash64("id").alias("v"), "id").repartition(7)
+    ranked = paging.with_rank(rows.orderBy("v", "id")).collect()
+    assert [r["rank"] for r in sorted(ranked, key=lambda r: (r.v, r.id))] == list(range(1, 1001))
