@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame
 _CHUNK_BITS = 14
 
 
+def _smallest(counts: np.ndarray) -> np.dtype:
+    """The narrowest unsigned type that holds the counts: they are shuffled once per task."""
+    return np.min_scalar_type(int(counts.max()))
+
+
 def bucket_counts(df: DataFrame, buckets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
     """How often each of ``2 ** bits`` buckets occurs in what ``buckets_of`` makes of the rows.
 
@@ -36,17 +41,18 @@ def bucket_counts(df: DataFrame, buckets_of: Callable[[pa.RecordBatch], Iterator
                     {
                         "chunk": pa.array([chunk], pa.int32()),
                         "places": pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
-                        "counts": pa.array([part[at].tobytes()], pa.binary()),
+                        "counts": pa.array([part[at].astype(_smallest(part)).tobytes()], pa.binary()),
+                        "width": pa.array([_smallest(part).itemsize], pa.int32()),
                     }
                 )
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << _CHUNK_BITS, np.int64)
-        for places, counts in zip(rows["places"], rows["counts"], strict=True):
-            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int64)
+        for places, counts, width in zip(rows["places"], rows["counts"], rows["width"], strict=True):
+            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, f"u{width}").astype(np.int64)
         return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "counts": [total.tobytes()]})
 
-    parts = df.mapInArrow(partial, "chunk int, places binary, counts binary")
+    parts = df.mapInArrow(partial, "chunk int, places binary, counts binary, width int")
     rows = parts.groupBy("chunk").applyInPandas(summed, "chunk int, counts binary").collect()
     out = np.zeros(1 << max(bits, _CHUNK_BITS), np.int64)
     for row in rows:

@@ -249,14 +249,18 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     classes = _frequency_classes(docs, width)
     rows = cut(_prefixes(docs, classes, width, percent))
     groups = cut(rows.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_id")))
-    chosen = rows.join(groups, ["sig1", "sig2", "doc_id"]).withColumnRenamed("sig1", "node")
-    chosen = chosen.select("node", "doc_id", "n", *_BITS, "wide", "prefix").dropDuplicates(["node"])
-    known = cut(chosen.select("node", "doc_id", "n", "wide"))
-    postings = chosen.select("node", "n", *_BITS, F.posexplode("prefix").alias("place", "token"))
-    entries = postings.groupBy("token").agg(
-        F.count("*").alias("df"), F.min(F.struct("place", "node", "n", *_BITS)).alias("leader")
-    )
-    index = cut(postings.join(entries.where("df > 1"), "token"))
+    key = ["sig1", "sig2", "doc_id"]
+    # on the join's own key, so that repeated rows go without another shuffle
+    chosen = rows.join(groups, key).dropDuplicates(key).withColumnRenamed("sig1", "node")
+    known = cut(chosen.select("node", "doc_id", "n", *_BITS, "wide"))
+    postings = chosen.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    # counts first: most shingles are in one prefix only, and those go no further; equal sets count too,
+    # which keeps a few shingles more but needs no join before
+    shared = rows.where("n > 0 and doc_id is not null").select(F.explode("prefix").alias("token"))
+    shared = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    index = postings.join(shared, "token").join(known.select("node", *_BITS), "node")
+    index = cut(index)
+    leaders = index.groupBy("token").agg(F.min(F.struct("place", "node", "n", *_BITS)).alias("leader"))
 
     room = f"{100 + percent} * ({{0}}.place + {{1}}.place) <= {100 - percent} * ({{0}}.n + {{1}}.n)"
     sizes = f"100 * least({{0}}.n, {{1}}.n) >= {percent} * greatest({{0}}.n, {{1}}.n)"
@@ -268,7 +272,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     def distinct_pairs(found: DataFrame) -> DataFrame:
         return found.groupBy("x", "y").agg(*one_each).select("x", "y", "best.df", "best.token")
 
-    stars = index.alias("i").where("node <> leader.node").where(near.format("i", "leader"))
+    stars = index.join(leaders, "token").alias("i").where("node <> leader.node").where(near.format("i", "leader"))
     stars = stars.select(
         F.least("node", "leader.node").alias("x"), F.greatest("node", "leader.node").alias("y"), "df", "token"
     )
