@@ -70,7 +70,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.select("*", sha1_base32(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size"))
     groups = rows.where(F.col("size") >= least_bytes).groupBy("digest")
     groups = groups.agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
-    rows = rows.join(groups, "digest", "left")
+    # stored, so that its size is known: payloads are shuffled only if repeated ones are many
+    rows = rows.join(cut(groups), "digest", "left")
     again = (F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
 
