@@ -26,11 +26,12 @@ the input are not read.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bounded
@@ -56,6 +57,16 @@ _BITS = [f"p{i}" for i in range(PARITY // 64)]
 _OTHER_ORDERS = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan refers to any more.
+
+    It does so only when the driver collects garbage, which an idle driver does not do for long; the
+    files of a step that is written out would lie about beside those of the next one.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
@@ -237,7 +248,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, p
             )
 
     dealt = rows.repartition("entry").sortWithinPartitions("entry", "kind")
-    return cut(dealt.mapInArrow(run, "a long, b long"))
+    links = cut(dealt.mapInArrow(run, "a long, b long"))
+    _release(docs.sparkSession)
+    return links
 
 
 def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -253,13 +266,15 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     # on the join's own key, so that repeated rows go without another shuffle
     chosen = rows.join(groups, key).dropDuplicates(key).withColumnRenamed("sig1", "node")
     known = cut(chosen.select("node", "doc_id", "n", *_BITS, "wide"))
-    postings = chosen.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    _release(docs.sparkSession)
+    postings = chosen.select("node", F.posexplode("prefix").alias("place", "token"))
     # counts first: most shingles are in one prefix only, and those go no further; equal sets count too,
     # which keeps a few shingles more but needs no join before
     shared = rows.where("n > 0 and doc_id is not null").select(F.explode("prefix").alias("token"))
     shared = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    index = postings.join(shared, "token").join(known.select("node", *_BITS), "node")
+    index = postings.join(shared, "token").join(known.select("node", "n", *_BITS), "node")
     index = cut(index)
+    _release(docs.sparkSession)
     leaders = index.groupBy("token").agg(F.min(F.struct("place", "node", "n", *_BITS)).alias("leader"))
 
     room = f"{100 + percent} * ({{0}}.place + {{1}}.place) <= {100 - percent} * ({{0}}.n + {{1}}.n)"
@@ -278,11 +293,11 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     )
     links = _verified(docs, distinct_pairs(stars), known, width, percent)
     joined = cut(connected_components(links))
+    _release(docs.sparkSession)
 
     merged = index.join(joined, "node", "left").select(
         "token", "df", "node", "n", "place", *_BITS, F.coalesce("component", "node").alias("component")
     )
-    merged = cut(merged)
     a, b = merged.alias("a"), merged.alias("b")
     rest = a.join(b, F.expr("a.token = b.token and a.node < b.node and a.component <> b.component and " + near.format("a", "b")))
     rest = rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), "a.df", "a.token")
