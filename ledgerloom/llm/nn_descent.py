@@ -9,8 +9,11 @@
    a sample of those that list it, and every pair of them of which one is new is compared. Rounds end
    when few lists change.
 4. Links are list entries over the threshold. A list that has nothing else is saturated, so there may be
-   more: it is enlarged to everything that links reach, which is the whole component. Components are
-   compared in blocks of ``BLOCK`` by ``BLOCK`` that return sums per vector, never pairs.
+   more: it is enlarged to everything that links reach, the whole component, and the ``LIST`` best
+   outside of it. These are searched among the saturated classes (a link that no list has is saturated at both
+   ends); what they link is joined, and so on until each list holds an entry below the threshold or
+   all of its space. Components are compared in blocks of ``BLOCK`` by ``BLOCK`` that return sums per
+   vector, never pairs.
 5. An audit compares ``AUDIT`` classes, the first by a hash, with all vectors of their labels and counts
    the links found. Below ``RECALL`` the search goes on with other projections and more rounds; it
    fails loudly if ``MAX_SEARCHES`` do not reach it.
@@ -44,9 +47,11 @@ CHANGED = 0.002
 AUDIT = 256
 RECALL = 0.99
 MAX_SEARCHES = 4
+MAX_ENLARGED = 40
+MAX_IDLE = 2
 SEED = 9
 
-_PAIRS = "node long, other long, sim double"
+_PAIRS = "node long, other long, sim double, own boolean"
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,16 +92,22 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-_PAIR_KINDS = {"node": pa.int64(), "other": pa.int64(), "sim": pa.float64()}
+_PAIR_KINDS = {"node": pa.int64(), "other": pa.int64(), "sim": pa.float64(), "own": pa.bool_()}
 
 
-def _best(nodes: np.ndarray, sims: np.ndarray, most: int) -> list[tuple]:
-    """For each row of ``sims`` its ``most`` best columns, as (node, other, sim); -2 marks no pair."""
+def _best(nodes: np.ndarray, parts: np.ndarray, sims: np.ndarray, most: int) -> list[tuple]:
+    """For each row of ``sims`` its ``most`` best columns within and outside of its part, as (node, other, sim, own).
+
+    -2 marks no pair.
+    """
     out = []
     take = min(most, sims.shape[1])
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
-    for i, columns in enumerate(order):
-        out += [(int(nodes[i]), int(nodes[j]), float(sims[i, j])) for j in columns if sims[i, j] > -2]
+    same = parts[:, None] == parts[None, :]
+    for own in (False, True) if same.sum() > len(parts) else (False,):
+        seen = np.where(same == own, sims, -3)
+        order = np.argsort(-seen, axis=1, kind="stable")[:, :take]
+        for i, columns in enumerate(order):
+            out += [(int(nodes[i]), int(nodes[j]), float(seen[i, j]), own) for j in columns if seen[i, j] > -2]
     return out
 
 
@@ -109,7 +120,7 @@ def _started(classes: DataFrame, search: int) -> DataFrame:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             rows = []
-            for node, space, vec in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for node, part, space, vec in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x = _matrix([vec])[0]
                 if len(x) not in planes:
                     rng = np.random.default_rng([SEED, search, len(x)])
@@ -117,8 +128,11 @@ def _started(classes: DataFrame, search: int) -> DataFrame:
                 seen = planes[len(x)] @ x
                 for table in range(TABLES):
                     code = int(((seen[table, :bits] > 0) << np.arange(bits)).sum())
-                    rows.append((table, space, code, float(seen[table, bits]), node, vec))
-            kinds = {"table": pa.int32(), "space": pa.string(), "code": pa.int64(), "place": pa.float64(), "node": pa.int64(), "vec": pa.binary()}
+                    rows.append((table, space, code, float(seen[table, bits]), node, part, vec))
+            kinds = {
+                "table": pa.int32(), "space": pa.string(), "code": pa.int64(), "place": pa.float64(),
+                "node": pa.int64(), "part": pa.int64(), "vec": pa.binary(),
+            }
             yield _batch(rows, kinds)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,23 +140,23 @@ def _started(classes: DataFrame, search: int) -> DataFrame:
 
         def lists() -> pa.RecordBatch:
             nodes = np.array([h[1] for h in held], np.int64)
-            x = _matrix([h[2] for h in held])
+            x = _matrix([h[3] for h in held])
             sims = x @ x.T
             np.fill_diagonal(sims, -3)
-            out = _batch(_best(nodes, sims, LIST), _PAIR_KINDS)
+            out = _batch(_best(nodes, np.array([h[2] for h in held], np.int64), sims, LIST), _PAIR_KINDS)
             held.clear()
             return out
 
         for batch in batches:
-            for table, space, node, vec in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True):
+            for table, space, node, part, vec in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6)), strict=True):
                 if held and (held[0][0] != (table, space) or len(held) == CHUNK):
                     yield lists()
-                held.append(((table, space), node, vec))
+                held.append(((table, space), node, part, vec))
         if held:
             yield lists()
 
-    codes = classes.select("node", "space", "vec").mapInArrow(
-        coded, "table int, space string, code long, place double, node long, vec binary"
+    codes = classes.select("node", "part", "space", "vec").mapInArrow(
+        coded, "table int, space string, code long, place double, node long, part long, vec binary"
     )
     order = ["table", "space", "code", "place"]
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -151,23 +165,23 @@ def _started(classes: DataFrame, search: int) -> DataFrame:
 
 
 def _listed(pairs: DataFrame) -> DataFrame:
-    """The ``LIST`` best of each node, from pairs that may repeat."""
-    best = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
-    once = pairs.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
+    """The ``LIST`` best of each node within and outside of its part, from pairs that may repeat."""
+    best = Window.partitionBy("node", "own").orderBy(F.desc("sim"), "other")
+    once = pairs.groupBy("node", "other", "own").agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LIST).drop("rank")
 
 
 def _joined(lists: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """Pairs found where neighbours of a node meet."""
-    into = lists.groupBy("other").agg(F.count("*").alias("listed"))
-    back = lists.join(into, "other").where(
+    into = lists.groupBy("other", "own").agg(F.count("*").alias("listed"))
+    back = lists.join(into, ["other", "own"]).where(
         F.pmod(F.xxhash64("node", "other", F.lit(turn)), F.col("listed")) < LIST
     )
     members = lists.select(F.col("node").alias("center"), F.col("other").alias("node"), "old").unionByName(
         back.select(F.col("other").alias("center"), "node", "old")
     )
     members = members.groupBy("center", "node").agg(F.min("old").alias("old"))
-    met = members.join(classes.select("node", "vec"), "node").select("center", "node", "old", "vec")
+    met = members.join(classes.select("node", "part", "vec"), "node").select("center", "node", "old", "part", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -177,15 +191,15 @@ def _joined(lists: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
             old = np.array([h[2] for h in held], bool)
             if len(held) < 2 or old.all():
                 return []
-            x = _matrix([h[3] for h in held])
+            x = _matrix([h[4] for h in held])
             sims = x @ x.T
             sims[old[:, None] & old[None, :]] = -3
             np.fill_diagonal(sims, -3)
-            return _best(nodes, sims, LIST)
+            return _best(nodes, np.array([h[3] for h in held], np.int64), sims, LIST)
 
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and held[0][0] != row[0]:
                     out += pairs()
                     held.clear()
@@ -197,22 +211,66 @@ def _joined(lists: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     return met.repartition("center").sortWithinPartitions("center").mapInArrow(run, _PAIRS)
 
 
-def _search(classes: DataFrame, lists: DataFrame | None, search: int) -> DataFrame:
-    """Lists (node, other, sim, old) after refinement, going on from ``lists`` if there are some."""
-    fresh = _started(classes, search).withColumn("old", F.lit(False))
-    now = cut(_listed(fresh if lists is None else fresh.unionByName(lists.withColumn("old", F.lit(False)))))
+def _search(classes: DataFrame, lists: DataFrame | None, search: int, heads: bool = False) -> DataFrame:
+    """Lists (node, other, sim, own, old) of ``classes`` (node, part, space, vec), going on from ``lists`` if there are some."""
+    fresh = _started(classes, search)
+    if heads:
+        # one class of each part besides: a chunk within a large part shows nothing outside of it
+        first = classes.groupBy("part").agg(F.min_by(F.struct("node", "space", "vec"), F.xxhash64("node", F.lit(search))).alias("head"))
+        fresh = fresh.unionByName(_started(first.select("head.node", "part", "head.space", "head.vec"), search))
+    if lists is not None:
+        parts = classes.select("node", "part")
+        known = lists.select("node", "other", "sim").join(parts, "node")
+        known = known.join(parts.select(F.col("node").alias("other"), F.col("part").alias("its")), "other")
+        fresh = fresh.unionByName(known.select("node", "other", "sim", (F.col("part") == F.col("its")).alias("own")))
+    now = cut(_listed(fresh.withColumn("old", F.lit(False))))
     size = now.count()
     for turn in range(ROUNDS):
         found = _joined(now, classes, search * ROUNDS + turn).withColumn("old", F.lit(False))
         # what was listed before is old from now on; what is met again stays old
-        known = now.select("node", "other", "sim", F.lit(True).alias("old"))
-        merged = known.unionByName(found).groupBy("node", "other").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+        known = now.select("node", "other", "sim", "own", F.lit(True).alias("old"))
+        merged = known.unionByName(found).groupBy("node", "other", "own").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
         now = cut(_listed(merged))
         if now.where("not old").count() <= CHANGED * size:
             break
     return now
 
 
+def _enlarged(classes: DataFrame, lists: DataFrame, threshold: float, search: int) -> DataFrame:
+    """(node, component) by the links of ``lists``, after saturated lists were enlarged until none is.
+
+    Every round in which a saturated list shows only links joins its component to another one, so
+    rounds grow with the logarithm of the number of components.
+    """
+    spaces = classes.groupBy("space").agg(F.count("*").alias("held"))
+    links = lists.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    components = cut(connected_components(links))
+    # the first lists have no parts yet, so all of their entries lie outside
+    open_, idle = classes.withColumn("part", F.col("node")), 0
+    for turn in range(MAX_ENLARGED):
+        ends = lists.where("not own").groupBy("node").agg(F.min("sim").alias("least"))
+        named = classes.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "space", "vec")
+        # a list is settled by an entry below the threshold, or if its component is all of its space
+        sizes = named.groupBy("part", "space").agg(F.count("*").alias("size")).join(spaces, "space").where("size < held")
+        open_ = named.join(open_.select("node"), "node", "left_semi").join(ends, "node", "left")
+        open_ = open_.where(F.coalesce("least", F.lit(1.0)) >= threshold).join(sizes.select("part"), "part", "left_semi")
+        # a space with one part that is open has nothing left to find
+        several = open_.groupBy("space").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
+        open_ = cut(open_.join(several.select("space"), "space", "left_semi").select("node", "part", "space", "vec"))
+        if open_.isEmpty():
+            return components
+        lists = _search(open_, lists, search * MAX_ENLARGED + turn + MAX_SEARCHES, heads=True)
+        more = cut(lists.where(~F.col("own") & (F.col("sim") >= threshold)).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        idle = idle + 1 if more.isEmpty() else 0
+        if idle == MAX_IDLE:
+            # lists that meet nothing outside at all: the audit judges them
+            return components
+        if not idle:
+            stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = cut(connected_components(stars.unionByName(more)))
+    raise RuntimeError(f"saturated lists were left after {MAX_ENLARGED} rounds")
+
+
 def _linked(classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """(node, links): other vectors linked to each node of ``components`` (node, component), by blocks."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
@@ -298,9 +356,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows, classes = _classes(vectors)
     lists = None
     for search in range(MAX_SEARCHES):
-        lists = _search(classes, lists, search)
-        links = lists.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        components = cut(connected_components(links))
+        lists = _search(classes.withColumn("part", F.col("node")), lists, search)
+        components = _enlarged(classes, lists, threshold, search)
         linked = cut(_linked(classes, components, threshold))
         if audit(classes, linked, threshold) >= RECALL:
             break

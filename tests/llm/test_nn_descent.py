@@ -71,3 +71,26 @@ def test_blocks_of_a_large_component_count_like_one(spark, monkeypatch):
     parts = sorted(tuple(r) for r in nn_descent._linked(classes, components, 0.98).collect())
     links, _ = brute(rows, 0.98)
     assert whole == parts and sorted(n for _, n in whole) == sorted(links)
+
+
+def test_tight_groups_whose_lists_are_full_are_linked(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for label, sizes in ((0, (12, 12)), (1, (150, 90, 20))):
+        start = np.zeros(16)
+        start[0] = 1.0
+        for group, size in enumerate(sizes):
+            center = start.copy()
+            center[1 + group] = 0.17 if group else 0.0
+            for _ in range(size):
+                rows.append((len(rows), (center + rng.standard_normal(16) * 0.002).tolist(), label))
+        rows += [(len(rows) + k, rng.standard_normal(16).tolist(), label) for k in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, components = brute(rows, 0.98)
+    x = np.array([r[1] for r in rows[:24]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (np.argsort(-(x @ x.T), axis=1)[:12, : nn_descent.LIST + 1] < 12).all() and components[12] == 0
+    found = nn_descent.near_duplicates(table.repartition(3)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [
+        (r[0], int(n), c) for r, n, c in zip(rows, links, components, strict=True)
+    ]
