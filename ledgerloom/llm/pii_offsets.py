@@ -112,9 +112,10 @@ _DIGIT_WORDS = (
 _SPOKEN = {w: str(i) for words in _DIGIT_WORDS for i, w in enumerate(words.split())} | {"oh": "0", "plus": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 _WORD = "|".join(sorted(_SPOKEN, key=len, reverse=True))
 _GAP = r"[ \t,;/-]{1,3}"
-_RUN = re.compile(rf"(?<!\w)(?:{_WORD})(?:{_GAP}(?:{_WORD})){{{SPELLED - 1},}}+(?!\w)", re.IGNORECASE)
+# words end where letters end, so a run never fails at its end, which would try it again from each of its words
+_INITIAL = "".join(sorted({w[0] for w in _SPOKEN}))
+_RUN = re.compile(rf"\b(?=[{_INITIAL}])(?:{_WORD})(?!\w)(?:{_GAP}(?:{_WORD})(?!\w)){{{SPELLED - 1},}}+", re.IGNORECASE)
 _ONE = re.compile(rf"(?:{_WORD})", re.IGNORECASE)
-_TOKENS = frozenset(w for words in _DIGIT_WORDS[:1] for w in words.split()) | {"vier", "acht", "drei", "cinq", "sept", "huit", "cuatro", "siete", "ocho", "nueve", "sechs"}
 _AT_DOT = re.compile(
     r"[ \t]{0,3}[(\[{<][ \t]{0,3}(?:(at|arroba|bei)|(dot|punkt|point|punto))[ \t]{0,3}[)\]}>][ \t]{0,3}", re.IGNORECASE
 )
@@ -167,17 +168,19 @@ class Rewritten:
         self.first, self.last, self.edited = first + self.first[at:], last + self.last[at:], edited + self.edited[at:]
 
 
+def _small(word: str) -> str:
+    """A word as ``_SPOKEN`` has it; ignoring case, patterns also take a long s and a dotted capital I."""
+    return unicodedata.normalize("NFKC", word).lower().replace("\u0307", "")
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    low = text.lower()
-    if not any(w in low for w in _TOKENS):
-        return []
     edits = []
     for run in _RUN.finditer(text):
         at = run.start()
         for word in _ONE.finditer(text, run.start(), run.end()):
             if word.start() > at:
                 edits.append((at, word.start(), ""))
-            edits.append((word.start(), word.end(), _SPOKEN[word.group().lower()]))
+            edits.append((word.start(), word.end(), _SPOKEN[_small(word.group())]))
             at = word.end()
     return edits
 

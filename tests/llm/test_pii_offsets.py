@@ -89,3 +89,34 @@ def test_rows(spark):
     assert by_id[None].n_phone == 1
     assert (by_id[4].n_email, by_id[4].n_added, by_id[4].spans, by_id[4].base_sha256) == (0, 1, "email:0:17", sha(""))
     assert po.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("servidor uno dos punto cero punto cero punto uno", "ip", "uno dos punto cero punto cero punto uno"),
+        ("plus trois trois un quatre deux un neuf zéro zéro deux", "phone", "plus trois trois un quatre deux un neuf zéro zéro deux"),
+        ("tel plus eins eins zwei fünf sieben neun neun zwei", "phone", "plus eins eins zwei fünf sieben neun neun zwei"),
+        ("PLUS TRES TRES UNO DOS SEIS CINCO CINCO DOS", "phone", "PLUS TRES TRES UNO DOS SEIS CINCO CINCO DOS"),
+        ("oh dot oh dot oh dot oh", "ip", "oh dot oh dot oh dot oh"),
+        ("plus null eins zwei fünf null eins zwei fünf einst", "phone", "plus null eins zwei fünf null eins zwei fünf"),
+        ("plus ſix sİx one two three four five six", "phone", "plus ſix sİx one two three four five six"),
+    ],
+)
+def test_spelled_numbers_need_no_other_word(text, kind, source):
+    for whole in (text, f"{text}; none eight"):
+        added = po.added_spans(whole, po.base_spans(whole))
+        assert [whole[a:b] for a, b in added[kind]] == [source]
+
+
+def test_every_digit_word_is_found_by_itself():
+    for words in po._DIGIT_WORDS:
+        for digit, word in enumerate(words.split()):
+            text = " ".join(["plus", *[word] * 9])
+            assert po.rewritten(text).text == "+" + str(digit) * 9
+
+
+def test_a_run_that_ends_in_a_longer_word_takes_linear_time():
+    started = time.process_time()
+    po.added_spans("one " * 100_000 + "ones", {k: [] for k in po.KINDS})
+    assert time.process_time() - started < 8
