@@ -14,9 +14,11 @@
    ends); what they link is joined, and so on until each list holds an entry below the threshold or
    all of its space. Components are compared in blocks of ``BLOCK`` by ``BLOCK`` that return sums per
    vector, never pairs.
-5. An audit compares ``AUDIT`` classes, the first by a hash, with all vectors of their labels and counts
-   the links found. Below ``RECALL`` the search goes on with other projections and more rounds; it
-   fails loudly if ``MAX_SEARCHES`` do not reach it.
+5. An audit draws classes by a hash, one in ``SHARE`` at least and on until ``AUDIT`` of them have links or none is left,
+   and compares them with all vectors of their labels, in blocks. The share of the links found is averaged over
+   the classes that have some, so a small group counts like a large one. Below ``RECALL`` the search
+   goes on with other projections and more rounds; it fails loudly if ``MAX_SEARCHES`` do not reach it.
+   Recall and numbers of classes are logged.
 
 Links never lie below the threshold; a missed link can only be one between components that no list
 joins. Vectors that are null, empty or zero, or have null or non-finite components, and rows without
@@ -27,6 +29,7 @@ an empty result. Classes are named by 64-bit hashes of label and vector.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -44,13 +47,16 @@ TABLES = 6
 BLOCK = 512
 ROUNDS = 4
 CHANGED = 0.002
-AUDIT = 256
+AUDIT = 64
+SHARE = 64
+DRAWN = 1024
 RECALL = 0.99
 MAX_SEARCHES = 4
 MAX_ENLARGED = 40
 MAX_IDLE = 2
 SEED = 9
 
+_log = logging.getLogger(__name__)
 _PAIRS = "node long, other long, sim double, own boolean"
 
 
@@ -320,35 +326,49 @@ def _linked(classes: DataFrame, components: DataFrame, threshold: float) -> Data
     return dealt.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(classes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Share of the links of ``AUDIT`` classes that ``linked`` (node, links) has; 1 if they have none."""
-    picked = classes.select("node", "space", "vec").orderBy(F.xxhash64("node", F.lit(SEED))).limit(AUDIT)
+def _truth(classes: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """(node, truth): other vectors linked to each class of ``drawn``, some ``DRAWN`` of ``classes``."""
     queries: dict[str, list[tuple[int, bytes]]] = {}
-    for r in picked.collect():
+    for r in drawn.select("node", "space", "vec").collect():
         queries.setdefault(r["space"], []).append((r["node"], bytes(r["vec"])))
     sent = classes.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
+        asked = {space: (np.array([q[0] for q in of]), _matrix([q[1] for q in of])) for space, of in sent.value.items()}
         for batch in batches:
             by_space: dict[str, list[tuple]] = {}
             for node, space, vec, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if space in sent.value:
+                if space in asked:
                     by_space.setdefault(space, []).append((node, vec, n))
-            for space, rows in by_space.items():
-                asked = sent.value[space]
-                near = _matrix([q[1] for q in asked]) @ _matrix([r[1] for r in rows]).T >= threshold
-                same = np.array([q[0] for q in asked])[:, None] == np.array([r[0] for r in rows])[None, :]
-                for q, count in zip(asked, (near & ~same) @ np.array([r[2] for r in rows]), strict=True):
-                    totals[q[0]] = totals.get(q[0], 0) + int(count)
+            for space, held in by_space.items():
+                names, x = asked[space]
+                for rows in (held[i : i + BLOCK] for i in range(0, len(held), BLOCK)):
+                    near = x @ _matrix([r[1] for r in rows]).T >= threshold
+                    near &= names[:, None] != np.array([r[0] for r in rows])[None, :]
+                    counts = near @ np.array([r[2] for r in rows])
+                    for i in np.flatnonzero(counts):
+                        totals[int(names[i])] = totals.get(int(names[i]), 0) + int(counts[i])
         yield _batch(list(totals.items()), {"node": pa.int64(), "truth": pa.int64()})
 
-    truth = classes.mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    sums = truth.join(linked, "node", "left").agg(
-        F.sum("truth").alias("truth"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("truth"))).alias("found")
-    )
-    row = sums.first()
-    return row["found"] / row["truth"] if row["truth"] else 1.0
+    found = classes.select("node", "space", "vec", "n").mapInArrow(run, "node long, truth long")
+    return found.groupBy("node").agg(F.sum("truth").alias("truth"))
+
+
+def audit(classes: DataFrame, linked: DataFrame, threshold: float) -> float:
+    """Recall of ``linked`` (node, links), averaged over the drawn classes that have links; 1 if no class has any."""
+    size = classes.count()
+    turns = max(1, math.ceil(size / DRAWN))
+    turn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(turns))
+    recall, seen, done = 0.0, 0, 0
+    while done < turns and (seen < AUDIT or done * SHARE < turns):
+        truth = _truth(classes, classes.where(turn == done), threshold)
+        own = F.least(F.coalesce("links", F.lit(0)), F.col("truth")) / F.col("truth")
+        row = truth.join(linked, "node", "left").agg(F.sum(own).alias("recall"), F.count("*").alias("seen")).first()
+        recall, seen, done = recall + (row["recall"] or 0.0), seen + row["seen"], done + 1
+    share = recall / seen if seen else 1.0
+    _log.warning("audit: recall %.4f over %d classes with links, %d of %d draws from %d classes", share, seen, done, turns, size)
+    return share
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:

@@ -94,3 +94,31 @@ def test_tight_groups_whose_lists_are_full_are_linked(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [
         (r[0], int(n), c) for r, n, c in zip(rows, links, components, strict=True)
     ]
+
+
+def _audited(spark, rows, lost):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes, classes = nn_descent._classes(table)
+    links, _ = brute(rows, 0.98)
+    known = spark.createDataFrame([(r[0], 0 if r[0] in lost else int(n)) for r, n in zip(rows, links, strict=True)], "vec_id long, links long")
+    return nn_descent.audit(classes, nodes.join(known, "vec_id").select("node", "links"), 0.98)
+
+
+def test_audit_counts_a_lost_pair_like_a_member_of_a_hot_group(spark):
+    rng = np.random.default_rng(6)
+    center = rng.standard_normal(16)
+    rows = [(i, (center + rng.standard_normal(16) * 0.01).tolist(), 0) for i in range(100)]
+    for i in range(100, 120, 2):
+        center = rng.standard_normal(16)
+        rows += [(i + k, (center + rng.standard_normal(16) * 0.01).tolist(), 0) for k in range(2)]
+    assert _audited(spark, rows, set()) == 1
+    assert _audited(spark, rows, set(range(100, 120))) == pytest.approx(100 / 120)
+
+
+def test_audit_goes_on_until_it_sees_links(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "DRAWN", 50)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(16).tolist(), 0) for i in range(600)]
+    rows += [(600 + i, (np.array(rows[i][1]) + 0.001).tolist(), 0) for i in range(2)]
+    assert _audited(spark, rows, {0, 1, 600, 601}) == 0
+    assert _audited(spark, rows, set()) == 1
