@@ -8,7 +8,7 @@ record from a payload that quotes one, so
 
 1. each task emits a candidate wherever a header block stands, with the offset of its successor (the
    end of the header, the stated length and two line ends), and the size of its part; a header that a
-   part's end cuts is completed with the next part's first lines;
+   part's end cuts is completed with the first lines of as many next parts as it reaches into;
 2. sums of sizes turn offsets within parts into offsets in files, and pointer jumping from the start of
    each file marks the candidates that a chain of records reaches: pointers double every round, so
    rounds grow with the logarithm of the records per file. A quoted header is never reached;
@@ -42,7 +42,6 @@ MAGIC = b"WARC/1."
 END = "\r\n"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEADER_BYTES = 1 << 16
 MAX_ROUNDS = 60
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -115,7 +114,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _header(raw: bytes) -> tuple[dict[str, str], int] | None:
     """Fields and size of the header block that ``raw`` starts with, or None."""
     end = raw.find(b"\r\n\r\n")
-    if not raw.startswith(MAGIC) or end < 0 or end > HEADER_BYTES:
+    if not raw.startswith(MAGIC) or end < 0:
         return None
     fields = {}
     for line in raw[:end].split(b"\r\n")[1:]:
@@ -146,22 +145,24 @@ _SCAN = pa.schema(
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind "c" (candidate, successor), "p" (a part's size, its first lines) and "t" (a cut header)."""
+    """Rows of kind "c" (candidate, successor), "p" (whether a part's first lines end in it, its size, the lines) and "t" (a cut header)."""
     out: list[tuple] = []
     at, head, heading, block_of, start = 0, [], True, None, 0
     for file, block, line in _parts(batches):
         if line is None:
             if block_of is not None:
                 out.append(("t", file, block, start, None, b"\r\n".join(block_of) + b"\r\n"))
-            out.append(("p", file, block, 0, at, b"\r\n".join(head) + b"\r\n"))
+            out.append(("p", file, block, int(not heading), at, b"".join(x + b"\r\n" for x in head)))
             at, head, heading, block_of = 0, [], True, None
             if len(out) > 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), _SCAN.types, strict=True)], schema=_SCAN)
                 out = []
             continue
         if heading:
-            head.append(line[: HEADER_BYTES + 1])
-            heading = line != b"" and sum(map(len, head)) <= HEADER_BYTES
+            # what may belong to a header that an earlier part began: lines of fields and the empty one
+            if line == b"" or b":" in line:
+                head.append(line)
+            heading = b":" in line
         if line.startswith(MAGIC):
             block_of, start = [line], at
         elif block_of is not None:
@@ -171,7 +172,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if known:
                     out.append(("c", file, block, start, start + known[1] + int(known[0]["content-length"]) + 4, None))
                 block_of = None
-            elif b":" not in line or at - start > HEADER_BYTES:
+            elif b":" not in line:
                 block_of = None
         at += len(line) + 2
     if out:
@@ -182,7 +183,7 @@ def _completed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for row in frame.itertuples(index=False):
-            known = _header(bytes(row.raw) + bytes(row.following)) if row.following is not None else None
+            known = _header(bytes(row.raw) + b"".join(bytes(x["raw"]) for x in row.following))
             if known:
                 rows.append((row.file, row.block, row.at, row.at + known[1] + int(known[0]["content-length"]) + 4))
         yield pd.DataFrame(rows, columns=["file", "block", "at", "to"])
@@ -239,14 +240,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "file",
         "block",
         F.coalesce(F.sum("to").over(earlier), F.lit(0)).alias("base"),
-        F.lead("raw").over(by_file).alias("following"),
+        F.coalesce(F.sum("at").over(earlier), F.lit(0)).alias("ended"),
+        F.col("at").alias("ends"),
+        "raw",
     )
     parts = cut(parts)
-    placed = scanned.where("kind <> 'p'").join(parts, ["file", "block"]).withColumns(
+    placed = scanned.where("kind <> 'p'").join(parts.drop("raw"), ["file", "block"]).withColumns(
         {"at": F.col("at") + F.col("base"), "to": F.col("to") + F.col("base")}
     )
     whole = placed.where("kind = 'c'").select("file", "block", "at", "to")
-    cuts = placed.where("kind = 't'").select("file", "block", "at", "raw", "following")
+    # a cut header goes on through parts of nothing but its lines, to the first part in which such lines end
+    ahead = parts.select("file", F.col("ended").alias("before"), F.struct("block", "raw").alias("next"))
+    cuts = placed.where("kind = 't'").select("file", "block", "at", "raw", (F.col("ended") + F.col("ends")).alias("before"))
+    cuts = cuts.join(ahead, ["file", "before"]).where("next.block > block").groupBy("file", "block", "at")
+    cuts = cuts.agg(F.first("raw").alias("raw"), F.sort_array(F.collect_list("next")).alias("following"))
     edges = cut(whole.unionByName(cuts.mapInPandas(_completed, "file string, block long, at long, to long")))
     chain = edges.join(reachable(edges), ["file", "at"], "left_semi").groupBy("file", "block")
     chain = chain.agg(F.min("at").alias("entry"), F.max("at").alias("last"))

@@ -86,3 +86,21 @@ def test_base32_in_columns(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc_chain.sha1_base32(F.col("t").cast("binary")).alias("d"))
     for r in rows.collect():
         assert r.d == base64.b32encode(hashlib.sha1(r.t.encode()).digest()).decode()
+
+
+@pytest.mark.parametrize("part", [1500, 1 << 20])
+def test_urls_longer_than_a_part(spark, part):
+    rows = hostile(18)
+    for i in (14,):
+        rows[i] = (rows[i][0], "data:text/html," + "x" * 100_000 + f":{i}", rows[i][2])
+    path = scratch_path(spark, "warc")
+    warc_chain.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        found = sorted(tuple(r) for r in warc_chain.read(spark, path).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == expected(rows)
