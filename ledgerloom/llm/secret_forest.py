@@ -4,7 +4,8 @@
 candidates that score ``THRESHOLD`` or more by ``PLACEHOLDER`` and changes nothing else.
 
 A candidate is a run of at least ``SHORTEST`` characters of keys and encodings that has a digit, changes
-between capital and small letters, or has a provider's form. The forest sees its length and make-up, how its
+between capital and small letters, or has a provider's form; and every value assigned to one of ``KEY_NAMES``,
+of any length and characters, up to its closing quote or white space. Runs within such a value are part of it. The forest sees its length and make-up, how its
 characters follow each other, how much of it is covered by letter triples that are usual in the corpus
 (counted over all texts), signs of a path or an address, and the words beside it.
 
@@ -51,8 +52,16 @@ PROVIDER = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox
 DIGESTS = ("sha", "md5", "commit", "checksum", "uuid", "etag", "digest")
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
+# a name by itself, or a part of one: db_password, clientSecret, token_id, but not author
+_ASSIGNED = re.compile(
+    rf"(?:(?<![A-Za-z])(?i:{'|'.join(KEY_NAMES)})|(?<=[a-z0-9])(?:{'|'.join(k.capitalize() for k in KEY_NAMES)}|ApiKey|AccessKey))(?![A-Za-z])"
+    r"(?:[_-][A-Za-z0-9]{1,16}){0,3}+[\"']?[ \t]{0,8}(?:=>|[=:]{1,2})[ \t]{0,8}"
+    r"(?:\"(?P<double>[^\"\r\n]+)\"|'(?P<single>[^'\r\n]+)'|[\"']?(?P<bare>[^\s\"']+))"
+)
+# after a colon and a space, a word of letters may as well be prose
+_PROSE = re.compile(r":[ \t]+$")
 _PATH = re.compile(r"(?:/[A-Za-z0-9_+-]+){2,}/?")
-_BEFORE = re.compile(r"([^\s=:\"']*)[\"']?\s*([=:]?)\s*[\"']?$")
+_BEFORE = re.compile(r"([^\s=:\"']*)[\"']?\s*((?:=>|[=:]{1,2})?)\s*[\"']?$")
 _CONTEXT = 48
 NAMES = (
     "length", "digits", "capitals", "small", "others", "changes", "entropy", "longest_digits", "hex_only", "distinct",
@@ -92,12 +101,28 @@ def _usual(text: str, weights: np.ndarray) -> tuple[float, float]:
     return float((own > 0).mean()), float(own.mean())
 
 
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values that are assigned to a name of ``KEY_NAMES``."""
+    low = text.lower()
+    if any(k in low for k in KEY_NAMES):
+        for m in _ASSIGNED.finditer(text):
+            yield m.span(m.lastgroup)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    values = list(assigned(text))
+    at = 0
     for m in _RUN.finditer(text):
+        while at < len(values) and values[at][1] <= m.start():
+            yield values[at]
+            at += 1
+        if at < len(values) and values[at][0] < m.end():
+            continue
         run = m.group()
         mixed = re.search("[A-Z]", run[1:]) and re.search("[a-z]", run)
         if mixed or any("0" <= c <= "9" for c in run) or PROVIDER.fullmatch(run):
             yield m.span()
+    yield from values[at:]
 
 
 def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
@@ -130,8 +155,10 @@ def rule_label(text: str, start: int, end: int) -> int | None:
     """1 for a settled secret, 0 for a settled look-alike, None where the rules cannot tell."""
     run = text[start:end]
     before, sign, _ = _context(text, start, end)
-    if PROVIDER.fullmatch(run) or (sign and any(k in before for k in KEY_NAMES)):
+    if PROVIDER.fullmatch(run):
         return 1
+    if sign and any(k in before for k in KEY_NAMES):
+        return None if run.strip(".,;:!?()").isalpha() and _PROSE.search(text[max(0, start - _CONTEXT) : start]) else 1
     beside = text[max(0, start - 1) : start]
     if run.isdigit() or _PATH.fullmatch(run) or beside in ("/", "\\", "@") or any(k in before for k in DIGESTS):
         return 0

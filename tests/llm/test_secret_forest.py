@@ -1,6 +1,7 @@
 """Secrets: planted ones are found, look-alikes stay, texts around them stay as they are."""
 
 import random
+import time
 
 from ledgerloom.llm import secret_forest as sf
 
@@ -79,3 +80,41 @@ def test_long_texts(spark):
     text = "a1B2" * 100_000 + " " + "word " * 100_000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [(r.start, r.end) for r in sf.scan(docs).collect()] == [(0, 400_000)]
+
+
+ASSIGNED = [
+    ("password=Summer2024 x", "Summer2024"),
+    ('pwd: "Tr0ub4dor&3xyz"', "Tr0ub4dor&3xyz"),
+    ("secret=correcthorsebatterystaple", "correcthorsebatterystaple"),
+    ("DB_PASSWORD = 'two words!'", "two words!"),
+    ('{"clientSecret": "a"}', "a"),
+    ("'secret' => 'x1'", "x1"),
+    ("passwd := hunter22", "hunter22"),
+    ("token=abc/def-0123456789abcdef#end rest", "abc/def-0123456789abcdef#end"),
+]
+
+
+def test_values_of_any_form_that_are_assigned_to_a_name():
+    for text, value in ASSIGNED:
+        a = text.index(value)
+        assert list(sf.candidates(text)) == [(a, a + len(value))], text
+        assert sf.rule_label(text, a, a + len(value)) == 1, text
+    for text in ("author: Smith", "the password is long", "secretary=x", "tokens: 12", "password", "password="):
+        assert list(sf.candidates(text)) == [], text
+
+
+def test_short_and_punctuated_passwords_are_redacted(spark):
+    rows, truth = corpus()
+    n = len(rows)
+    rows += [(n + i, f"some words before {text} and after") for i, (text, _) in enumerate(ASSIGNED)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sf.redact(docs).collect()}
+    for i, (text, value) in enumerate(ASSIGNED):
+        assert clean[n + i] == f"some words before {text.replace(value, sf.PLACEHOLDER)} and after"
+
+
+def test_many_names_take_linear_time():
+    for piece in ("password", "password_", "token=", "secret ", "auth: ", "pwd='", 'pwd="'):
+        started = time.process_time()
+        list(sf.candidates(piece * (400_000 // len(piece))))
+        assert time.process_time() - started < 8, piece
