@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, jaccard_join, mixing, nn_descent, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust, warc_chain
+from ledgerloom.llm import bin_packing, hard_negatives, jaccard_join, mixing, nn_descent, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust, warc_chain
 from ledgerloom.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,6 +303,35 @@ def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding"
+    )
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH relabelled AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), usable AS (
+  SELECT vec_id, label, list_transform(x, lambda c: floor(256 * c)) AS v FROM relabelled
+  WHERE label IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor, other AS positive, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, positive AS positive_id, other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, other) AS INT) AS rank
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT same
+  AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
@@ -314,6 +343,7 @@ QUERIES: dict[str, Query] = {
     "op8_offset_deobfuscation": op8_offset_deobfuscation,
     "op9_secret_forest": op9_secret_forest,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
+    "op11_four_russians": op11_four_russians,
 }
 
 ORACLES: dict[str, str] = {
@@ -323,4 +353,5 @@ ORACLES: dict[str, str] = {
     "op4_boundary_chain": OP4_SQL,
     "op6_nn_descent": OP6_SQL,
     "op7_link_graph_trust": OP7_SQL,
+    "op11_four_russians": OP11_SQL,
 }
