@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bin_packing, hard_negatives, jaccard_join, mixing, nn_descent, pii_offsets, quality_divergence, secret_forest, toxicity_zstd, url_trust, warc_chain
+from ledgerloom.llm import bin_packing, hard_negatives, jaccard_join, mixing, nn_descent, pii_offsets, quality_divergence, quality_nbsvm, secret_forest, spelling_kdtree, toxicity_zstd, url_trust, warc_chain
 from ledgerloom.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,6 +332,14 @@ QUALIFY rank <= 5
 """
 
 
+def op12_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_nbsvm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_kdtree_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_kdtree.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
@@ -344,6 +352,8 @@ QUERIES: dict[str, Query] = {
     "op9_secret_forest": op9_secret_forest,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
     "op11_four_russians": op11_four_russians,
+    "op12_nbsvm_quality": op12_nbsvm_quality,
+    "op13_kdtree_spelling": op13_kdtree_spelling,
 }
 
 ORACLES: dict[str, str] = {
