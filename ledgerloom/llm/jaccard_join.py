@@ -7,17 +7,18 @@ the first ``n - ceil(percent * n / 100) + 1`` shingles of each have one in commo
 1. every text is hashed once to count shingles in a fixed number of buckets. The first order
    puts shingles of frequent buckets last, so that a passage that many documents share is
    in the prefix of hardly any of them. Any rule makes a valid order, so this costs no result;
-2. equal sets become one class. Prefixes under the first order go to an inverted index; a pair is
-   only made where it also agrees on sizes and on the places of the shingle (what stands before the
-   first common shingle is in one set only, and a link leaves room for so much difference);
-   Pairs are checked once more on as many parity bits as suit their size, which holds for long texts;
-3. pairs must share a prefix shingle under each further order too before their sets are compared.
-
-A group of thousands of near copies is not spelled out as pairs: each index entry is first
-compared with its leader only, what that links is contracted, and pairs are then made only between
-different components. A task verifies the pairs of one entry, split into blocks, so that a
-set travels once per entry and not once per pair. Nothing is capped: the result is exact but for
-collisions of 54-bit hashes within a pair and of the 64-bit sums that name the classes.
+2. equal sets become one class. Prefixes under the first order go to an inverted index. Shingles that
+   the same classes have in their prefixes (a shared passage has many) are one list of the index, with the smallest place of each class;
+3. a candidate agrees on a list, on sizes, on the places (what stands before the first common shingle is in
+   one set only, and a link leaves room for so much difference), on as many parity bits as suit the sizes, and shares
+   a prefix shingle under each further order, by 16-bit fingerprints of those prefixes that travel instead of the sets;
+4. whole sets are fetched for what all filters leave, and counted.
+
+A group of thousands of near copies is not spelled out as pairs. In up to ``STARS`` rounds each list names a leader, the
+other components of the list are compared with it, and what links is contracted. Lists that still hold several components are
+compared in blocks, of which a task returns only the candidates between different components. A task verifies
+the candidates of a list, split into blocks, so that a set travels once per list and not once per pair. Nothing is capped: the
+result is exact but for collisions of 54-bit hashes within a pair, of the 64-bit sums that name the classes and of those that name lists.
 
 Nulls and odd rows: a null text is empty; empty sets link with nothing. A row without ``doc_id`` is
 returned with a null component. Rows that repeat an id are judged each by its own text. Other columns of
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,7 @@ ORDER_BITS = 20
 ID_BITS = 22
 BLOCK = 512
 PARITY = 256
+STARS = 3
 _CLASS_BITS = 5
 _BITS = [f"p{i}" for i in range(PARITY // 64)]
 _OTHER_ORDERS = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
@@ -104,8 +107,28 @@ def _least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(bits[0] ^ folded).sum())
 
 
+def _fingerprints(tokens: np.ndarray, percent: int) -> bytes:
+    """16 bits of each prefix shingle under the further orders, one order after the other."""
+    k = int(_prefix_length(np.int64(len(tokens)), percent)) if len(tokens) else 0
+    parts = [np.partition(mix(tokens * np.uint64(factor)), k - 1)[:k] if k else tokens for factor in _OTHER_ORDERS]
+    return b"".join(np.sort((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in parts)
+
+
+def _shares_prefixes(a: bytes, b: bytes) -> bool:
+    """Whether two sets may have a common prefix shingle under every further order, by their fingerprints."""
+    x, y = (np.frombuffer(side, np.uint16).reshape(len(_OTHER_ORDERS), -1) for side in (a, b))
+    return all(np.isin(p, q).any() for p, q in zip(x, y, strict=True))
+
+
+def _signatures(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two sums of hashes that name each set."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(s)), dtype=np.uint64)]) for s in (1 << 60, 1 << 61)]
+    return [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+
+
 def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig1, sig2, p0.., wide, prefix): set size, signature, parity bits, more of them, prefix under the first order."""
+    """(doc_id, n, sig1, sig2, p0.., wide, others, prefix): set size, signature, parity bits, more of them, fingerprints of
+    the prefixes under the further orders, prefix under the first order."""
     order = docs.sparkSession.sparkContext.broadcast(classes)
     low = np.uint64(HASH_BITS)
     kept = np.uint64(HASH_BITS - _CLASS_BITS)
@@ -116,12 +139,12 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                 sets, bounds = shingle_sets(part.column(1), width)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(s)), dtype=np.uint64)]) for s in (1 << 60, 1 << 61)]
-                sums = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+                sums = _signatures(sets, bounds)
                 flips = owner.astype(np.int64) * PARITY + ((sets >> np.uint64(ORDER_BITS)) % np.uint64(PARITY)).astype(np.int64)
                 flips = np.bincount(flips, minlength=len(n) * PARITY).astype(np.uint8) & np.uint8(1)
                 parity = np.packbits(flips).view(np.int64).reshape(len(n), PARITY // 64)
                 wide = [_parity(sets[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                others = [_fingerprints(sets[a:b], percent) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 rank = order.value[(sets & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)].astype(np.uint64)
                 both = np.sort((owner << low) | (rank << kept) | (sets >> np.uint64(_CLASS_BITS)))
                 take = np.where(n > 0, _prefix_length(n, percent), 0)
@@ -136,14 +159,15 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                         pa.array(sums[1]),
                         *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY // 64)],
                         pa.array(wide, pa.binary()),
+                        pa.array(others, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(tokens)),
                     ],
-                    names=["doc_id", "n", "sig1", "sig2", *_BITS, "wide", "prefix"],
+                    names=["doc_id", "n", "sig1", "sig2", *_BITS, "wide", "others", "prefix"],
                 )
 
     bits = ", ".join(f"{c} long" for c in _BITS)
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id long, n long, sig1 long, sig2 long, {bits}, wide binary, prefix array<long>"
+        run, f"doc_id long, n long, sig1 long, sig2 long, {bits}, wide binary, others binary, prefix array<long>"
     )
 
 
@@ -168,11 +192,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             batch = batch.filter(pa.array(wanted.value[_id_bucket(batch.column(0).to_numpy(zero_copy_only=False))]))
             for part in bounded.text_slices(batch, "text", MAX_TEXTS):
                 sets, bounds = shingle_sets(part.column(1), width)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(1 << 60)), dtype=np.uint64)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)),
+                        pa.array(_signatures(sets, bounds)[0]),
                         pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                     ],
                     names=["doc_id", "node", "tokens"],
@@ -182,45 +205,143 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.join(nodes, ["node", "doc_id"], "left_semi").select("node", "tokens").dropDuplicates(["node"])
 
 
-def _shares_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether both sets have a common shingle among their first ones under every further order."""
-    k = [int(_prefix_length(np.int64(len(s)), percent)) for s in (a, b)]
-    for factor in _OTHER_ORDERS:
-        first = [np.partition(mix(s * np.uint64(factor)), n - 1)[:n] for s, n in zip((a, b), k, strict=True)]
-        if not np.isin(first[0], first[1]).any():
-            return False
-    return True
+def _may_link(sizes: int, wide: tuple[bytes, bytes], others: tuple[bytes, bytes], percent: int) -> bool:
+    """Whether parity bits leave room for a link of two sets, ``sizes`` together, and prefixes meet under every further order."""
+    return (100 + percent) * _least_difference(*wide) <= (100 - percent) * sizes and _shares_prefixes(*others)
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` whose parity bits leave room for a link."""
+def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (x, y, df, list) that all filters leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "wx", "wy"))
-            near = [
-                (100 + percent) * _least_difference(p, q) <= (100 - percent) * n for n, p, q in zip(sizes, a, b, strict=True)
-            ]
-            yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y", "df", "token"])
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "wx", "wy", "ox", "oy")]
+            near = [_may_link(n, (p, q), (f, g), percent) for n, p, q, f, g in zip(*columns, strict=True)]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y", "df", "list"])
 
     for side in "xy":
-        names = [F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}")]
-        pairs = pairs.join(nodes.select(*names), side)
-    pairs = pairs.select("x", "y", "df", "token", (F.col("nx") + F.col("ny")).alias("both"), "wx", "wy")
-    return pairs.mapInArrow(run, "x long, y long, df long, token long")
+        pairs = pairs.join(known.select(*[F.col(c).alias(f"{a}{side}") for c, a in (("node", ""), ("n", "n"), ("wide", "w"), ("others", "o"))]), side)
+    pairs = pairs.select("x", "y", "df", "list", (F.col("nx") + F.col("ny")).alias("both"), "wx", "wy", "ox", "oy")
+    return pairs.mapInArrow(run, "x long, y long, df long, list long")
+
+
+def _index(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(list, node, place, df, n, p0..): classes whose prefixes under the first order share shingles.
+
+    ``rows`` has (node, prefix). Shingles with the same classes are one list, named by a hash of them.
+    """
+    # once by shingle: counting and the join back go without another shuffle
+    postings = rows.select("node", F.posexplode("prefix").alias("place", "token")).repartition("token")
+    tokens = postings.groupBy("token").agg(
+        F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")
+    )
+    tokens = tokens.where("df > 1").select("token", "df", F.xxhash64("df", "a", "b").alias("list"))
+    lists = postings.join(tokens, "token").groupBy("list", "node").agg(F.min("place").alias("place"), F.first("df").alias("df"))
+    return lists.join(known.select("node", "n", *_BITS), "node")
+
+
+def _apart(index: DataFrame, components: DataFrame | None) -> DataFrame:
+    """``index`` with each class's ``component``, without the lists that lie in one."""
+    if components is None:
+        return index.withColumn("component", F.col("node"))
+    merged = index.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = merged.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return merged.join(split.where("low <> high").select("list"), "list")
+
+
+def _stars(apart: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(x, y, df, list): of every list each other component's class that is nearest to the leader, if it may link."""
+    order = F.col("place").cast("long") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    leaders = apart.groupBy("list").agg(F.min(F.struct(order.alias("order"), "node", "place", "n", *_BITS, "component")).alias("leader"))
+    meets = apart.alias("i").join(leaders, "list").where("component <> leader.component").where(_room("i", "leader", percent))
+    nearest = F.min(F.struct(F.expr(_flipped("i", "leader")).alias("flipped"), F.col("i.node").alias("node"), F.col("i.df").alias("df"), "list"))
+    best = meets.groupBy("component", F.col("leader.node").alias("leading")).agg(nearest.alias("best"))
+    pairs = best.select(F.least("best.node", "leading").alias("x"), F.greatest("best.node", "leading").alias("y"), "best.df", "best.list")
+    return pairs.dropDuplicates(["x", "y"])
+
+
+def _flipped(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
+
+
+def _room(a: str, b: str, percent: int) -> str:
+    """Whether sizes, places and the first parity bits of two entries leave room for a link."""
+    room = f"{100 + percent} * ({a}.place + {b}.place) <= {100 - percent} * ({a}.n + {b}.n)"
+    sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    return f"({room}) and ({sizes}) and ({100 + percent} * ({_flipped(a, b)}) <= {100 - percent} * ({a}.n + {b}.n))"
+
+
+def _between(apart: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(x, y, df, list): all candidates between different components of a list.
+
+    A cell is two blocks of at most about ``BLOCK`` classes of a list; pairs are made and judged inside of it.
+    """
+    parts = F.ceil(F.col("df") / BLOCK).cast("long")
+    rows = apart.join(known.select("node", "wide", "others"), "node").withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    numbers = ["node", "component", "n", "place", *_BITS]
+    rows = rows.select(
+        "list", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "df", *numbers, "wide", "others"
+    )
+
+    def judged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        value = {c: table.column(c).to_numpy() for c in ["list", "low", "high", "part", "df", *numbers]}
+        wide, others = (table.column(c).to_pylist() for c in ("wide", "others"))
+        low, high = value["low"][0], value["high"][0]
+        left = np.flatnonzero(value["part"] == low)
+        right = left if low == high else np.flatnonzero(value["part"] == high)
+        i, j = left[:, None], right[None, :]
+        n, place, component = value["n"], value["place"], value["component"]
+        both = n[i] + n[j]
+        meets = (component[i] != component[j]) & ((100 + percent) * (place[i] + place[j]) <= (100 - percent) * both)
+        meets &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        if low == high:
+            meets &= value["node"][i] < value["node"][j]
+        i, j = np.nonzero(meets)
+        i, j = left[i], right[j]
+        flipped = sum(np.bitwise_count((value[c][i] ^ value[c][j]).view(np.uint64)).astype(np.int64) for c in _BITS)
+        some = (100 + percent) * flipped <= (100 - percent) * (n[i] + n[j])
+        found = [
+            (a, b) for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True)
+            if _may_link(int(n[a] + n[b]), (wide[a], wide[b]), (others[a], others[b]), percent)
+        ]
+        a, b = (value["node"][[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+        size = len(found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(size, value["df"][0])), pa.array(np.full(size, value["list"][0]))],
+            names=["x", "y", "df", "list"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            cell = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edges = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+            for a, b in zip(np.append(0, edges), np.append(edges, batch.num_rows), strict=True):
+                if a == b:
+                    continue
+                if held and tuple(cell[:, a]) != current:
+                    yield judged(held)
+                    held = []
+                current = tuple(cell[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield judged(held)
+
+    cell = ["list", "low", "high"]
+    found = rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "x long, y long, df long, list long")
+    return found.dropDuplicates(["x", "y"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (x, y, token, df) those that are links, as (a, b).
+    """Of ``pairs`` (x, y, df, list) those that are links, as (a, b).
 
-    Pairs are dealt by index entry; entries of many documents are split into blocks of both sides.
+    Pairs are dealt by list; lists of many classes are split into blocks of both sides.
     """
     blocks = F.ceil(F.col("df") / BLOCK)
-    pairs = cut(
-        _near(pairs, known, percent).select(
-            "x", "y", F.xxhash64("token", F.pmod(F.xxhash64("x"), blocks), F.pmod(F.xxhash64("y"), blocks)).alias("entry")
-        )
-    )
+    entry = F.xxhash64("list", F.pmod(F.xxhash64("x"), blocks), F.pmod(F.xxhash64("y"), blocks))
+    pairs = cut(pairs.select("x", "y", entry.alias("entry")))
     uses = pairs.select("entry", F.col("x").alias("node")).union(pairs.select("entry", F.col("y").alias("node"))).distinct()
     nodes = cut(uses.select("node").distinct().join(known, "node").select("node", "doc_id"))
     sets = _sets_of(docs, nodes, width)
@@ -237,12 +358,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, p
                 if kind == 0:
                     sets[x] = np.frombuffer(tokens, np.uint64)
                     continue
-                a, b = sets[x], sets[y]
-                if _shares_prefixes(a, b, percent):
-                    both = np.sort(np.concatenate([a, b]))
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if 100 * common >= percent * (len(both) - common):
-                        found.append((x, y))
+                both = np.sort(np.concatenate([sets[x], sets[y]]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= percent * (len(both) - common):
+                    found.append((x, y))
             yield pa.RecordBatch.from_pydict(
                 {"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())}
             )
@@ -253,64 +372,48 @@ def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, p
     return links
 
 
-def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the smallest id that links reach. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, sig1, sig2) of ``docs`` (doc_id, text), and classes (sig1, sig2, doc_id, component)."""
     classes = _frequency_classes(docs, width)
     rows = cut(_prefixes(docs, classes, width, percent))
     groups = cut(rows.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_id")))
     key = ["sig1", "sig2", "doc_id"]
     # on the join's own key, so that repeated rows go without another shuffle
     chosen = rows.join(groups, key).dropDuplicates(key).withColumnRenamed("sig1", "node")
-    known = cut(chosen.select("node", "doc_id", "n", *_BITS, "wide"))
+    known = cut(chosen.select("node", "doc_id", "n", *_BITS, "wide", "others"))
     _release(docs.sparkSession)
-    postings = chosen.select("node", F.posexplode("prefix").alias("place", "token"))
-    # counts first: most shingles are in one prefix only, and those go no further; equal sets count too,
-    # which keeps a few shingles more but needs no join before
-    shared = rows.where("n > 0 and doc_id is not null").select(F.explode("prefix").alias("token"))
-    shared = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    index = postings.join(shared, "token").join(known.select("node", "n", *_BITS), "node")
-    index = cut(index)
+    index = cut(_index(chosen.select("node", "prefix"), known))
     _release(docs.sparkSession)
-    leaders = index.groupBy("token").agg(F.min(F.struct("place", "node", "n", *_BITS)).alias("leader"))
 
-    room = f"{100 + percent} * ({{0}}.place + {{1}}.place) <= {100 - percent} * ({{0}}.n + {{1}}.n)"
-    sizes = f"100 * least({{0}}.n, {{1}}.n) >= {percent} * greatest({{0}}.n, {{1}}.n)"
-    flipped = " + ".join(f"bit_count({{0}}.{c} ^ {{1}}.{c})" for c in _BITS)
-    parity = f"{100 + percent} * ({flipped}) <= {100 - percent} * ({{0}}.n + {{1}}.n)"
-    near = f"({room}) and ({sizes}) and ({parity})"
-    one_each = (F.max(F.struct("df", "token")).alias("best"),)
-
-    def distinct_pairs(found: DataFrame) -> DataFrame:
-        return found.groupBy("x", "y").agg(*one_each).select("x", "y", "best.df", "best.token")
-
-    stars = index.join(leaders, "token").alias("i").where("node <> leader.node").where(near.format("i", "leader"))
-    stars = stars.select(
-        F.least("node", "leader.node").alias("x"), F.greatest("node", "leader.node").alias("y"), "df", "token"
-    )
-    links = _verified(docs, distinct_pairs(stars), known, width, percent)
-    joined = cut(connected_components(links))
-    _release(docs.sparkSession)
-
-    merged = index.join(joined, "node", "left").select(
-        "token", "df", "node", "n", "place", *_BITS, F.coalesce("component", "node").alias("component")
-    )
-    a, b = merged.alias("a"), merged.alias("b")
-    rest = a.join(b, F.expr("a.token = b.token and a.node < b.node and a.component <> b.component and " + near.format("a", "b")))
-    rest = rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), "a.df", "a.token")
-    more = _verified(docs, distinct_pairs(rest), known, width, percent)
-    final = connected_components(links.unionByName(more))
+    links, components = [], None
+    for turn in range(STARS):
+        pairs = _near(_stars(_apart(index, components), turn, percent), known, percent)
+        links.append(_verified(docs, pairs, known, width, percent))
+        if links[-1].isEmpty():
+            break
+        components = cut(connected_components(reduce(DataFrame.unionByName, links)))
+        _release(docs.sparkSession)
+    links.append(_verified(docs, _between(_apart(index, components), known, percent), known, width, percent))
+    final = components if components is not None and links[-1].isEmpty() else connected_components(reduce(DataFrame.unionByName, links))
 
     ids = groups.join(final.withColumnRenamed("node", "sig1"), "sig1", "left").select(
         "sig1", "sig2", "doc_id", F.coalesce("component", "sig1").alias("component")
     )
+    return rows.select("doc_id", "n", "sig1", "sig2"), ids
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest id that links reach. An empty table gives an empty result.
+    """
+    rows, ids = _judged(_plain(docs), width, percent)
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(smallest, "component").select("sig1", "sig2", "component_id")
-    slim = rows.select("doc_id", "n", "sig1", "sig2")
-    out = slim.join(ids, ["sig1", "sig2"], "left")
+    out = rows.join(ids.join(smallest, "component").select("sig1", "sig2", "component_id"), ["sig1", "sig2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
@@ -318,13 +421,54 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
 
 
 def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` with one document of every component, the one of the smallest id; all columns stay.
+    """``docs`` with one row of every component; all columns stay, whatever their names.
+
+    The row is that of the smallest id. If texts that link repeat that id, it is the one whose signature is smallest; of rows with
+    the same id and the same set of shingles one stays. Unlike texts under one id are different documents and all stay, and
+    so do rows without an id or without a shingle, which link with nothing.
 
-    Rows without an id all stay. Of rows that repeat an id one stays.
+    Which ids lose a row is sent as a fixed number of buckets. Texts whose id is in no such bucket stay without
+    being shuffled; the others are hashed once more and looked up.
     """
-    found = cut(similar_documents(docs, width, percent))
-    stay = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stay.distinct(), "doc_id", "left_semi").select(docs.columns)
-    if not stay.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    spark = docs.sparkSession
+    rows, ids = _judged(_plain(docs), width, percent)
+    stay = cut(ids.groupBy("component").agg(F.min(F.struct("doc_id", "sig1", "sig2")).alias("first")).select("first.*"))
+    key = ["doc_id", "sig1", "sig2"]
+    counted = rows.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.count("*").alias("copies"))
+    losing = counted.join(stay.withColumn("stays", F.lit(1)), key, "left").where("stays is null or copies > 1").select("doc_id")
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _id_bucket(batch.column(0).to_numpy(zero_copy_only=False))
+
+    flags = spark.sparkContext.broadcast(bounded.bucket_counts(losing, buckets, ID_BITS) > 0)
+    _release(spark)
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    named = whole.select(F.col(f"c{docs.columns.index('doc_id')}").cast("long").alias("id"), "*")
+
+    def flagged(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0)
+                found = flags.value[_id_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False))] & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(found == wanted))
+
+        return named.mapInArrow(run, named.schema)
+
+    text = docs.columns.index("text") + 1
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded.text_slices(batch, f"c{text - 1}", MAX_TEXTS):
+                sets, bounds = shingle_sets(part.column(text), width)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *[pa.array(x) for x in _signatures(sets, bounds)], pa.array(np.diff(bounds))],
+                    schema=pa.schema([*part.schema, ("sig1", pa.int64()), ("sig2", pa.int64()), ("size", pa.int64())]),
+                )
+
+    schema = flagged(True).schema.add("sig1", "long").add("sig2", "long").add("size", "long")
+    doubtful = flagged(True).mapInArrow(signed, schema)
+    first = doubtful.where("size > 0").join(stay.withColumnRenamed("doc_id", "id"), ["id", "sig1", "sig2"], "left_semi")
+    first = first.dropDuplicates(["id", "sig1", "sig2"])
+    kept = [flagged(False), doubtful.where("size = 0"), first]
+    kept = reduce(DataFrame.unionByName, [k.select(*whole.columns) for k in kept])
+    return kept.toDF(*docs.columns)

@@ -132,9 +132,9 @@ def _keys(domain: Column) -> list[Column]:
 
 
 def copies(rows: DataFrame, leaves: DataFrame, domain: Column, seed: int = SEED) -> DataFrame:
-    """``rows`` once per epoch in which they are taken, with that ``epoch``; their columns stay as they are."""
+    """(row, epoch): each of ``rows`` once per epoch in which it is taken; ``row`` holds its columns, whatever their names."""
     own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
     keyed = rows.select(own, "doc_id", *_keys(domain)).join(leaves.select(*LEAF, "epochs", "last"), LEAF)
     taken = F.col("epochs") + F.coalesce((_place(F.col("epochs"), seed) <= F.col("last")).cast("long"), F.lit(0))
     keyed = keyed.withColumn("taken", taken).where("taken > 0")
-    return keyed.select("row.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("taken") - 1)).alias("epoch"))
+    return keyed.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("taken") - 1)).alias("epoch"))

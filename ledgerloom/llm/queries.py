@@ -57,7 +57,7 @@ def op2_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = mixing.source_domain()
     counted, leaves = mixing.plan(_table(spark, sf_dir, "documents"), domain, BUDGET_PERCENT, EPOCHS, WEIGHTS)
     return mixing.copies(counted.withColumnRenamed("domain", "of"), leaves, F.col("of")).select(
-        "doc_id", F.col("of").alias("domain"), "lang", "source", "n_tokens", "epoch"
+        "row.doc_id", F.col("row.of").alias("domain"), "row.lang", "row.source", "row.n_tokens", "epoch"
     )
 
 

@@ -75,7 +75,51 @@ def test_missing_ids_and_repeated_rows(spark):
     components = sorted((str(r.doc_id), r.component_id) for r in found)
     assert components == [("3", 3), ("4", 3), ("4", 4), ("7", 3), ("7", 3), ("9", 9), ("9", 9), ("None", None)]
     kept = jj.one_of_each(docs).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "9", "None"]
+    # 4 has two unlike texts: the other one is a near copy of 3
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("3", text + " more"), ("4", "a b c"), ("None", text)]
+    assert [r.doc_id for r in kept if not r.text] == [9, 9]
+
+
+def test_one_of_each_keeps_every_unlike_text(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2] + " x"), (3, texts[2]), (4, texts[3]), (4, texts[3]), (4, " \n"), (5, "")]
+    docs = spark.createDataFrame([(i, t, 7, "r", 1) for i, t in rows], "doc_id int, text string, `a.b` int, row string, n int").repartition(3)
+    kept = jj.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id, r.text) for r in kept.collect())
+    two = [x for x in found if x[0] == 2]
+    assert len(two) == 1 and two[0][1] in (texts[2], texts[2] + " x")
+    assert [x for x in found if x[0] != 2] == [(1, texts[0]), (1, texts[1]), (4, " \n"), (4, texts[3]), (5, "")]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_groups_that_leaders_leave_open(spark, monkeypatch, block):
+    """Chains of near copies, no leader links all of them, and passages that unlike texts share."""
+    rng = random.Random(9)
+    monkeypatch.setattr(jj, "BLOCK", block)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, passage = [], [word() for _ in range(25)]
+    for _ in range(6):
+        words = [word() for _ in range(80)]
+        for step in range(25):
+            words[(step * 3) % 80] = word()
+            texts.append(" ".join(words))
+        texts += [" ".join([*passage, *(word() for _ in range(rng.randint(5, 60)))]) for _ in range(6)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.similar_documents(docs, 3, 90).collect())
+    assert found == brute(rows, 3, 90)
+
+
+def test_fingerprints_of_links_always_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        tokens = np.unique(rng.integers(0, 1 << 54, rng.integers(1, 300)).astype(np.uint64))
+        other = np.unique(np.concatenate([tokens[rng.random(len(tokens)) < 0.97], rng.integers(0, 1 << 54, rng.integers(0, 5)).astype(np.uint64)]))
+        common = len(np.intersect1d(tokens, other))
+        if 100 * common >= 80 * (len(tokens) + len(other) - common):
+            assert jj._shares_prefixes(jj._fingerprints(tokens, 80), jj._fingerprints(other, 80))
 
 
 def test_empty_table(spark):

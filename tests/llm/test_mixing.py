@@ -75,7 +75,7 @@ def brute(rows, percent, epochs, seed):
 def run(docs, percent, epochs, seed):
     domain = mixing.source_domain()
     _, leaves = mixing.plan(docs, domain, percent, epochs, WEIGHTS, seed)
-    return mixing.copies(docs, leaves, domain, seed)
+    return mixing.copies(docs, leaves, domain, seed).select("row.*", "epoch")
 
 
 def test_quotas_and_prefixes_equal_brute_force(spark):
@@ -99,6 +99,15 @@ def test_other_columns_repeated_rows_and_missing_ids(spark):
     assert sorted(map(str, (tuple(r)[:-1] for r in found.collect()))) == sorted(map(str, rows))
 
 
+def test_any_column_names(spark):
+    rows = [(1, "a b", "en", "s1", 9, 8, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int, row int, `a.b` int")
+    domain = mixing.source_domain()
+    _, leaves = mixing.plan(docs, domain, 100, 1, WEIGHTS)
+    found = mixing.copies(docs, leaves, domain).collect()
+    assert [(tuple(r.row), r.epoch) for r in found] == [(rows[0], 0)]
+
+
 def test_empty_table(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string, lang string, source string"), 50, 2, 1).collect() == []
 
