@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import ledgerloom
 from ledgerloom.llm import bin_packing, jaccard_join, mixing, quality_divergence, queries, secret_forest
@@ -34,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents by the target weights of their domain, language and source, each at most once."""
     domain = mixing.source_domain()
     _, leaves = mixing.plan(docs, domain, BUDGET_PERCENT, 1, queries.WEIGHTS)
-    return mixing.copies(docs, leaves, domain).select(docs.columns)
+    return mixing.copies(docs, leaves, domain).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
