@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm import bounded
 from ledgerloom.llm.wordhash import (
@@ -54,7 +55,7 @@ ORDER_BITS = 20
 ID_BITS = 22
 BLOCK = 512
 PARITY = 256
-STARS = 3
+STARS = 2
 _CLASS_BITS = 5
 _BITS = [f"p{i}" for i in range(PARITY // 64)]
 _OTHER_ORDERS = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
@@ -94,8 +95,8 @@ def _frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _parity(tokens: np.ndarray) -> bytes:
-    """A bit for each residue of the shingles, set if an odd number have it; two to four bits a shingle."""
-    size = max(64, 1 << int(2 * len(tokens)).bit_length())
+    """A bit for each residue of the shingles, set if an odd number have it; one to two bits a shingle."""
+    size = max(64, 1 << len(tokens).bit_length())
     flips = np.bincount((tokens >> np.uint64(ORDER_BITS)).astype(np.int64) & (size - 1), minlength=size)
     return np.packbits(flips.astype(np.uint8) & np.uint8(1)).tobytes()
 
@@ -175,17 +176,53 @@ def _id_bucket(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.uint64)) & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
 
 
+def _flags(ids: DataFrame) -> np.ndarray:
+    """Which of a fixed number of buckets hold an id of ``ids`` (one column)."""
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _id_bucket(batch.column(0).to_numpy(zero_copy_only=False))
+
+    return bounded.bucket_counts(ids, buckets, ID_BITS) > 0
+
+
+def _flagged(rows: DataFrame, flags: np.ndarray, wanted: bool = True) -> DataFrame:
+    """``rows`` whose first column, a long, falls into a flagged bucket; or those whose does not, a null among them.
+
+    The buckets are a broadcast of fixed size. What passes is shuffled later, the others never are.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            found = sent.value[_id_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False))] & np.asarray(ids.is_valid())
+            yield batch.filter(pa.array(found == wanted))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _one_a_class(rows: DataFrame, groups: DataFrame, flags: np.ndarray, columns: list[str]) -> DataFrame:
+    """(node, doc_id, ``columns``) of one row of each class; ``flags`` are the buckets of classes that have several rows."""
+    key = ["node", "sig2", "doc_id"]
+    rows = rows.where("n > 0 and doc_id is not null").select(F.col("sig1").alias("node"), "sig2", "doc_id", *columns)
+    # on the join's own key, so that repeated rows go without another shuffle
+    firsts = _flagged(rows, flags).join(groups.select(F.col("sig1").alias("node"), "sig2", "doc_id"), key).dropDuplicates(key)
+    return _flagged(rows, flags, False).unionByName(firsts).select("node", "doc_id", *columns)
+
+
+def _sketches(rows: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(node, ``columns``) of the classes in ``nodes`` (node)."""
+    found = _flagged(rows.where("n > 0 and doc_id is not null").select(F.col("sig1").alias("node"), *columns), _flags(nodes))
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, tokens) of the classes in ``nodes`` (node, doc_id): their sets as bytes.
 
     Only texts whose id falls into a bucket that has a node are hashed again; the buckets are
     a broadcast of fixed size, and the join on the id removes what else fell into them.
     """
-
-    def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _id_bucket(batch.column(0).to_numpy(zero_copy_only=False))
-
-    wanted = docs.sparkSession.sparkContext.broadcast(bounded.bucket_counts(nodes.select("doc_id"), ids, ID_BITS) > 0)
+    wanted = docs.sparkSession.sparkContext.broadcast(_flags(nodes.select("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +247,7 @@ def _may_link(sizes: int, wide: tuple[bytes, bytes], others: tuple[bytes, bytes]
     return (100 + percent) * _least_difference(*wide) <= (100 - percent) * sizes and _shares_prefixes(*others)
 
 
-def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (x, y, df, list) that all filters leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +256,11 @@ def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             near = [_may_link(n, (p, q), (f, g), percent) for n, p, q, f, g in zip(*columns, strict=True)]
             yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y", "df", "list"])
 
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    sketches = cut(_sketches(rows, nodes, ["n", "wide", "others"]))
     for side in "xy":
-        pairs = pairs.join(known.select(*[F.col(c).alias(f"{a}{side}") for c, a in (("node", ""), ("n", "n"), ("wide", "w"), ("others", "o"))]), side)
+        pairs = pairs.join(sketches.select(*[F.col(c).alias(f"{a}{side}") for c, a in (("node", ""), ("n", "n"), ("wide", "w"), ("others", "o"))]), side)
     pairs = pairs.select("x", "y", "df", "list", (F.col("nx") + F.col("ny")).alias("both"), "wx", "wy", "ox", "oy")
     return pairs.mapInArrow(run, "x long, y long, df long, list long")
 
@@ -271,23 +311,24 @@ def _room(a: str, b: str, percent: int) -> str:
     return f"({room}) and ({sizes}) and ({100 + percent} * ({_flipped(a, b)}) <= {100 - percent} * ({a}.n + {b}.n))"
 
 
-def _between(apart: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _between(apart: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(x, y, df, list): all candidates between different components of a list.
 
     A cell is two blocks of at most about ``BLOCK`` classes of a list; pairs are made and judged inside of it.
     """
     parts = F.ceil(F.col("df") / BLOCK).cast("long")
-    rows = apart.join(known.select("node", "wide", "others"), "node").withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    wide = _sketches(rows, apart.select("node").distinct(), ["wide"])
+    rows = apart.join(wide, "node").withColumn("part", F.pmod(F.xxhash64("node"), parts))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     numbers = ["node", "component", "n", "place", *_BITS]
     rows = rows.select(
-        "list", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "df", *numbers, "wide", "others"
+        "list", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "df", *numbers, "wide"
     )
 
     def judged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         value = {c: table.column(c).to_numpy() for c in ["list", "low", "high", "part", "df", *numbers]}
-        wide, others = (table.column(c).to_pylist() for c in ("wide", "others"))
+        wide = table.column("wide").to_pylist()
         low, high = value["low"][0], value["high"][0]
         left = np.flatnonzero(value["part"] == low)
         right = left if low == high else np.flatnonzero(value["part"] == high)
@@ -304,7 +345,7 @@ def _between(apart: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         some = (100 + percent) * flipped <= (100 - percent) * (n[i] + n[j])
         found = [
             (a, b) for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True)
-            if _may_link(int(n[a] + n[b]), (wide[a], wide[b]), (others[a], others[b]), percent)
+            if (100 + percent) * _least_difference(wide[a], wide[b]) <= (100 - percent) * int(n[a] + n[b])
         ]
         a, b = (value["node"][[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
         size = len(found)
@@ -376,24 +417,25 @@ def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     """Rows (doc_id, n, sig1, sig2) of ``docs`` (doc_id, text), and classes (sig1, sig2, doc_id, component)."""
     classes = _frequency_classes(docs, width)
     rows = cut(_prefixes(docs, classes, width, percent))
-    groups = cut(rows.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_id")))
-    key = ["sig1", "sig2", "doc_id"]
-    # on the join's own key, so that repeated rows go without another shuffle
-    chosen = rows.join(groups, key).dropDuplicates(key).withColumnRenamed("sig1", "node")
-    known = cut(chosen.select("node", "doc_id", "n", *_BITS, "wide", "others"))
+    sized = rows.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2")
+    groups = cut(sized.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    several = _flags(groups.where("copies > 1").select("sig1"))
+    known = cut(_one_a_class(rows, groups, several, ["n", *_BITS]))
     _release(docs.sparkSession)
-    index = cut(_index(chosen.select("node", "prefix"), known))
+    index = cut(_index(_one_a_class(rows, groups, several, ["prefix"]), known))
     _release(docs.sparkSession)
 
     links, components = [], None
     for turn in range(STARS):
-        pairs = _near(_stars(_apart(index, components), turn, percent), known, percent)
+        pairs = _near(_stars(_apart(index, components), turn, percent), rows, percent)
         links.append(_verified(docs, pairs, known, width, percent))
         if links[-1].isEmpty():
             break
         components = cut(connected_components(reduce(DataFrame.unionByName, links)))
         _release(docs.sparkSession)
-    links.append(_verified(docs, _between(_apart(index, components), known, percent), known, width, percent))
+    apart = cut(_apart(index, components))
+    _release(docs.sparkSession)
+    links.append(_verified(docs, _near(_between(apart, rows, percent), rows, percent), known, width, percent))
     final = components if components is not None and links[-1].isEmpty() else connected_components(reduce(DataFrame.unionByName, links))
 
     ids = groups.join(final.withColumnRenamed("node", "sig1"), "sig1", "left").select(
@@ -437,23 +479,10 @@ def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame
     counted = rows.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.count("*").alias("copies"))
     losing = counted.join(stay.withColumn("stays", F.lit(1)), key, "left").where("stays is null or copies > 1").select("doc_id")
 
-    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _id_bucket(batch.column(0).to_numpy(zero_copy_only=False))
-
-    flags = spark.sparkContext.broadcast(bounded.bucket_counts(losing, buckets, ID_BITS) > 0)
+    flags = _flags(losing)
     _release(spark)
     whole = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     named = whole.select(F.col(f"c{docs.columns.index('doc_id')}").cast("long").alias("id"), "*")
-
-    def flagged(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0)
-                found = flags.value[_id_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False))] & np.asarray(ids.is_valid())
-                yield batch.filter(pa.array(found == wanted))
-
-        return named.mapInArrow(run, named.schema)
-
     text = docs.columns.index("text") + 1
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,10 +494,11 @@ def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame
                     schema=pa.schema([*part.schema, ("sig1", pa.int64()), ("sig2", pa.int64()), ("size", pa.int64())]),
                 )
 
-    schema = flagged(True).schema.add("sig1", "long").add("sig2", "long").add("size", "long")
-    doubtful = flagged(True).mapInArrow(signed, schema)
+    doubtful = _flagged(named, flags)
+    schema = T.StructType([*doubtful.schema, *[T.StructField(c, T.LongType()) for c in ("sig1", "sig2", "size")]])
+    doubtful = doubtful.mapInArrow(signed, schema)
     first = doubtful.where("size > 0").join(stay.withColumnRenamed("doc_id", "id"), ["id", "sig1", "sig2"], "left_semi")
     first = first.dropDuplicates(["id", "sig1", "sig2"])
-    kept = [flagged(False), doubtful.where("size = 0"), first]
+    kept = [_flagged(named, flags, False), doubtful.where("size = 0"), first]
     kept = reduce(DataFrame.unionByName, [k.select(*whole.columns) for k in kept])
     return kept.toDF(*docs.columns)
