@@ -1,94 +1,130 @@
-"""Exact join of similar texts.
-
-The indel distance of two texts is at least the L1 distance of their character counts, and a
-score of T allows a distance of (100 - T)(la + lb) / 100 at most. Texts are therefore joined
-as points of character counts: blocks out of reach are skipped, pairs are tested on the
-counts, and only the few that pass are scored. Each distinct text takes part once.
+"""Exact join of similar texts through an index of their segments.
+
+A score of T leaves two texts of lengths ``l`` and ``b`` at most ``D = (100 - T)(l + b) / 100`` insertions and deletions.
+The longer text of a pair is cut into a grid of segments of ``q`` characters, the largest ``q`` that gives over D of them.
+An edit spoils one segment at most, so one is left, whole and in order, in the shorter text; what stands before and
+after it has been edited too, so its place is off by so much at most. The longer text enters the index with its
+segments and their places, the shorter one asks with all runs of ``q`` characters and the places they may come from: an
+equi-join, however many texts there are. A segment that many texts share is skewed, not grouped: the join may be split.
+
+Pairs that meet are tested on lengths, places and character counts before anything is scored. The
+counts are unary, four numbers of 64 bits that say which character classes occur once, twice, three and
+four times or more; every edit changes one bit. Each distinct text takes part once.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import settings as s
 from ledgerloom.functions.indel import lcs_lengths
-from ledgerloom.operators.blocks import block_join, points_of
 from ledgerloom.runtime import cut
 
 CLASSES = 64
-SCORED_AT_ONCE = 100_000
-
-
-def _with_counts(batches):
-    for pdf in batches:
-        counts = np.zeros((len(pdf), CLASSES), dtype=np.float64)
-        for row, text in enumerate(pdf["rep"]):
-            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % CLASSES
-            counts[row] = np.bincount(codes, minlength=CLASSES)
-        yield pdf.assign(point=list(counts), size=counts.sum(axis=1))
-
-
-def _points(texts: DataFrame) -> DataFrame:
-    reps = texts.select(F.col("key").alias("rep")).distinct()
-    return cut(reps.mapInPandas(_with_counts, "rep string, point array<double>, size double"))
-
-
-def count_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """L1 distances, one character class at a time."""
-    total = np.zeros((len(a), len(b)), dtype=np.float64)
-    for column in range(a.shape[1]):
-        x, y = a[:, column], b[:, column]
-        if x.any() or y.any():
-            total += np.abs(x[:, None] - y[None, :])
-    return total
-
-
-def _score_kernel(threshold: int):
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = points_of(left).astype(np.int32), points_of(right).astype(np.int32)
-        total = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
-        gaps = np.zeros(total.shape, dtype=np.int32)
-        for column in np.flatnonzero(a.any(axis=0) | b.any(axis=0)):
-            gaps += np.abs(a[:, column, None] - b[None, :, column])
-        rows, cols = np.nonzero(gaps * 100 <= (100 - threshold) * total)
-        l_text, r_text = left["rep"].to_numpy(), right["rep"].to_numpy()
-        found = [np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)]
-        for start in range(0, len(rows), SCORED_AT_ONCE):
-            r, c = rows[start : start + SCORED_AT_ONCE], cols[start : start + SCORED_AT_ONCE]
-            both = total[r, c].astype(np.float64)
-            common = lcs_lengths(list(l_text[r]), list(r_text[c]))
-            keep = 200 * common >= threshold * both
-            share = np.divide(both - 2 * common, both, out=np.zeros_like(both), where=both > 0)
-            part = r[keep], c[keep], (1.0 - share[keep]) * 100.0
-            found = [np.concatenate(pair) for pair in zip(found, part, strict=True)]
-        return pd.DataFrame(
-            {
-                "left_key": pd.Series(l_text[found[0]], dtype="object"),
-                "right_key": pd.Series(r_text[found[1]], dtype="object"),
-                "score": found[2],
-            }
-        )
-
-    return kernel
+_COUNTS = ("once", "twice", "thrice", "often")
+
+
+def _edits(one: Column, other: Column, threshold: int) -> Column:
+    """Most insertions and deletions that the threshold allows two lengths."""
+    return F.floor((one + other) * (100 - threshold) / 100).cast("int")
+
+
+def _segment(length: Column, threshold: int) -> Column:
+    """Characters of a segment of a text that is the longer one; 0 if it is too short to be cut."""
+    return F.floor(length / (_edits(length, length, threshold) + 1)).cast("int")
+
+
+def _unary_counts(text: Column) -> Column:
+    def add(seen: Column, letter: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(letter), F.lit(CLASSES)))
+        new = [seen["once"].bitwiseOR(bit)]
+        new += [seen[here].bitwiseOR(seen[less].bitwiseAND(bit)) for less, here in zip(_COUNTS, _COUNTS[1:], strict=False)]
+        return F.struct(*[x.alias(name) for x, name in zip(new, _COUNTS, strict=True)])
+
+    start = F.struct(*[F.lit(0).cast("long").alias(name) for name in _COUNTS])
+    # the split of an empty text has one empty part
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, add)
+
+
+def _texts(texts: DataFrame) -> DataFrame:
+    """Distinct texts with their length ``n`` and unary counts."""
+    distinct = texts.where("key is not null").select("key").distinct()
+    counted = distinct.select("key", F.length("key").alias("n"), _unary_counts(F.col("key")).alias("counts"))
+    return cut(counted.select("key", "n", *[F.col(f"counts.{c}").alias(c) for c in _COUNTS]))
+
+
+def _indexed(texts: DataFrame, threshold: int) -> DataFrame:
+    """Each text with its segments: ``q``, ``place`` and ``segment``."""
+    q = _segment(F.col("n"), threshold)
+    rows = texts.withColumn("q", q).withColumn("at", F.expr("explode(if(q = 0, array(0), sequence(0, int(n div q) - 1)))"))
+    return rows.select("*", (F.col("at") * F.col("q")).alias("place"), F.expr("substring(key, at * q + 1, q)").alias("segment")).drop("at")
+
+
+def _asking(texts: DataFrame, threshold: int) -> DataFrame:
+    """Each text with the segments of longer texts that it may hold: ``q``, ``place`` there, ``start`` here, ``segment``."""
+    # of the longest partner all edits are needed for the lengths: l - b = D
+    longest = F.floor(F.col("n") * (200 - threshold) / threshold).cast("int")
+    lengths = F.sequence(F.col("n"), longest)
+    kinds = F.array_distinct(F.transform(lengths, lambda length: _segment(length, threshold)))
+    rows = texts.withColumns({"longest": longest, "q": F.explode(kinds)})
+    rows = rows.withColumn("start", F.expr("explode(if(q = 0, array(0), if(n >= q, sequence(0, n - q), cast(array() as array<int>))))"))
+    # the longer text has lost up to (D + g) / 2 characters before the segment, g = l - b, or gained (D - g) / 2
+    before = F.floor((_edits(F.col("longest"), F.col("n"), threshold) + F.col("longest") - F.col("n")) / 2).cast("int")
+    after = F.floor(_edits(F.col("n"), F.col("n"), threshold) / 2).cast("int")
+    rows = rows.withColumns({"low": F.greatest(F.col("start") - after, F.lit(0)), "high": F.least(F.col("start") + before, F.col("longest"))})
+    grid = F.expr("if(q = 0, array(0), if(ceil(low / q) <= high div q, sequence(int(ceil(low / q)), int(high div q)), cast(array() as array<int>)))")
+    rows = rows.withColumn("at", F.explode(grid))
+    return rows.select(
+        "key", "n", *_COUNTS, "q", (F.col("at") * F.col("q")).cast("int").alias("place"), "start",
+        F.expr("substring(key, start + 1, q)").alias("segment"),
+    )
+
+
+def _meeting(longer: DataFrame, shorter: DataFrame, threshold: int, strictly: bool) -> DataFrame:
+    """(long_key, short_key) that agree on a segment and on all that is known without reading them."""
+    a, b = _indexed(longer, threshold).alias("a"), _asking(shorter, threshold).alias("b")
+    edits, gap = _edits(F.col("a.n"), F.col("b.n"), threshold), F.col("a.n") - F.col("b.n")
+    moved = F.col("b.start") - F.col("a.place")
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _COUNTS), F.lit(0))
+    near = (gap > 0 if strictly else gap >= 0) & (gap <= edits) & (apart <= edits)
+    near &= (F.col("a.q") == 0) | (F.abs(moved) + F.abs(gap + moved) <= edits)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("q", "place", "segment")]
+    return a.join(b, [*same, near]).select(F.col("a.key").alias("long_key"), F.col("b.key").alias("short_key"))
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(left_key, right_key) that may be similar, each pair once; inputs as ``_texts`` gives them."""
+    one = _meeting(left, right, threshold, strictly=False)
+    other = _meeting(right, left, threshold, strictly=True)
+    return (
+        one.select(F.col("long_key").alias("left_key"), F.col("short_key").alias("right_key"))
+        .unionByName(other.select(F.col("short_key").alias("left_key"), F.col("long_key").alias("right_key")))
+        .distinct()
+    )
 
 
 def similar_texts(left: DataFrame, right: DataFrame, threshold: int = s.DEFAULTS.text_threshold) -> DataFrame:
-    """All (left_key, right_key, score) with an indel score of at least ``threshold``.
+    """All (left_key, right_key, score) with an indel score of at least ``threshold`` (1 to 100).
 
-    Both inputs have a text column ``key``. Two empty texts are equal.
+    Both inputs have a text column ``key``; null keys take no part. Two empty texts are equal.
     """
+    if not 0 < threshold <= 100:
+        raise ValueError("the threshold is a score from 1 to 100")
+
+    def scored(batches):
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in range(2))
+            both = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
+            common = lcs_lengths(a, b)
+            keep = 200 * common >= threshold * both
+            share = np.divide(both - 2 * common, both, out=np.zeros_like(both), where=both > 0)
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array((1.0 - share[keep]) * 100.0, pa.float64())], names=["left_key", "right_key", "score"]
+            )
 
-    def reach(q, i, _apart):
-        return (100 - threshold) / 100.0 * (q.largest[:, None] + i.largest[None, :])
-
-    return block_join(
-        _points(left),
-        _points(right),
-        count_distance,
-        reach,
-        _score_kernel(threshold),
-        "left_key string, right_key string, score double",
-    )
+    met = candidates(_texts(left), _texts(right), threshold)
+    return met.mapInArrow(scored, "left_key string, right_key string, score double")

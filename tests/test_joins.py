@@ -35,23 +35,63 @@ def texts(seed, n):
     return sorted(out)
 
 
-def test_similar_texts_equals_all_pairs(spark, small_blocks):
-    left, right = texts(1, 150), texts(2, 120)
+@pytest.mark.parametrize(("threshold", "least"), [(85, 500), (97, 25), (60, 2000), (100, 10), (30, 4000)])
+def test_similar_texts_equals_all_pairs(spark, threshold, least):
+    left, right = [*texts(1, 150), "😀" * 9, "😀" * 8 + "a", "ab", "a"], [*texts(2, 120), "😀" * 9 + "b", "b", "abc" * 30, "abc" * 29 + "x"]
     got = similar_texts(
-        spark.createDataFrame([(t,) for t in left], "key string"),
-        spark.createDataFrame([(t,) for t in right], "key string"),
+        spark.createDataFrame([(t,) for t in [*left, None, left[0]]], "key string"),
+        spark.createDataFrame([(t,) for t in [None, *right]], "key string"),
+        threshold,
     ).collect()
     a, b = [x for x in left for _ in right], right * len(left)
     want = {
         (x, y)
         for x, y, n in zip(a, b, lcs_lengths(a, b), strict=True)
-        if 200 * n >= 85 * (len(x) + len(y))
+        if 200 * n >= threshold * (len(x) + len(y))
     }
-    assert len(want) > 500
+    assert len(want) > least
     assert {(r["left_key"], r["right_key"]) for r in got} == want
     assert len(got) == len(want)
 
 
+def test_one_edit_spoils_one_segment_at_most():
+    """The grid of the longer text has over D segments, one of them whole within the places asked for."""
+    rng = random.Random(8)
+    for threshold in (30, 60, 85, 97):
+        for _ in range(300):
+            b = "".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))
+            a = list(b)
+            for _ in range(rng.randint(0, 6)):
+                a.insert(rng.randrange(len(a) + 1), rng.choice("abc")) if rng.random() < 0.6 or not a else a.pop(rng.randrange(len(a)))
+            a, b = sorted(("".join(a), b), key=len, reverse=True)
+            edits = (100 - threshold) * (len(a) + len(b)) // 100
+            if len(a) + len(b) - 2 * lcs_lengths([a], [b])[0] > edits:
+                continue
+            q = len(a) // ((100 - threshold) * 2 * len(a) // 100 + 1)
+            gap = len(a) - len(b)
+            hits = [
+                (p, p + d) for p in range(0, len(a) - q + 1, q or 1) for d in range(-len(a), len(b) + 1)
+                if q and 0 <= p + d <= len(b) - q and abs(d) + abs(gap + d) <= edits and a[p : p + q] == b[p + d : p + d + q]
+            ]
+            assert hits or not q
+
+
+def test_candidates_do_not_grow_with_the_register(spark):
+    """More rows of the same merchants, ten times and ten times again, make no more candidates a text."""
+    from ledgerloom.catalog.inputs import ledger
+    from ledgerloom.operators import textjoin
+    from ledgerloom.operators.similarity import match_key
+
+    shares = []
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        keys = textjoin._texts(ledger(spark, f"/root/testdata/{sf}").select(match_key(F.col("description")).alias("key")))
+        n = keys.count()
+        found = textjoin.candidates(keys, keys, 85).count()
+        assert found < 0.15 * n * n
+        shares.append(found / n)
+    assert max(shares) < 1.4 * min(shares)
+
+
 def test_similar_texts_of_long_texts(spark):
     base = "lorem ipsum dolor sit amet " * 12
     near, far = base[:-20] + "changed a little", base[::-1]
