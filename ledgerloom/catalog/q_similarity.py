@@ -251,13 +251,30 @@ def _corrected(spark, sf):
     )
 
 
-RESCAN = f""", keyed AS (SELECT transaction_id, amount, category, category_source, {KEY} AS k FROM ledger),
+def _where_there_is_one(spark, sf, rows):
+    """Vectors for the rows that have one; every seventh ten of rows has none."""
+    v = bind(spark, sf, "ledger_vectors").select("transaction_id", F.col("embedding").alias("vector"))
+    return rows.join(v.where("floor(transaction_id / 10) % 7 <> 3"), "transaction_id", "left")
+
+
+RESCAN = f""", {COSINES},
+placed AS (SELECT transaction_id, vec_id FROM ledger_vectors WHERE floor(transaction_id / 10) % 7 <> 3),
+keyed AS (SELECT l.transaction_id, amount, category, category_source, llm_category, vec_id, {KEY} AS k
+  FROM ledger l LEFT JOIN placed p ON p.transaction_id = l.transaction_id),
 incoming AS (SELECT * FROM keyed WHERE category_source = 'unsure'),
 known AS (SELECT * FROM keyed WHERE category_source = 'manual'),
 {sql.pairs('scored', 'SELECT k FROM known', 'SELECT k FROM incoming')},
-hits AS (SELECT i.transaction_id, c.transaction_id AS job_id, c.category AS proposed_category, s.score,
-    min(CASE WHEN s.score >= 97 THEN c.transaction_id END) OVER (PARTITION BY i.transaction_id) AS settled_by
-  FROM incoming i JOIN scored s ON s.r = i.k JOIN known c ON c.k = s.l AND {IN_RANGE}),
+near AS (SELECT * FROM cosines WHERE score >= 0.75),
+compared AS (SELECT i.transaction_id, c.transaction_id AS job_id, c.category AS proposed_category, t.score AS by_text,
+    CASE WHEN v.score IS NOT NULL AND i.llm_category <> 'UNSURE' AND i.llm_category = c.category THEN least(1.0, v.score + 0.05)
+      ELSE v.score END AS by_vector
+  FROM incoming i JOIN known c ON {IN_RANGE}
+  LEFT JOIN scored t ON t.r = i.k AND t.l = c.k LEFT JOIN near v ON v.a = i.vec_id AND v.b = c.vec_id
+  WHERE t.score IS NOT NULL OR v.score IS NOT NULL),
+found AS (SELECT transaction_id, job_id, proposed_category,
+    CASE WHEN by_vector >= 0.82 THEN round(by_vector * 100, 2) ELSE by_text END AS score FROM compared),
+hits AS (SELECT *, min(CASE WHEN score >= 97 THEN job_id END) OVER (PARTITION BY transaction_id) AS settled_by
+  FROM found WHERE score IS NOT NULL),
 proposed AS (SELECT transaction_id, job_id, proposed_category, round(score, 2) AS match_score,
     CASE WHEN score >= 97 THEN 'auto_applied' ELSE 'pending' END AS status
   FROM hits WHERE settled_by IS NULL OR job_id <= settled_by)"""
@@ -265,7 +282,9 @@ proposed AS (SELECT transaction_id, job_id, proposed_category, round(score, 2) A
 
 @query("rescan_from_precedent", RESCAN + " SELECT * FROM proposed")
 def rescan_from_precedent(spark, sf):
-    return similarity.rescan(_incoming(spark, sf), _corrected(spark, sf))
+    return similarity.rescan(
+        _where_there_is_one(spark, sf, _incoming(spark, sf)), _where_there_is_one(spark, sf, _corrected(spark, sf))
+    )
 
 
 @query("recategorize", RESCAN + """

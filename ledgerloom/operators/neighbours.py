@@ -134,6 +134,27 @@ def nearest_neighbours(
     )
 
 
+def _pair_kernel(min_score: float):
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        scores = points_of(left) @ points_of(right).T
+        rows, cols = np.nonzero(scores >= min_score - SLACK)
+        return pd.DataFrame(
+            {"l_rep": left["rep"].to_numpy()[rows], "r_rep": right["rep"].to_numpy()[cols], "score": scores[rows, cols]}
+        )
+
+    return kernel
+
+
+def similar_vectors(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
+    """(l_rep, r_rep, score) of the distinct vectors of both sides, as ``distinct_vectors`` names them, at ``min_score`` or more."""
+    columns = ["rep", "point", "size"]
+    found = block_join(
+        left.select(*columns), right.select(*columns), chord, _score_reach(min_score), _pair_kernel(min_score),
+        "l_rep long, r_rep long, score double",
+    )
+    return found.withColumn("score", F.least("score", F.lit(1.0)))
+
+
 def _boosted_scores(left: pd.DataFrame, right: pd.DataFrame, boost: float) -> np.ndarray:
     scores = points_of(left) @ points_of(right).T
     labels = pd.concat([left["category"], right["category"], left["llm_category"], right["llm_category"]])

@@ -10,7 +10,7 @@ from ledgerloom.functions.amounts import amounts_in_range, cents, cents_window
 from ledgerloom.functions.decisions import decide_category
 from ledgerloom.functions.text import normalize_noise, token_key
 from ledgerloom.functions.vectors import boosted
-from ledgerloom.operators.neighbours import nearest_neighbours
+from ledgerloom.operators.neighbours import distinct_vectors, nearest_neighbours, similar_vectors
 from ledgerloom.operators.rangefirst import first_in_range
 from ledgerloom.operators.textjoin import similar_texts
 from ledgerloom.runtime import cut
@@ -167,51 +167,104 @@ def categorize(
     return with_decision(incoming, by_vector.unionByName(by_text))
 
 
+def _named_vectors(rows: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the name ``rep`` of their vector (-1 for none), and the distinct vectors."""
+    if "vector" not in rows.columns:
+        rows = rows.withColumn("vector", F.lit(None).cast("array<float>"))
+    reps = cut(distinct_vectors(rows.where(F.col("vector").isNotNull()).select(F.col(id_column).alias("id"), "vector")))
+    named = rows.join(reps.select("vector", "rep"), "vector", "left").drop("vector")
+    return named.withColumn("rep", F.coalesce("rep", F.lit(-1).cast("long"))), reps
+
+
 def rescan(unsure: DataFrame, corrected: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
     """Proposals of all open correction jobs for the undecided rows.
 
-    ``corrected``: job_id, transaction_id, description, amount, category_name and
-    category_source; only manual rows are precedents. Jobs run in order of their id: the
-    first one that reaches the auto-apply score settles the row, later jobs do not see it,
-    earlier weaker ones leave a pending proposal.
+    ``unsure``: transaction_id, description, amount, and, if vectors are to be compared, llm_category and vector (null for
+    none). ``corrected``: job_id, transaction_id, description, amount, category_name, category_source and vector; only manual
+    rows are precedents. A job and a row are compared by their vectors, the score raised when the row's
+    model label is the category that the job proposes; by their texts only where that comes to no match. Amounts must be in range for either.
+
+    Jobs run in order of their id: the first one that reaches the auto-apply score, by whichever
+    evidence, settles the row; later jobs do not see it, earlier weaker ones leave a pending proposal.
+
+    A row's answer depends on its text, vector, model label and amount; rows that agree on them are one question. What
+    vectors say about a pair is known per vector, label and category, so texts are never compared pair by pair with it: the
+    first job by text is found per text, and only questions whose first job vectors have already judged look closer.
     """
-    asked = _asked(unsure)
+    order = cfg.auto_apply_threshold
+    if "llm_category" not in unsure.columns:
+        unsure = unsure.withColumn("llm_category", F.lit(None).cast("string"))
+    unsure, asked_vectors = _named_vectors(unsure, "transaction_id")
+    manual, job_vectors = _named_vectors(corrected.where(F.col("category_source") == s.MANUAL), "job_id")
+    asked = cut(
+        unsure.select(
+            "transaction_id", match_key(F.col("description")).alias("q_key"), cents(F.col("amount")).alias("q_cents"),
+            F.col("rep").alias("q_rep"), F.coalesce("llm_category", F.lit(s.UNSURE)).alias("llm"),
+        )
+    )
     jobs = cut(
-        corrected.where(F.col("category_source") == s.MANUAL).select(
+        manual.select(
             "job_id",
             match_key(F.col("description")).alias("c_key"),
             cents(F.col("amount")).alias("cents"),
             F.col("category_name").alias("proposed_category"),
+            F.col("rep").alias("j_rep"),
         )
     ).withColumn("reach", _widest(cfg))
-    pairs = similar_texts(_texts(jobs, "c_key"), _texts(asked, "q_key"), cfg.text_threshold).select(
-        F.col("left_key").alias("c_key"), F.col("right_key").alias("q_key"), "score"
-    )
+    question = ["q_key", "q_cents", "q_rep", "llm"]
     low, high = cents_window(F.col("q_cents"), cfg.amount_ratio, cfg.amount_floor)
-    questions = asked.select("q_key", "q_cents", low.alias("low"), high.alias("high")).distinct()
-    strong = first_in_range(
-        questions.join(pairs.where(F.col("score") >= cfg.auto_apply_threshold), "q_key"),
-        jobs, ["c_key"], "job_id", ["proposed_category"],
+    questions = cut(asked.select(*question, low.alias("low"), high.alias("high")).distinct())
+
+    # what vectors say: (q_rep, llm, j_rep, proposed_category) with a score of at least the threshold
+    near = similar_vectors(asked_vectors, job_vectors, cfg.vector_threshold - cfg.llm_boost)
+    near = near.toDF("q_rep", "j_rep", "cosine").join(questions.select("q_rep", "llm").distinct(), "q_rep")
+    near = near.join(jobs.select("j_rep", "proposed_category").distinct(), "j_rep")
+    raised = boosted(F.col("cosine"), F.col("proposed_category"), F.col("llm"), cfg.llm_boost)
+    by_vector = ["q_rep", "llm", "j_rep", "proposed_category"]
+    judged = cut(
+        near.withColumn("raised", raised).where(F.col("raised") >= cfg.vector_threshold)
+        .select(*by_vector, F.round(F.col("raised") * 100, 2).alias("score"))
     )
-    settled = (
-        strong.groupBy("q_key", "q_cents")
-        .agg(F.min(F.struct(F.col("item.order").alias("job_id"), "item.proposed_category", "score")).alias("auto"))
+    texts = similar_texts(_texts(jobs, "c_key"), _texts(asked, "q_key"), cfg.text_threshold)
+    texts = cut(texts.select(F.col("left_key").alias("c_key"), F.col("right_key").alias("q_key"), "score"))
+
+    def firsts(found: DataFrame) -> DataFrame:
+        return found.select(*question, "low", "high", F.col("item.order").alias("job_id"), "proposed_category", "score")
+
+    strong_vectors = firsts(
+        first_in_range(
+            questions.join(judged.where(F.col("score") >= order), ["q_rep", "llm"]), jobs, ["j_rep", "proposed_category"], "job_id", []
+        )
     )
+    strong_texts = texts.where(F.col("score") >= order)
+    tried = first_in_range(questions.join(strong_texts, "q_key"), jobs, ["c_key"], "job_id", ["proposed_category", "j_rep"])
+    tried = cut(tried.withColumns({"j_rep": F.col("item.j_rep"), "proposed_category": F.col("item.proposed_category")}))
+    taken = tried.join(judged.select(*by_vector), by_vector, "left_semi")
+    # vectors have judged the first job by text: look among those of the text that they have not
+    kinds = jobs.select("c_key", "j_rep", "proposed_category").distinct()
+    closer = taken.select(*question, "low", "high", "c_key", "score").join(kinds, "c_key").join(judged.select(*by_vector), by_vector, "left_anti")
+    closer = first_in_range(closer, jobs, ["c_key", "j_rep", "proposed_category"], "job_id", [])
+    strong = strong_vectors.unionByName(firsts(tried.join(judged.select(*by_vector), by_vector, "left_anti"))).unionByName(firsts(closer))
+    first = F.min(F.struct("job_id", "proposed_category", "score")).alias("auto")
+    settled = cut(strong.groupBy(*question).agg(first))
+
+    # pairs below the auto-apply score, in range, of jobs that still see the row
     band = _band(cfg)
-    weak = (
-        questions.join(settled.select("q_key", "q_cents", F.col("auto.job_id").alias("settled_by")), ["q_key", "q_cents"], "left")
-        .join(pairs.where(F.col("score") < cfg.auto_apply_threshold), "q_key")
-        .withColumn("band", band("q_cents"))
-        .join(
-            jobs.withColumn("band", F.explode(F.sequence(band("cents") - 1, band("cents") + 1))).drop("reach"),
-            ["c_key", "band"],
+    open_questions = questions.join(settled.select(*question, F.col("auto.job_id").alias("settled_by")), question, "left")
+    open_questions = cut(open_questions.withColumn("band", band("q_cents")))
+    banded = jobs.withColumn("band", F.explode(F.sequence(band("cents") - 1, band("cents") + 1))).drop("reach")
+
+    def weaker(evidence: DataFrame, on: list[str], of_job: list[str]) -> DataFrame:
+        pairs = open_questions.join(evidence.where(F.col("score") < order), on).join(banded, [*of_job, "band"])
+        return pairs.where(F.col("cents").between(F.col("low"), F.col("high"))).where(
+            F.col("settled_by").isNull() | (F.col("job_id") < F.col("settled_by"))
         )
-        .where(F.col("cents").between(F.col("low"), F.col("high")))
-        .where(F.col("settled_by").isNull() | (F.col("job_id") < F.col("settled_by")))
-        .select("q_key", "q_cents", "job_id", "proposed_category", "score", F.lit("pending").alias("status"))
-    )
-    applied = settled.select("q_key", "q_cents", "auto.*", F.lit("auto_applied").alias("status"))
-    return asked.join(applied.unionByName(weak), ["q_key", "q_cents"]).select(
+
+    weak = weaker(judged, ["q_rep", "llm"], ["j_rep", "proposed_category"]).select(*question, "job_id", "proposed_category", "score")
+    by_text = weaker(texts, ["q_key"], ["c_key"]).join(judged.select(*by_vector), by_vector, "left_anti")
+    weak = weak.unionByName(by_text.select(weak.columns)).withColumn("status", F.lit("pending"))
+    applied = settled.select(*question, "auto.*", F.lit("auto_applied").alias("status"))
+    return asked.join(applied.unionByName(weak), question).select(
         "transaction_id", "job_id", "proposed_category", F.round("score", 2).alias("match_score"), "status"
     )
 
