@@ -15,10 +15,11 @@ from ledgerloom.sources.statements import CHECKED_LINE
 
 
 def _prepared(lines: Column) -> Column:
-    """Each line with its exchanged date and whether it stands outside the print order."""
+    """Each line with its place, its exchanged date and whether it stands outside the print order."""
     return F.transform(
         lines,
-        lambda x: F.struct(
+        lambda x, i: F.struct(
+            i.alias("pos"),
             x.alias("line"),
             swapped_day_month(x["transaction_date"]).alias("other"),
             is_unordered_line(x["description"]).alias("skip"),
@@ -39,54 +40,82 @@ def anchor_date(statement_date: Column, trusted: Column, max_gap: int) -> Column
     return F.array_min(F.filter(options, lambda d: (d >= trusted) & (d <= last)))
 
 
-def _step(state: Column, item: Column, anchor: Column) -> Column:
-    """One printed line joins ``out`` with its resolved date; ordered lines move ``last`` along."""
+def _exchanged(item: Column, last: Column) -> Column:
+    """Whether an ordered line is better read with day and month exchanged, after a line of the date ``last``."""
     read, other = item["line"]["transaction_date"], item["other"]
-    here, there = F.datediff(read, state["last"]), F.datediff(other, state["last"])
-    other_is_better = (
-        F.when(item["skip"], other == anchor)
-        .when((here >= 0) & (there >= 0), there < here)
+    here, there = F.datediff(read, last), F.datediff(other, last)
+    better = (
+        F.when((here >= 0) & (there >= 0), there < here)
         .when((here >= 0) | (there >= 0), there >= 0)
         .otherwise(F.abs(there) < F.abs(here))
     )
-    return F.struct(
-        F.when(other_is_better, other).otherwise(read).alias("day"), item["line"].alias("line"), item["skip"].alias("skip")
-    )
+    return F.coalesce(better, F.lit(False)).cast("int")
 
 
-def _advance(state: Column, item: Column, anchor: Column) -> Column:
-    moved = _step(state, item, anchor)
-    return F.struct(
-        F.when(moved["skip"], state["last"]).otherwise(moved["day"]).alias("last"),
-        F.concat(state["out"], F.array(moved["line"].withField("transaction_date", moved["day"]))).alias("out"),
+def _maps(ordered: Column) -> Column:
+    """For each line what it becomes (0 as read, 1 exchanged) if the line before is 0 (lower bit) or 1 (upper bit)."""
+    before = F.concat(F.array(F.lit(None)), F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))))
+    maps = F.zip_with(
+        F.when(F.size(ordered) > 0, ordered),
+        before,
+        lambda x, b: _exchanged(x, b["line"]["transaction_date"]) + 2 * _exchanged(x, b["other"]),
     )
+    return F.coalesce(maps, F.array().cast("array<int>")).cast("array<int>")
 
 
-def repaired_lines(prepared: Column, anchor: Column) -> Column:
-    """Lines in print order, ambiguous dates read so that the sequence moves on least.
+def _scanned(maps: Column) -> Column:
+    """Each line's map after those of all lines before it, by doubling: pass ``j`` composes with the one 2^j before."""
 
-    A fold over the lines of one statement: the choice depends on earlier choices.
-    """
-    start = F.struct(
-        F.lit(None).cast("date").alias("last"), F.array().cast(f"array<{CHECKED_LINE}>").alias("out")
-    )
-    return F.aggregate(
-        prepared, start, lambda state, item: _advance(state, item, anchor), lambda state: state["out"]
-    )
+    def shift(name: str, number: Column, by: Column) -> Column:
+        return F.call_function(name, number, by.cast("int"))
+
+    def after(first: Column, then: Column) -> Column:
+        low = shift("shiftright", then, first.bitwiseAND(1)).bitwiseAND(1)
+        high = shift("shiftright", then, shift("shiftright", first, F.lit(1)).bitwiseAND(1)).bitwiseAND(1)
+        return low + 2 * high
+
+    def pass_over(scan: Column, j: Column) -> Column:
+        far = shift("shiftleft", F.lit(1), j)
+        return F.transform(scan, lambda x, i: F.when(i >= far, after(F.get(scan, i - far), x)).otherwise(x)).cast("array<int>")
+
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(maps), F.lit(1)))).cast("int"))
+    return F.aggregate(passes, maps, pass_over)
+
+
+def repaired_lines(ordered: Column, skipped: Column, scanned: Column, anchor: Column) -> Column:
+    """All lines in print order with their dates."""
+
+    def dated(item: Column, exchanged: Column) -> Column:
+        day = F.when(exchanged, item["other"]).otherwise(item["line"]["transaction_date"])
+        return F.struct(item["pos"].alias("pos"), item["line"].withField("transaction_date", day).alias("line"))
+
+    in_order = F.zip_with(ordered, scanned, lambda x, m: dated(x, m.bitwiseAND(1) == 1))
+    outside = F.transform(skipped, lambda x: dated(x, x["other"] == anchor))
+    return F.transform(F.sort_array(F.concat(in_order, outside)), lambda x: x["line"])
 
 
 def repair_statements(parsed: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
-    """Statements with repaired line dates; those exchanged as a whole stay as they are."""
+    """Statements with repaired line dates; those exchanged as a whole stay as they are.
+
+    Each ordered line is read so that the sequence moves on least, which depends on how the line before is read. A line
+    is thus a map between two states, maps compose, and the dates are a prefix scan over them: a number of
+    passes that grows with the logarithm of the lines, where a fold that collects its results would copy them at every line.
+    The first ordered line stays as it is read. Lines outside of the print order follow the statement's date instead.
+    """
     typed = parsed.withColumn("lines", F.col("lines").cast(f"array<{CHECKED_LINE}>"))
     prepared = typed.withColumn("prepared", _prepared(F.col("lines")))
-    anchored = prepared.withColumn(
-        "anchor",
-        anchor_date(F.col("statement_date"), trusted_date(F.col("prepared")), cfg.statement_date_max_gap_days),
-    )
-    fixed = repaired_lines(F.col("prepared"), F.col("anchor"))
-    return anchored.withColumn(
+    anchored = prepared.withColumns(
+        {
+            "anchor": anchor_date(F.col("statement_date"), trusted_date(F.col("prepared")), cfg.statement_date_max_gap_days),
+            "in_order": F.filter("prepared", lambda x: ~x["skip"]),
+            "outside": F.filter("prepared", lambda x: x["skip"]),
+        }
+    )
+    scanned = anchored.withColumn("maps", _maps(F.col("in_order"))).withColumn("scan", _scanned(F.col("maps")))
+    fixed = repaired_lines(F.col("in_order"), F.col("outside"), F.col("scan"), F.col("anchor"))
+    return scanned.withColumn(
         "lines", F.when(F.col("valid") & ~F.col("swapped"), fixed).otherwise(F.col("lines"))
-    ).drop("prepared", "anchor")
+    ).drop("prepared", "anchor", "in_order", "outside", "maps", "scan")
 
 
 def valid_lines(statements: DataFrame) -> DataFrame:
