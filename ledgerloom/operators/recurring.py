@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ from ledgerloom.operators.neighbours import similar_links
 from ledgerloom.operators.textjoin import similar_texts
 from ledgerloom.runtime import cut
 
-WHOLE_GROUP_LIMIT = 1_000_000
-
 
 # --- matching --------------------------------------------------------------------------------
 
@@ -187,68 +186,54 @@ def group_by_pattern(rows: DataFrame) -> DataFrame:
     return with_pattern(rows).groupBy("pattern").agg(F.count("*").alias("n_rows"))
 
 
-def _upper(head, cfg: s.Settings):
+def _upper(head: int, cfg: s.Settings) -> int:
     """Largest amount in cents that still joins a cluster with this head."""
     num, den = cfg.trusted_ratio.as_integer_ratio()
-    step = int(cfg.trusted_floor * 100)
-    if isinstance(head, int):
-        return max(head + step, head * num // den)
-    return F.greatest(head + step, F.floor((head * num).cast("decimal(30,0)") / F.lit(den)).cast("bigint"))
-
-
-def _heads_in_group(cfg: s.Settings):
-    def heads(pdf: pd.DataFrame) -> pd.DataFrame:
-        amounts = np.sort(pdf["cents"].to_numpy())
-        found, at = [], 0
-        while at < len(amounts):
-            head = int(amounts[at])
-            found.append(head)
-            at = int(np.searchsorted(amounts, _upper(head, cfg), side="right"))
-        return pd.DataFrame({"pattern": pdf["pattern"].iloc[0], "heads": [found]})
-
-    return heads
+    return max(head + int(cfg.trusted_floor * 100), head * num // den)
 
 
-def cluster_heads(
-    rows: DataFrame, cfg: s.Settings = s.DEFAULTS, group_limit: int = WHOLE_GROUP_LIMIT
-) -> DataFrame:
+def cluster_heads(rows: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
     """(pattern, heads): the first amounts of the amount clusters of each pattern, ascending.
 
     Amounts join the newest cluster if in range of its first amount, else start one. As the
     range grows with the head, heads multiply by at least the ratio: a pattern has at most a
-    few hundred. Only distinct amounts matter. A pattern with more of them than
-    ``group_limit`` is never gathered in one task; its heads are found one after the other,
-    each as a minimum over the amounts beyond the last head's range.
+    few hundred. Only distinct amounts matter; they pass in order, and all that is kept of a pattern is its newest
+    head, so its size is of no concern: a step looks up where the range of the head ends.
     """
-    amounts = cut(rows.select("pattern", "cents").distinct())
-    sizes = amounts.groupBy("pattern").agg(F.count("*").alias("n"), F.min("cents").alias("head"))
-    front = cut(sizes.where(F.col("n") > group_limit).select("pattern", "head"))
-    schema = "pattern string, heads array<bigint>"
-    if front.isEmpty():
-        return amounts.groupBy("pattern").applyInPandas(_heads_in_group(cfg), schema)
-    small = amounts.join(front.select("pattern"), "pattern", "left_anti")
-    result = small.groupBy("pattern").applyInPandas(_heads_in_group(cfg), schema)
-    large = cut(amounts.join(front.select("pattern"), "pattern", "left_semi"))
-    chains = []
-    while not front.isEmpty():
-        chains.append(front)
-        front = cut(
-            large.join(front, "pattern")
-            .where(F.col("cents") > _upper(F.col("head"), cfg))
-            .groupBy("pattern")
-            .agg(F.min("cents").alias("head"))
-        )
-    every = chains[0]
-    for chain in chains[1:]:
-        every = every.unionByName(chain)
-    gathered = every.groupBy("pattern").agg(F.sort_array(F.collect_list("head")).alias("heads"))
-    return result.unionByName(gathered)
-
 
-def amount_clusters(rows: DataFrame, cfg: s.Settings = s.DEFAULTS, group_limit: int = WHOLE_GROUP_LIMIT) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, limit = None, None
+        for batch in batches:
+            patterns = batch.column(0).dictionary_encode()
+            codes, names = patterns.indices.to_numpy(), patterns.dictionary.to_pylist()
+            amounts = batch.column(1).to_numpy()
+            found: list[tuple[str, int]] = []
+            edges = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+            for start, stop in zip(np.append(0, edges), np.append(edges, len(codes)), strict=True):
+                if start == stop:
+                    continue
+                name = names[codes[start]]
+                if name != current:
+                    current, limit = name, None
+                own = amounts[start:stop]
+                at = 0 if limit is None else int(np.searchsorted(own, limit, side="right"))
+                while at < len(own):
+                    found.append((name, int(own[at])))
+                    limit = _upper(int(own[at]), cfg)
+                    at = int(np.searchsorted(own, limit, side="right"))
+            columns = list(zip(*found, strict=True)) if found else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=["pattern", "head"])
+
+    amounts = rows.where("pattern is not null and cents is not null").select("pattern", "cents").distinct()
+    ordered = amounts.repartition("pattern").sortWithinPartitions("pattern", "cents")
+    heads = ordered.mapInArrow(scan, "pattern string, head bigint")
+    return heads.groupBy("pattern").agg(F.sort_array(F.collect_list("head")).alias("heads"))
+
+
+def amount_clusters(rows: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
     """Rows (pattern, amount, ...) with ``cents`` and the first amount of their cluster."""
     sized = rows.withColumn("cents", cents(F.col("amount")))
-    heads = cluster_heads(sized, cfg, group_limit)
+    heads = cluster_heads(sized, cfg)
     mine = F.array_max(F.filter("heads", lambda h: h <= F.col("cents")))
     return sized.join(heads, "pattern").withColumn("cluster_head", mine).drop("heads")
 

@@ -286,13 +286,25 @@ def test_differently_worded_patterns_merge_by_vector(spark):
     assert [tuple(r) for r in got] == [("STREAM TV", D("13.00"), "Fun", 2)]
 
 
-def test_large_patterns_cluster_as_small_ones_do(spark):
-    rows = [("hot", i * i % 9973 + 1) for i in range(900)] + [("cold", c) for c in (100, 600, 601, 1200, 99999)]
-    frame = spark.createDataFrame(rows, "pattern string, cents bigint")
-    whole = {r["pattern"]: r["heads"] for r in recurring.cluster_heads(frame).collect()}
-    apart = {r["pattern"]: r["heads"] for r in recurring.cluster_heads(frame, group_limit=3).collect()}
-    assert whole == apart
-    assert whole["cold"] == [100, 601, 1200, 99999]
+def _heads(amounts):
+    heads = []
+    for cents in sorted(set(amounts)):
+        if not heads or cents > max(heads[-1] + 500, heads[-1] * 115 // 100):
+            heads.append(cents)
+    return heads
+
+
+def test_clusters_of_patterns_of_any_size(spark):
+    """Two million amounts of one pattern pass through in batches; nothing of them is kept but the newest head."""
+    rng = random.Random(2)
+    few = {"cold": [100, 600, 601, 1200, 99999], "one": [7], "dense": list(range(1, 3000)), "wide": [rng.randint(1, 10**9) for _ in range(3000)]}
+    frame = spark.createDataFrame([(p, c) for p, a in few.items() for c in a], "pattern string, cents bigint")
+    hot = spark.range(2_000_000).select(F.lit("hot").alias("pattern"), (F.col("id") * 37 + 3).alias("cents"))
+    frame = frame.unionByName(frame).unionByName(hot).unionByName(spark.createDataFrame([(None, 5), ("null", None)], frame.schema))
+    found = {r["pattern"]: r["heads"] for r in recurring.cluster_heads(frame).collect()}
+    few["hot"] = range(3, 3 + 37 * 2_000_000, 37)
+    assert found == {pattern: _heads(amounts) for pattern, amounts in few.items()}
+    assert found["cold"] == [100, 601, 1200, 99999]
 
 
 def test_fx_priority_and_half_even_rounding(spark):
