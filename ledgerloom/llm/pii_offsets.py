@@ -4,11 +4,14 @@
 text: leftmost, not overlapping, each kind for itself; a match that fails its check is dropped and
 not tried again. Then transducers rewrite disguises
 
-* look-alike characters (other widths, styles and scripts) to ASCII, and O, o, I, l among digits,
-* digits spelled as words in four languages, at least ``SPELLED`` in a row, with "plus" and "dot",
-* "(at)", "[dot]" and the like, and "name at host dot com",
-
-and each rewritten character remembers the characters it came from. The same detectors read the
+* look-alike characters (other widths, styles and scripts) to ASCII, O, o, I, l among digits, and character references;
+* invisible characters (zero width, soft hyphens) to nothing;
+* runs of number tokens: digits spelled as words in four languages, numerals, "plus" and "dot". Any word among them counts,
+  whatever the length of the run; words lose the gaps around them, and the detectors judge the number that results;
+* "(at)", "[dot]" and the like, and names and hosts written with "at", "@", "dot" and ".". Without brackets the
+  host must end in a known top-level label, and neither side may be a word that prose has there ("look at this dot com"),
+
+and each rewritten character remembers the characters it came from. The same detectors, with their checks (Luhn, octets, number of digits), read the
 result; what they find through a rewritten character is mapped back and added, unless a base match of
 its kind overlaps it. Offsets are code points, ends excluded.
 
@@ -28,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-SPELLED = 7
 
 Span = tuple[int, int]
 
@@ -109,24 +111,43 @@ _DIGIT_WORDS = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
-_SPOKEN = {w: str(i) for words in _DIGIT_WORDS for i, w in enumerate(words.split())} | {"oh": "0", "plus": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
+_DOTS = ("dot", "punkt", "point", "punto")
+_SPOKEN = {w: str(i) for words in _DIGIT_WORDS for i, w in enumerate(words.split())} | {"oh": "0", "plus": "+"} | dict.fromkeys(_DOTS, ".")
 _WORD = "|".join(sorted(_SPOKEN, key=len, reverse=True))
-_GAP = r"[ \t,;/-]{1,3}"
-# words end where letters end, so a run never fails at its end, which would try it again from each of its words
-_INITIAL = "".join(sorted({w[0] for w in _SPOKEN}))
-_RUN = re.compile(rf"\b(?=[{_INITIAL}])(?:{_WORD})(?!\w)(?:{_GAP}(?:{_WORD})(?!\w)){{{SPELLED - 1},}}+", re.IGNORECASE)
-_ONE = re.compile(rf"(?:{_WORD})", re.IGNORECASE)
+_NUMERAL = r"\+?[0-9]++(?:\.[0-9]++)*+"
+_GAP = r"[ \t,;/()-]{1,3}"
+_PLAIN_GAP = frozenset(" ()-")
+_TOKEN = rf"(?:{_WORD}|{_NUMERAL})(?!\w)"
+# tokens start where words start and end where they end, so a run is not tried again from within
+_RUN = re.compile(rf"(?<!\w)(?=[+0-9{''.join(sorted({w[0] for w in _SPOKEN}))}]){_TOKEN}(?:{_GAP}{_TOKEN})*+", re.IGNORECASE)
+_ONE = re.compile(rf"(?P<word>{_WORD})|{_NUMERAL}", re.IGNORECASE)
 _AT_DOT = re.compile(
     r"[ \t]{0,3}[(\[{<][ \t]{0,3}(?:(at|arroba|bei)|(dot|punkt|point|punto))[ \t]{0,3}[)\]}>][ \t]{0,3}", re.IGNORECASE
 )
-_PLAIN_AT = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}([ \t]{1,3}at[ \t]{1,3})[A-Za-z0-9-]{1,63}((?:[ \t]{1,3}dot[ \t]{1,3}[A-Za-z0-9-]{1,63}){1,5})",
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_SPOKEN_DOT = r"[ \t]{1,3}dot[ \t]{1,3}"
+_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]{{1,64}})(?P<at>[ \t]{{0,3}}@[ \t]{{0,3}}|[ \t]{{1,3}}at[ \t]{{1,3}})(?P<host>{_LABEL}(?:(?:\.|{_SPOKEN_DOT}){_LABEL}){{1,6}}+)",
     re.IGNORECASE,
 )
-_PLAIN_DOT = re.compile(r"[ \t]{1,3}dot[ \t]{1,3}", re.IGNORECASE)
+_BETWEEN = re.compile(rf"\.|{_SPOKEN_DOT}", re.IGNORECASE)
+# Top-level labels, those that are words of prose, and words that prose has before "at" or after it.
+_TOP = frozenset(
+    "com org net edu gov mil int info biz name pro io co dev app ai me tv xyz online site shop eu uk de fr es it nl be ch at lu li ru ua pl cz sk hu ro bg gr "
+    "se no dk fi is ie pt us ca mx br ar cl pe au nz jp cn hk tw kr sg my th vn ph id in pk il tr za ng ke eg sa ae".split()
+)
+_TOP_WORDS = frozenset("at be in is it me my no pro us site online".split())
+_NOT_NAMES = frozenset(
+    "look looks looked looking me you him her it us them one ones is are was were be been am stay stays stayed meet meets met arrive arrived not only just here there "
+    "live lives lived work works worked good bad laugh laughed aim aimed visit site website page available start started stop end and or but the a an".split()
+)
+_NOT_HOSTS = frozenset("this that the a an my your his her its our their these those all any on in to of some least most noon night home once first last it dot at".split())
+_INVISIBLE = frozenset("\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff") | {chr(c) for c in range(0xFE00, 0xFE10)}
+_REFERENCE = re.compile(r"&(?:#(?P<decimal>[0-9]{1,6})|#[xX](?P<hex>[0-9A-Fa-f]{1,5})|(?P<named>commat|period|plus|lowbar));?")
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_"}
 _MIXED = re.compile(r"(?<!\w)\+?[0-9OoIl]++(?:[ ().-]{1,2}[0-9OoIl]++)*+(?!\w)")
 _MIXED_DIGIT = {"O": "0", "o": "0", "I": "1", "l": "1"}
-_NOT_LATIN = re.compile("[^\x00-ɏ]|ɏ|ı")
+_NOT_LATIN = re.compile("[^\x00-ɏ]|ɏ|ı|\u00ad")
 
 
 def _folded(char: str) -> str | None:
@@ -151,13 +172,16 @@ class Rewritten:
         self.edited = bytearray()
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace the spans, ascending and apart, by texts; an empty one joins its neighbours."""
+        """Replace the spans, ascending and apart, by texts; an empty one joins its neighbours, and counts as an edit of the next."""
         if not edits:
             return
         if not self.edited:
             self.first, self.last = list(range(len(self.text))), list(range(1, len(self.text) + 1))
             self.edited = bytearray(len(self.text))
         text, first, last, edited, at = [], [], [], bytearray(), 0
+        for _, b, new in edits:
+            if not new and b < len(self.edited):
+                self.edited[b] = 1
         for a, b, new in edits:
             text += [self.text[at:a], new]
             first += self.first[at:a] + [self.first[a]] * len(new)
@@ -176,26 +200,52 @@ def _small(word: str) -> str:
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for run in _RUN.finditer(text):
-        at = run.start()
-        for word in _ONE.finditer(text, run.start(), run.end()):
-            if word.start() > at:
-                edits.append((at, word.start(), ""))
-            edits.append((word.start(), word.end(), _SPOKEN[_small(word.group())]))
-            at = word.end()
+        tokens = list(_ONE.finditer(text, run.start(), run.end()))
+        # the shortest find, an address, has four digits
+        if sum(len(_DIGIT.findall(t.group())) if t["word"] is None else _SPOKEN[_small(t.group())].isdigit() for t in tokens) < 4:
+            continue
+        at, was_word = run.start(), False
+        for token in tokens:
+            is_word = token["word"] is not None
+            gap = text[at : token.start()]
+            if gap and (is_word or was_word):
+                edits.append((at, token.start(), ""))
+            elif not _PLAIN_GAP.issuperset(gap):
+                edits.append((at, token.start(), " "))
+            if is_word:
+                edits.append((token.start(), token.end(), _SPOKEN[_small(token.group())]))
+            at, was_word = token.end(), is_word
     return edits
 
 
-def _disguised(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _AT_DOT.finditer(text)]
-    if " dot" in text.lower() or "\tdot" in text.lower():
-        for m in _PLAIN_AT.finditer(text):
-            found = [(*m.span(1), "@")] + [(*d.span(), ".") for d in _PLAIN_DOT.finditer(text, *m.span(2))]
-            edits += found
-    apart: list[tuple[int, int, str]] = []
-    for edit in sorted(edits):
-        if not apart or edit[0] >= apart[-1][1]:
-            apart.append(edit)
-    return apart
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _ADDRESS.finditer(text):
+        spoken = "@" not in m["at"]
+        dots = list(_BETWEEN.finditer(text, *m.span("host")))
+        ends = [d.start() for d in dots[1:]] + [m.end()]
+        # the host ends with its last label that is a top-level one
+        # between spoken signs it must be no word of prose either
+        while dots and text[dots[-1].end() : ends[-1]].lower() not in (_TOP - _TOP_WORDS if spoken and dots[-1].group() != "." else _TOP):
+            dots.pop()
+            ends.pop()
+        if not dots or spoken and (m["name"].lower() in _NOT_NAMES | _NOT_HOSTS or text[m.start("host") : dots[0].start()].lower() in _NOT_HOSTS):
+            continue
+        if m["at"] != "@":
+            yield (*m.span("at"), "@")
+        yield from ((*d.span(), ".") for d in dots if d.group() != ".")
+
+
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _AT_DOT.finditer(text)]
+
+
+def _references(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _REFERENCE.finditer(text):
+        code = int(m["decimal"]) if m["decimal"] else int(m["hex"], 16) if m["hex"] else ord(_NAMED[m["named"]])
+        if 32 < code < 127:
+            edits.append((*m.span(), chr(code)))
+    return edits
 
 
 def _mixed(text: str) -> list[tuple[int, int, str]]:
@@ -211,10 +261,13 @@ def _mixed(text: str) -> list[tuple[int, int, str]]:
 def rewritten(text: str) -> Rewritten:
     out = Rewritten(text)
     if _NOT_LATIN.search(text):
-        marks = {c: _folded(c) for c in set(text) if not c.isascii()}
-        out.apply([(i, i + 1, marks[c]) for i, c in enumerate(text) if marks.get(c)])
+        marks = {c: "" if c in _INVISIBLE else _folded(c) for c in set(text) if not c.isascii()}
+        out.apply([(i, i + 1, marks[c]) for i, c in enumerate(text) if marks.get(c) is not None])
+    if "&" in out.text:
+        out.apply(_references(out.text))
     out.apply(_spelled(out.text))
-    out.apply(_disguised(out.text))
+    out.apply(_bracketed(out.text))
+    out.apply(list(_addresses(out.text)))
     if _DIGIT.search(out.text):
         out.apply(_mixed(out.text))
     return out

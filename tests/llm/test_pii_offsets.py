@@ -43,6 +43,16 @@ def test_base_equals_the_patterns():
         ("call plus one nine eight eight five five five two four eight five ok", "phone", "plus one nine eight eight five five five two four eight five"),
         ("card 4l11 1111 1111 1111 x", "card", "4l11 1111 1111 1111"),
         ("４１１１１１１１１１１１１１１１", "card", "４１１１１１１１１１１１１１１１"),
+        ("so john at example.com it is", "email", "john at example.com"),
+        ("ask john@example dot com now", "email", "john@example dot com"),
+        ("john @ example.com", "email", "john @ example.com"),
+        ("an john&#64;example&period;com", "email", "john&#64;example&period;com"),
+        ("is john@exam\u200bple.c\u00adom", "email", "john@exam\u200bple.c\u00adom"),
+        ("up 192 dot 168 dot 0 dot 1 again", "ip", "192 dot 168 dot 0 dot 1"),
+        ("call +1 five five five 0199 234", "phone", "+1 five five five 0199 234"),
+        ("pay 4 one one one 1111 1111 1111 now", "card", "4 one one one 1111 1111 1111"),
+        ("pay 4111 11\u200b11 1111 1111", "card", "4111 11\u200b11 1111 1111"),
+        ("mail bob at example dot com dot Thanks", "email", "bob at example dot com"),
         ("host one nine two dot one six eight dot one dot five up", "ip", "one nine two dot one six eight dot one dot five"),
     ],
 )
@@ -53,7 +63,7 @@ def test_disguises_map_back(text, kind, source):
 
 
 @pytest.mark.parametrize(
-    "text", ["the thing is at the end of that one", "one two three", "meet at noon dot", "a (at) b", "O1 l2 I3", "Ünïcödé – naïve", "un de la", ""]
+    "text", ["the thing is at the end of that one", "one two three", "meet at noon dot", "a (at) b", "O1 l2 I3", "meet me at noon dot dash", "look at this dot com thing", "it is at home.de", "one at a time dot", "two 25 one 3 point five", "call four 5", "soft\u00adhyphen", "a &#64; b", "Ünïcödé – naïve", "un de la", ""]
 )
 def test_plain_texts_gain_nothing(text):
     assert not any(po.added_spans(text, po.base_spans(text)).values())
@@ -120,3 +130,45 @@ def test_a_run_that_ends_in_a_longer_word_takes_linear_time():
     started = time.process_time()
     po.added_spans("one " * 100_000 + "ones", {k: [] for k in po.KINDS})
     assert time.process_time() - started < 8
+
+
+def _card(rng):
+    digits = [rng.randrange(10) for _ in range(15)]
+    return next("".join(map(str, [*digits, d])) for d in range(10) if po._luhn("".join(map(str, [*digits, d]))))
+
+
+def _disguised(rng, kind):
+    """A value of ``kind`` in disguise."""
+    words = rng.choice(po._DIGIT_WORDS).split()
+    if kind == "email":
+        at = rng.choice([" at ", " (at) ", "[at]", "&#64;", "\uff20", " @ "])
+        dot = rng.choice([" dot ", " [dot] ", "(dot)", "&#x2e;", "."])
+        return f"{rng.choice(['j.doe', 'anna7', 'x_y'])}{at}mail{dot}example{dot}{rng.choice(['com', 'org', 'de'])}"
+    if kind == "ip":
+        parts = [str(rng.randrange(1, 256)) for _ in range(4)]
+        spelled = [" ".join(words[int(c)] for c in p) if rng.random() < 0.5 else p for p in parts]
+        return rng.choice([" dot ", " punto "]).join(spelled)
+    digits = _card(rng) if kind == "card" else str(rng.randrange(10**10, 10**11))
+    tokens = [words[int(c)] if i % 4 == 1 or rng.random() < 0.4 else c for i, c in enumerate(digits)]
+    return ("plus " if kind == "phone" else "") + rng.choice([" ", "-", ", "]).join(tokens)
+
+
+def test_generated_disguises_are_found_where_they_stand():
+    rng = random.Random(12)
+    for _ in range(1500):
+        kind = rng.choice(po.KINDS)
+        value = _disguised(rng, kind)
+        before, after = rng.choice(["", "é see ", "то ", "x: "]), rng.choice(["", " .", " and more", "\n"])
+        text = before + value + after
+        base = po.base_spans(text)
+        if base[kind]:
+            continue
+        assert [text[a:b] for a, b in po.added_spans(text, base)[kind]] == [value], text
+
+
+def test_prose_gains_nothing():
+    rng = random.Random(13)
+    words = ["look", "at", "this", "dot", "one", "two", "un", "the", "me", "home", "com", "5", "25", "plus", "on", "point", "(see", "it)", "a"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(12))
+        assert not any(po.added_spans(text, po.base_spans(text)).values()), text
