@@ -4,16 +4,18 @@
 candidates that score ``THRESHOLD`` or more by ``PLACEHOLDER`` and changes nothing else.
 
 A candidate is a run of at least ``SHORTEST`` characters of keys and encodings that has a digit, changes
-between capital and small letters, or has a provider's form; and every value assigned to one of ``KEY_NAMES``,
-of any length and characters, up to its closing quote or white space. Runs within such a value are part of it. The forest sees its length and make-up, how its
+between capital and small letters, or has a provider's form; every value assigned to one of ``KEY_NAMES``,
+of any length and characters, up to its closing quote or white space; what follows "Bearer"; and the password of an address. Runs within
+such a value are part of it. The forest sees its length and make-up, how its
 characters follow each other, how much of it is covered by letter triples that are usual in the corpus
-(counted over all texts), signs of a path or an address, and the words beside it.
+(counted over all texts), signs of a path, an address, a reference or a placeholder, and the words beside it.
 
-It learns from labelled findings: a table of candidates with a label, or, by default, those that
-``rule_label`` settles (assigned to a named key or of a provider's form; or a bare number, a path, a
-digest). At most ``MAX_FINDINGS`` of each label, the first by a hash, are used; that is the only
-sample. Trees are grown in parallel, each on its own draw. Without findings of both labels the rules
-alone decide: 1 for a settled secret, else 0.
+It learns from labelled findings: a table of candidates with a label, or, by default, ``planted`` ones. Those are written
+between words of the corpus: secrets of many forms, assigned or by themselves, and look-alikes: references to
+variables, placeholders, words of prose after a key's name, numbers, digests, identifiers, paths. Their labels are known by
+construction and read from no feature, and no rule decides beside the forest. At most ``MAX_FINDINGS`` of each label, the first by a hash, are used, and the words
+come from the starts of at most ``CONTEXT_TEXTS`` texts; that is the only sample. Trees are grown in parallel, each on its own draw. Given findings
+without both labels teach nothing: then the planted ones are used.
 
 A null text has no candidates, and stays null in ``redact``. Offsets are in code points, ends excluded.
 Repeated rows are scanned each. ``redact`` keeps all columns, whatever their names. Empty tables give
@@ -23,6 +25,7 @@ empty results.
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -36,19 +39,27 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bounded
 from ledgerloom.llm.wordhash import text_bytes
-from ledgerloom.runtime import cut
 
 SHORTEST = 16
 THRESHOLD = 0.5
 PLACEHOLDER = "[SECRET]"
 MAX_FINDINGS = 10_000
+PLANTED = 4000
+CONTEXT_TEXTS = 256
+CONTEXT_CHARS = 4000
 TREES = 48
 DEPTH = 8
 SEED = 5
 
 # Names under which secrets are assigned, and forms that providers give them.
-KEY_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "bearer")
+KEY_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "bearer", "private_key", "passphrase")
 PROVIDER = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{20,}")
+# What stands for a value that is not given, and how variables are referred to.
+PLACEHOLDERS = frozenset(
+    "none null nil true false yes no changeme change_me example sample test todo tbd required optional redacted hidden undefined default placeholder "
+    "password passwd secret token string value unknown empty mypassword your_password yourpassword".split()
+)
+REFERENCE = re.compile(r"\$\{?[A-Za-z_]|\{\{|<[^>]*>?$|%[A-Za-z_]+%|(?:os\.environ|process\.env|getenv|ENV|config|settings|secrets)[.(\[]")
 DIGESTS = ("sha", "md5", "commit", "checksum", "uuid", "etag", "digest")
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
@@ -58,15 +69,13 @@ _ASSIGNED = re.compile(
     r"(?:[_-][A-Za-z0-9]{1,16}){0,3}+[\"']?[ \t]{0,8}(?:=>|[=:]{1,2})[ \t]{0,8}"
     r"(?:\"(?P<double>[^\"\r\n]+)\"|'(?P<single>[^'\r\n]+)'|[\"']?(?P<bare>[^\s\"']+))"
 )
-# after a colon and a space, a word of letters may as well be prose
-_PROSE = re.compile(r":[ \t]+$")
-_PATH = re.compile(r"(?:/[A-Za-z0-9_+-]+){2,}/?")
+_CARRIED = re.compile(r"(?i:\bbearer)[ \t]{1,4}([A-Za-z0-9._~+/-]{8,}={0,2})|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"']{1,64}:([^\s@/\"']{1,128})@")
 _BEFORE = re.compile(r"([^\s=:\"']*)[\"']?\s*((?:=>|[=:]{1,2})?)\s*[\"']?$")
 _CONTEXT = 48
 NAMES = (
     "length", "digits", "capitals", "small", "others", "changes", "entropy", "longest_digits", "hex_only", "distinct",
     "coverage", "usual", "assigned", "quoted", "key_name", "digest_name", "path", "slashes", "before_usual", "after_usual",
-    "before_length", "after_length", "ends_text",
+    "before_length", "after_length", "ends_text", "letters_only", "lower_word", "placeholder", "reference", "provider", "repeated", "carried",
 )
 
 _KIND = np.full(256, 28, np.int64)
@@ -86,7 +95,13 @@ def triple_weights(docs: DataFrame) -> np.ndarray:
 
     def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in bounded.text_slices(batch, "text", 1 << 20):
-            yield _triples(text_bytes(part.column(0))[0])
+            data, offsets = text_bytes(part.column(0))
+            within = np.ones(max(0, len(data) - 2), bool)
+            for back in (1, 2):
+                # not from one text into the next
+                at = offsets[1:-1] - back
+                within[at[(at >= 0) & (at < len(within))]] = False
+            yield _triples(data)[within]
 
     counts = bounded.bucket_counts(docs.select("text"), buckets, 15).astype(float)
     return np.log((counts + 0.5) / (counts.mean() + 0.5)).astype(np.float32)
@@ -102,11 +117,18 @@ def _usual(text: str, weights: np.ndarray) -> tuple[float, float]:
 
 
 def assigned(text: str) -> Iterator[tuple[int, int]]:
-    """Values that are assigned to a name of ``KEY_NAMES``."""
+    """Values that are assigned to a name of ``KEY_NAMES``, or carried by a header or an address."""
     low = text.lower()
+    spans = []
     if any(k in low for k in KEY_NAMES):
-        for m in _ASSIGNED.finditer(text):
-            yield m.span(m.lastgroup)
+        spans += [m.span(m.lastgroup) for m in _ASSIGNED.finditer(text)]
+    if "bearer" in low or "://" in text:
+        spans += [m.span(m.lastindex) for m in _CARRIED.finditer(text)]
+    end = 0
+    for a, b in sorted(spans):
+        if a >= end:
+            yield a, b
+            end = b
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
@@ -148,25 +170,98 @@ def features(text: str, start: int, end: int, weights: np.ndarray) -> list[float
         float(any(k in before for k in KEY_NAMES)), float(any(k in before for k in DIGESTS)),
         float(text[max(0, start - 1) : start] in ("/", "\\", ".", "@") or text[end : end + 1] in ("/", "\\", "@")),
         run.count("/") / n, _usual(before, weights)[1], _usual(after, weights)[1], len(before), len(after), float(end == len(text)),
+        float(run.isalpha()), float(run.strip(".,;:!?()").isalpha() and run[1:].islower()), float(run.strip("<>[]().,;").lower() in PLACEHOLDERS),
+        float(bool(REFERENCE.match(run))), float(bool(PROVIDER.fullmatch(run))), max(chars.values()) / n, float(before == "bearer" or text[end : end + 1] == "@"),
     ]
 
 
-def rule_label(text: str, start: int, end: int) -> int | None:
-    """1 for a settled secret, 0 for a settled look-alike, None where the rules cannot tell."""
-    run = text[start:end]
-    before, sign, _ = _context(text, start, end)
-    if PROVIDER.fullmatch(run):
-        return 1
-    if sign and any(k in before for k in KEY_NAMES):
-        return None if run.strip(".,;:!?()").isalpha() and _PROSE.search(text[max(0, start - _CONTEXT) : start]) else 1
-    beside = text[max(0, start - 1) : start]
-    if run.isdigit() or _PATH.fullmatch(run) or beside in ("/", "\\", "@") or any(k in before for k in DIGESTS):
-        return 0
-    return None
+def _some(rng: random.Random, letters: str, low: int, high: int) -> str:
+    return "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_HEX = "0123456789abcdef"
+_ALNUM = _LETTERS + _LETTERS.upper() + "0123456789"
+
+
+def _secret(rng: random.Random, words: list[str]) -> tuple[str, bool]:
+    """A made-up secret, and whether it is one without a name that it is assigned to."""
+    word = lambda: rng.choice(words)
+    kind = rng.randrange(10)
+    if kind < 2:
+        form = rng.randrange(6)
+        upper = _LETTERS.upper() + "0123456789"
+        return (
+            rng.choice(["AKIA", "ASIA"]) + _some(rng, upper, 16, 16) if form == 0 else f"gh{rng.choice('pousr')}_{_some(rng, _ALNUM, 36, 40)}" if form == 1
+            else f"xoxb-{_some(rng, '0123456789', 10, 12)}-{_some(rng, _ALNUM, 20, 24)}" if form == 2 else f"sk_live_{_some(rng, _ALNUM, 20, 28)}" if form == 3
+            else f"AIza{_some(rng, _ALNUM + '_-', 35, 35)}" if form == 4 else f"eyJ{_some(rng, _ALNUM, 30, 90)}"
+        ), True
+    return [
+        lambda: _some(rng, _HEX, 16, 64),
+        lambda: _some(rng, _ALNUM + "+/", 16, 48) + rng.choice(["", "", "="]),
+        lambda: word().capitalize() + _some(rng, "0123456789", 1, 5) + rng.choice(["", "!", "#", "$", "&x"]),
+        lambda: _some(rng, _ALNUM, 8, 20),
+        lambda: rng.choice(["", "-", "_"]).join(word() for _ in range(4)).lower()[:40],
+        lambda: word()[:1] + _some(rng, _LETTERS + "0123456789@!%&", 5, 14) + str(rng.randrange(10)),
+        lambda: str(rng.randrange(10**4, 10**8)) + word().lower(),
+        lambda: f"{word().lower()} {word().lower()}{rng.choice('!?#1234567890')}",
+    ][kind - 2](), False
+
+
+def _look_alike(rng: random.Random, words: list[str]) -> tuple[str, str | None]:
+    """Something that is no secret, with the text before it; None where a key's name and a sign belong there."""
+    word = lambda: rng.choice(words)
+    name = (word() + "_" + word()).upper()[:20]
+    return [
+        lambda: (rng.choice([f"${name}", f"${{{name}}}", f"<{word()}>", f"%{name}%", f"{{{{{word()}}}}}", f"process.env.{name}", f"os.environ[{name}]"]), None),
+        lambda: (rng.choice([*sorted(PLACEHOLDERS), "x" * rng.randint(3, 12), "*" * rng.randint(3, 12), "..."]), None),
+        lambda: (word().lower() + rng.choice(["", "", ".", ","]), None),
+        lambda: (word().lower(), None),
+        lambda: (_some(rng, "0123456789", 16, 20), ""),
+        lambda: (_some(rng, _HEX, 32, 64), rng.choice(DIGESTS) + rng.choice([" ", ":", "=", " = ", ": "])),
+        lambda: ("-".join(_some(rng, _HEX, n, n) for n in (8, 4, 4, 4, 12)), rng.choice(["", "uuid ", "id="])),
+        lambda: ("".join(word().capitalize() for _ in range(rng.randint(2, 4))), ""),
+        lambda: ("_".join(word().lower() for _ in range(3)) + str(rng.randrange(10)), ""),
+        lambda: ("/" + "/".join(word().lower() for _ in range(4)) + str(rng.randrange(10)), rng.choice(["", "file ", "https://example.org"])),
+        lambda: (word().lower() + "-" + "-".join(word().lower() for _ in range(3)) + f"-{rng.randrange(1000, 3000)}", "/"),
+    ][rng.randrange(11)]()
+
+
+def planted(words: list[str], weights: np.ndarray, many: int = PLANTED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of made-up findings between ``words``, about as many of either label."""
+    rng = random.Random(seed)
+    words = [w for w in words if w.isalpha()] or ["word"]
+    rows, labels = [], []
+    while len(rows) < many:
+        label = len(rows) % 2
+        value, before = _secret(rng, words) if label else _look_alike(rng, words)
+        if (label and (not before or rng.random() < 0.5)) or before is None:
+            name = rng.choice(["", "", "db_", "my-", f"{rng.choice(words).lower()}_"]) + rng.choice(KEY_NAMES)
+            name = rng.choice([name, name.upper(), name.capitalize()])
+            before = name + rng.choice(["=", " = ", ": ", ":", " := ", " => ", "="])
+        elif label:
+            before = rng.choice(["", "", "Bearer ", "key ", f"{rng.choice(words)}: "])
+        quote = rng.choice(["", "", '"', "'"]) if before.endswith(("=", " ", ":")) and "$" not in value else ""
+        quote = "'" if " " in value and label else quote
+        left, right = (" ".join(rng.choice(words) for _ in range(6)) for _ in range(2))
+        text = f"{left} {before}{quote}{value}{quote}{rng.choice([' ', ' ', '. ', chr(10)])}{right}"
+        at = len(left) + 1 + len(before) + len(quote)
+        # as the scan cuts it, if it takes it for a candidate at all
+        spans = [(a, b) for a, b in candidates(text) if a < at + len(value) and b > at]
+        rows.append(features(text, *(spans[0] if spans else (at, at + len(value))), weights))
+        labels.append(label)
+    return np.array(rows, float), np.array(labels, float)
+
+
+def context_words(docs: DataFrame) -> list[str]:
+    """Words of the starts of a bounded number of texts, the first by a hash."""
+    texts = docs.where(F.length("text") > 0).select(F.substring("text", 1, CONTEXT_CHARS).alias("start"), F.xxhash64("text").alias("pick"))
+    rows = texts.orderBy("pick", "start").limit(CONTEXT_TEXTS).collect()
+    return sorted({w.strip(".,;:!?()|") for r in rows for w in r["start"].split()} - {""})
 
 
 def findings(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, start, end, pick, label, features) of every candidate; ``pick`` orders a sample."""
+    """(doc_id, start, end, pick, features) of every candidate; ``pick`` orders a sample."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,16 +271,15 @@ def findings(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 text = text.as_py() or ""
                 for a, b in candidates(text):
                     pick = zlib.crc32(f"{text[a:b]}:{text[max(0, a - 16):a]}".encode())
-                    rows.append((doc_id, a, b, pick, rule_label(text, a, b), features(text, a, b, sent.value)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()))
+                    rows.append((doc_id, a, b, pick, features(text, a, b, sent.value)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "start", "end", "pick", "label", "features"],
+                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "pick", "features"]
             )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, start long, end long, pick long, label int, features array<double>")
+    return texts.mapInArrow(run, "doc_id long, start long, end long, pick long, features array<double>")
 
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int, float]]:
@@ -219,15 +313,18 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple[
     return nodes
 
 
-def train(found: DataFrame) -> list[np.ndarray]:
-    """The forest, from the labelled rows of ``found`` (pick, label, features); empty if a label is missing."""
-    labelled = found.where("label is not null").dropDuplicates(["pick", "label"])
-    parts = [labelled.where(F.col("label") == v).orderBy("pick").limit(MAX_FINDINGS).collect() for v in (0, 1)]
-    if not all(parts):
-        return []
-    x = np.array([r["features"] for p in parts for r in p], float)
-    y = np.array([r["label"] for p in parts for r in p], float)
-    spark = found.sparkSession
+def train(docs: DataFrame, weights: np.ndarray, labelled: DataFrame | None = None) -> list[np.ndarray]:
+    """The forest, from the rows of ``labelled`` (doc_id, start, pick, label, features), else from planted findings."""
+    spark, parts = docs.sparkSession, [[]]
+    if labelled is not None:
+        firsts = labelled.where("label is not null").groupBy("pick", "label").agg(F.min(F.struct("doc_id", "start", "end", "features")).alias("first"))
+        firsts = firsts.select("pick", "label", "first.features")
+        parts = [firsts.where(F.col("label") == v).orderBy("pick").limit(MAX_FINDINGS).collect() for v in (0, 1)]
+    if all(parts):
+        x = np.array([r["features"] for p in parts for r in p], float)
+        y = np.array([r["label"] for p in parts for r in p], float)
+    else:
+        x, y = planted(context_words(docs), weights)
     sent = spark.sparkContext.broadcast((x, y))
 
     def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,29 +352,21 @@ def score(forest: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return total / max(1, len(forest))
 
 
-def _scores(forest: list[np.ndarray], rows: list[list[float]], labels: list[int | None]) -> np.ndarray:
-    if not forest:
-        return np.array([float(x == 1) for x in labels])
-    return score(forest, np.array(rows, float).reshape(-1, len(NAMES)))
-
-
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, end, score, is_secret) of every candidate in ``docs`` (doc_id, text).
 
-    ``labelled`` holds findings as ``findings`` lists them, with their labels; by default the rules label.
+    ``labelled`` holds findings as ``findings`` lists them, with their labels; by default planted ones teach the forest.
     """
     weights = triple_weights(docs)
-    found = cut(findings(docs, weights))
-    sent = docs.sparkSession.sparkContext.broadcast(train(found if labelled is None else labelled))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, weights, labelled))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            labels = [None if pd.isna(v) else int(v) for v in frame["label"]]
-            frame["score"] = _scores(sent.value, frame["features"].tolist(), labels).round(6)
+            frame["score"] = score(sent.value, np.array(frame["features"].tolist(), float).reshape(-1, len(NAMES))).round(6)
             frame["is_secret"] = frame["score"] >= THRESHOLD
             yield frame[["doc_id", "start", "end", "score", "is_secret"]]
 
-    return found.select("doc_id", "start", "end", "label", "features").mapInPandas(
+    return findings(docs, weights).select("doc_id", "start", "end", "features").mapInPandas(
         run, "doc_id long, start long, end long, score double, is_secret boolean"
     )
 
@@ -285,15 +374,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; everything else unchanged."""
     weights = triple_weights(docs)
-    forest = train(findings(docs, weights) if labelled is None else labelled)
-    sent = docs.sparkSession.sparkContext.broadcast((weights, forest))
+    sent = docs.sparkSession.sparkContext.broadcast((weights, train(docs, weights, labelled)))
 
     def clean(text: str | None) -> str | None:
         weights, forest = sent.value
         spans = list(candidates(text)) if text else []
         if not spans:
             return text
-        scores = _scores(forest, [features(text, a, b, weights) for a, b in spans], [rule_label(text, a, b) for a, b in spans])
+        scores = score(forest, np.array([features(text, a, b, weights) for a, b in spans], float))
         out, at = [], 0
         for (a, b), own in zip(spans, scores.round(6), strict=True):
             if own >= THRESHOLD:

