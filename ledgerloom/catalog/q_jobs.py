@@ -101,6 +101,27 @@ def ingest_ledger(spark, sf):
     )
 
 
+def _run(spark, sf):
+    files = _files(spark, sf)
+    return plan.ingest(files, _labels(spark, sf), _books(spark, sf, files), qx.AS_OF)
+
+
+# Each row may follow any row before it, which SQL can only say row by row: tests compare with a loop.
+@query("ingest_run")
+def ingest_run(spark, sf):
+    """The rows of a whole run, each a precedent for those after it, and the cycles of payments that they take."""
+    done = _run(spark, sf)
+    taken = done.matches.select("transaction_id", "payment_id", "cycle_period")
+    return done.ledger.join(taken, "transaction_id", "left").select(
+        "transaction_id", "transaction_date", "description", "amount", "converted_sgd", "category", "category_source", "payment_id", "cycle_period"
+    )
+
+
+@query("ingest_disagreements")
+def ingest_disagreements(spark, sf):
+    return _run(spark, sf).disagreements
+
+
 @query("list_statement_files", """, boxed AS (SELECT concat(lang, '/', doc_id // 50) AS folder,
     string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY 1)
 SELECT folder, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS content_hash FROM boxed""")

@@ -167,6 +167,58 @@ def categorize(
     return with_decision(incoming, by_vector.unionByName(by_text))
 
 
+def categorize_run(incoming: DataFrame, candidates: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
+    """``categorize`` by text for the rows of a run, each of which is a precedent for the rows after it.
+
+    The order of ``transaction_id`` is the order of the run. A row that the run leaves undecided is no precedent, so
+    which rows are depends on the decisions before them. All rows are decided at once, from the decisions of the round
+    before, until none changes: a row is final once the rows before it that it could follow are, so the fixed
+    point is the outcome of one row after the other. Rows of one text follow its first decided one, which
+    settles in two rounds however many there are.
+    """
+    base = best_text_match(incoming, candidates, cfg).select(
+        "transaction_id", F.col("match_id").cast("string").alias("match_id"), "match_category", "match_source", "score"
+    )
+    base = cut(base)
+    rows = cut(
+        incoming.select(
+            "transaction_id", "llm_category", match_key(F.col("description")).alias("key"), cents(F.col("amount")).alias("cents")
+        )
+    )
+    pairs = similar_texts(_texts(rows, "key"), _texts(rows, "key"), cfg.text_threshold)
+    pairs = cut(pairs.select(F.col("left_key").alias("c_key"), F.col("right_key").alias("q_key"), "score"))
+    low, high = cents_window(F.col("q_cents"), cfg.amount_ratio, cfg.amount_floor)
+    asked = rows.select("transaction_id", F.col("key").alias("q_key"), F.col("cents").alias("q_cents"))
+    questions = cut(asked.select("q_key", "q_cents", low.alias("low"), high.alias("high")).distinct().join(pairs, "q_key"))
+    decided = cut(with_decision(incoming, base))
+    while True:
+        usable = decided.where("source <> 'unsure'").select("transaction_id", "category", "source")
+        items = rows.join(usable, "transaction_id").select(
+            F.col("transaction_id").alias("match_id"), F.col("key").alias("c_key"), "cents", "category", "source"
+        )
+        items = cut(items).withColumn("reach", _widest(cfg))
+        # the first row of a text in range is the best of it; it counts for the rows after it
+        firsts = first_in_range(questions, items, ["c_key"], "match_id", ["category", "source"])
+        firsts = firsts.select("q_key", "q_cents", "score", "item.*")
+        rank = F.struct((-F.col("score")).alias("minus"), F.col("order").cast("string").alias("match_id"), "category", "source")
+        within = asked.join(firsts, ["q_key", "q_cents"]).where(F.col("order") < F.col("transaction_id"))
+        within = within.groupBy("transaction_id").agg(F.min(rank).alias("own"))
+        known = base.join(within, "transaction_id", "full")
+        # the ledger's rows come first among equals, and a manual one always
+        stays = F.coalesce((F.col("match_source") == s.MANUAL) | (F.col("score") >= -F.col("own.minus")), F.col("own").isNull())
+        matches = known.select(
+            "transaction_id",
+            F.when(stays, F.col("match_id")).otherwise(F.col("own.match_id")).alias("match_id"),
+            F.when(stays, F.col("match_category")).otherwise(F.col("own.category")).alias("match_category"),
+            F.when(stays, F.col("match_source")).otherwise(F.col("own.source")).alias("match_source"),
+            F.when(stays, F.col("score")).otherwise(-F.col("own.minus")).alias("score"),
+        )
+        now = cut(with_decision(incoming, matches))
+        if now.exceptAll(decided).isEmpty():
+            return now
+        decided = now
+
+
 def _named_vectors(rows: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` with the name ``rep`` of their vector (-1 for none), and the distinct vectors."""
     if "vector" not in rows.columns:
