@@ -97,6 +97,15 @@ def context_window(spark, sf):
     )
 
 
+@query("context_window_rows", """, days AS (SELECT DISTINCT transaction_date AS anchor_date FROM ledger WHERE category_source = 'unsure')
+SELECT anchor_date, l.transaction_id, l.transaction_date, l.amount FROM days JOIN ledger l
+  ON l.transaction_date BETWEEN anchor_date - 30 AND anchor_date + 30""")
+def context_window_rows(spark, sf):
+    """What stands around the days of undecided rows: the rows themselves, to tell the other side of a transfer."""
+    rows = ledger(spark, sf)
+    return flt.context_rows(rows.select("transaction_id", "transaction_date", "amount"), flt.unsure_rows(rows))
+
+
 @query("default_range", """SELECT count(*) AS n, min(transaction_date) AS first_day, max(transaction_date) AS last_day
 FROM ledger WHERE transaction_date >= date_trunc('month', DATE '2001-08-01' - INTERVAL 5 MONTH) AND transaction_date <= DATE '2001-08-01'""")
 def default_range(spark, sf):

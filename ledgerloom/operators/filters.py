@@ -167,3 +167,15 @@ def context_window(ledger: DataFrame, anchors: DataFrame, days: int = 30) -> Dat
         .agg(F.sum("day_rows").alias("rows_near"), F.sum("day_amount").alias("amount_near"))
     )
     return anchors.join(dates, anchors["transaction_date"] == dates["anchor_date"]).drop("anchor_date")
+
+
+def context_rows(ledger: DataFrame, anchors: DataFrame, days: int = 30) -> DataFrame:
+    """``anchor_date`` and the row, for every row within ``days`` of a day that has an anchor.
+
+    A window depends on the anchor's day only, so anchors of one day share it, and a row is in at most ``2 * days + 1``
+    windows whatever their number. The days of all windows, bounded by the calendar, meet the ledger in an equi-join
+    on the day; a day that holds a large part of the rows is a skewed key that the join may split.
+    """
+    window_days = F.sequence(F.date_sub("anchor_date", days), F.date_add("anchor_date", days))
+    wanted = anchors.select(F.col("transaction_date").alias("anchor_date")).distinct()
+    return wanted.withColumn("transaction_date", F.explode(window_days)).join(ledger, "transaction_date").select("anchor_date", *ledger.columns)
