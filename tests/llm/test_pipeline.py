@@ -97,3 +97,59 @@ def test_packing_holds_every_token_once(stages, spark, sf_dir):
     assert len(ends) <= -(-sum(ends.values()) // 1024) * 1.02 + 2
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r[0], r[1], r[4]) for r in expected)
+
+
+WORDS = "the of and is to in house garden tree water light stone river cloud bread window paper music winter summer".split()
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] for i in rng.integers(0, len(WORDS), n)) + "."
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, epoch int, row string, `a.b` int, kept boolean, node long, n int, `word` string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, one id with unlike texts, clashing names."""
+    more = (5, "r", 6, False, 7, 8, "w")
+    rows = [
+        (1, prose(1, 300), "en", "src1", 9, *more), (1, prose(2, 300), "en", "src1", 9, *more), (2, prose(3, 300), "en", "src2", 9, *more),
+        (3, prose(4, 200), "de", "src3", 9, *more), (3, prose(4, 200), "de", "src3", 9, *more), (4, prose(4, 200) + " end", None, None, None, *more),
+        (5, None, "en", "src1", None, *more), (6, "", "en", "src1", 0, *more), (None, prose(5, 150), "fr", "src1", 9, *more),
+        (7, prose(6, 40_000), "en", "src4", 9, *more), (8, prose(7, 120) + " password=0d82db9a40de89a262", "en", "src5", 9, *(None,) * 7),
+    ]
+    return spark.createDataFrame(rows, ODD_COLUMNS).repartition(3)
+
+
+def all_rows(frame):
+    return sorted(map(str, (tuple(r) for r in frame.collect())))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, odd, name, sf_dir):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, odd, sf_dir)
+    if name == "pack":
+        texts = [r.text for r in odd.collect()]
+        packed = found.collect()
+        assert sum(r.piece == 0 for r in packed) == len(texts)
+        assert max(r.offset + r.length for r in packed) <= 1024
+        return
+    assert found.columns == odd.columns
+    rows, before = all_rows(found), all_rows(odd)
+    if name == "secrets":
+        assert len(rows) == len(before) and sum("[SECRET]" in r for r in rows) == 1
+        assert [r for r in rows if "[SECRET]" not in r] == [r for r in before if "password=" not in r]
+        return
+    assert set(rows) <= set(before)
+    if name == "near_copies":
+        # of 3, its repeated row and 4 one stays; all unlike texts do, with or without an id or shingles
+        assert sorted(str(r.doc_id) for r in found.collect()) == ["1", "1", "2", "3", "5", "6", "7", "8", "None"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_an_empty_table(spark, name, sf_dir):
+    docs = spark.createDataFrame([], ODD_COLUMNS)
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).collect() == []
