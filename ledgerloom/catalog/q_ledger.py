@@ -328,6 +328,15 @@ for _key, _sql in (("date", "transaction_date"), ("amount", "amount"), ("categor
 query("page", f"SELECT {COLS} FROM ledger ORDER BY transaction_date DESC, transaction_id LIMIT 50 OFFSET 100")(
     lambda spark, sf: paging.page(paging.sort_ledger(ledger(spark, sf)), 3).select(*SHORT)
 )
+@query("deep_page", f"""SELECT {COLS} FROM ledger ORDER BY transaction_date DESC, transaction_id
+LIMIT 50 OFFSET (SELECT count(*) // 2 // 50 * 50 FROM ledger)""")
+def deep_page(spark, sf):
+    """The page in the middle of the ledger."""
+    rows = ledger(spark, sf).select(*SHORT)
+    number = rows.count() // 2 // 50 + 1
+    return paging.deep_page(rows, [-F.unix_date("transaction_date"), F.col("transaction_id")], number, bound=2000)
+
+
 query("limit_with_truncation", f"""SELECT {COLS}, true AS truncated FROM ledger
 ORDER BY transaction_date DESC, transaction_id LIMIT 1000""")(
     lambda spark, sf: paging.limit_with_truncation(ledger(spark, sf).select(*SHORT), 1000)

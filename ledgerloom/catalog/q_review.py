@@ -242,7 +242,8 @@ def mark_embedded(spark, sf):
 @query("upsert_embeddings", """, n AS (SELECT count(*) AS n FROM embeddings), every AS (
   SELECT vec_id AS id, embedding, 1 AS version FROM embeddings
   UNION ALL SELECT (vec_id + n.n // 2) AS id, embedding, label + 2 AS version FROM embeddings, n)
-SELECT id, arg_max(round(embedding[1]::DOUBLE, 6), version) AS first_value, CAST(max(version) AS INTEGER) AS version FROM every GROUP BY id""")
+SELECT id, round(v[1], 6) AS first_value, round(list_sum(list_transform(v, lambda x, i: x * i)), 4) AS all_values, version
+FROM (SELECT id, arg_max(embedding, version)::DOUBLE[] AS v, CAST(max(version) AS INTEGER) AS version FROM every GROUP BY id) t""")
 def upsert_embeddings(spark, sf):
     stored = bind(spark, sf, "embeddings")
     n = stored.agg(F.count("*")).scalar()
@@ -253,8 +254,13 @@ def upsert_embeddings(spark, sf):
         (F.col("label") + 2).alias("version"),
     )
     merged = review.upsert_vectors(existing, updates)
+    # every component counts, by its place
+    weighted = F.transform("vector", lambda x, i: x.cast("double") * (i + 1))
     return merged.select(
-        "id", F.round(F.col("vector")[0].cast("double"), 6).alias("first_value"), F.col("version").cast("int").alias("version")
+        "id",
+        F.round(F.col("vector")[0].cast("double"), 6).alias("first_value"),
+        F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("all_values"),
+        F.col("version").cast("int").alias("version"),
     )
 
 

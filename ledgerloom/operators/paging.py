@@ -9,6 +9,8 @@ from ledgerloom import settings as s
 from ledgerloom.functions.amounts import magnitude
 from ledgerloom.runtime import cut
 
+PAGE_ROWS = 100_000
+SPLITTERS = 256
 SORT_KEYS = ("date", "amount", "category", "bank")
 
 
@@ -63,6 +65,46 @@ def page(ordered: DataFrame, number: int, size: int = s.DEFAULTS.page_size) -> D
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def deep_page(rows: DataFrame, keys: list[Column], number: int, size: int = s.DEFAULTS.page_size, bound: int = PAGE_ROWS) -> DataFrame:
+    """The page that ``page`` gives of ``rows`` ordered by ``keys`` (ascending, unique together), without sorting what precedes it.
+
+    Counts between a few hundred sampled keys tell which range holds the page and how many rows stand before it;
+    the range is counted in turn until it has at most ``bound`` rows, and only those are sorted. Each round reads
+    the range that the last one left, by a condition on the keys that a stored table can prune with.
+    """
+    if number < 1 or not 1 <= size <= s.DEFAULTS.max_page_size:
+        raise ValueError(f"page must be at least 1 and its size between 1 and {s.DEFAULTS.max_page_size}")
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    kind = rows.select(key.alias("key")).schema["key"].dataType
+    part, skip = rows, (number - 1) * size
+    while True:
+        n = part.count()
+        if skip >= n:
+            return rows.limit(0)
+        if n <= max(bound, size):
+            break
+        drawn = part.select(key.alias("key")).orderBy(F.xxhash64("key", F.lit(n)), "key").limit(SPLITTERS).distinct().orderBy("key").collect()
+        cuts = [F.struct(*[F.lit(x) for x in r["key"]]).cast(kind) for r in drawn]
+        place = F.size(F.filter(F.array(*cuts), lambda c: c < key))
+        counts = {r["place"]: r["count"] for r in part.groupBy(place.alias("place")).count().collect()}
+        first, before = 0, 0
+        while before + counts.get(first, 0) <= skip:
+            before += counts.get(first, 0)
+            first += 1
+        last, seen = first, before + counts.get(first, 0)
+        while seen < min(skip + size, n):
+            last += 1
+            seen += counts.get(last, 0)
+        if seen - before == n:
+            break
+        skip -= before
+        if first > 0:
+            part = part.where(key > cuts[first - 1])
+        if last < len(cuts):
+            part = part.where(key <= cuts[last])
+    return part.orderBy(*keys).offset(skip).limit(size)
+
+
 def limit_with_truncation(rows: DataFrame, limit: int = s.DEFAULTS.context_max_rows) -> DataFrame:
     """The newest rows up to ``limit``, each with the flag that more exist.
 

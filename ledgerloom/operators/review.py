@@ -195,10 +195,12 @@ def mark_embedded(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(existing: DataFrame, updates: DataFrame) -> DataFrame:
-    """(id, vector, version) with the latest version per id: repeating an update changes nothing."""
-    return existing.unionByName(updates).groupBy("id").agg(
-        F.max_by("vector", "version").alias("vector"), F.max("version").alias("version")
-    )
+    """(id, vector, version) with the latest version per id: repeating an update changes nothing.
+
+    Of unlike vectors under one version the greatest stays, compared component by component.
+    """
+    latest = F.max(F.struct("version", "vector")).alias("latest")
+    return existing.unionByName(updates).groupBy("id").agg(latest).select("id", "latest.vector", "latest.version")
 
 
 # --- pending lists ---------------------------------------------------------------------------

@@ -307,6 +307,29 @@ def test_clusters_of_patterns_of_any_size(spark):
     assert found["cold"] == [100, 601, 1200, 99999]
 
 
+def test_deep_pages_equal_pages(spark, monkeypatch):
+    """Ties in the first key, pages across ranges, the last page and one beyond it."""
+    monkeypatch.setattr(paging, "SPLITTERS", 7)
+    rng = random.Random(5)
+    rows = [(dt.date(2020, 1, rng.choice([1, 1, 1, 2, 9])), i) for i in range(700)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "transaction_date date, transaction_id long").repartition(3)
+    keys = [-F.unix_date("transaction_date"), F.col("transaction_id")]
+    expected = sorted(rows, key=lambda r: (-r[0].toordinal(), r[1]))
+    for number, size in ((1, 50), (8, 50), (14, 50), (15, 50), (47, 15)):
+        found = [tuple(r) for r in paging.deep_page(frame, keys, number, size, bound=60).collect()]
+        assert found == expected[(number - 1) * size : number * size]
+
+
+def test_the_latest_vector_stays(spark):
+    from ledgerloom.operators import review
+
+    old = spark.createDataFrame([(1, [1.0, 2.0], 1), (2, [5.0], 3)], "id long, vector array<double>, version int")
+    new = spark.createDataFrame([(1, [0.0, 9.0], 2), (1, [0.0, 8.0], 2), (2, [7.0], 1), (3, [1.0], 1)], old.schema)
+    found = sorted((r.id, r.vector, r.version) for r in review.upsert_vectors(old, new.unionByName(new)).collect())
+    assert found == [(1, [0.0, 9.0], 2), (2, [5.0], 3), (3, [1.0], 1)]
+
+
 def test_fx_priority_and_half_even_rounding(spark):
     day = dt.date(2027, 3, 10)
     rates = [("USD", "SGD", dt.date(2027, 3, 8), D("1.25")), ("USD", "SGD", day, D("1.005")), ("EUR", "SGD", dt.date(2027, 3, 1), D("1.5"))]
