@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,24 @@ def _least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(bits[0] ^ folded).sum())
 
 
+def _differ(wide: pa.ChunkedArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``_least_difference`` of the pairs of rows ``i`` and ``j``, those of one size of parity bits at a time."""
+    parity = [np.frombuffer(x, np.uint64) for x in wide.to_pylist()] if len(i) else []
+    sizes = np.array([len(x) for x in parity], np.int64)
+    out = np.zeros(len(i), np.int64)
+    common = np.minimum(sizes[i], sizes[j]) if len(i) else out
+    for size in np.unique(common).tolist():
+        pairs = np.flatnonzero(common == size)
+        rows, place = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(parity[r].reshape(-1, size), axis=0) for r in rows.tolist()])
+        a, b = place[: len(pairs)], place[len(pairs) :]
+        step = max(1, (4 << 20) // size)
+        for at in range(0, len(pairs), step):
+            part = slice(at, at + step)
+            out[pairs[part]] = np.bitwise_count(folded[a[part]] ^ folded[b[part]]).sum(axis=1)
+    return out
+
+
 def _fingerprints(tokens: np.ndarray, percent: int) -> bytes:
     """16 bits of each prefix shingle under the further orders, one order after the other."""
     k = int(_prefix_length(np.int64(len(tokens)), percent)) if len(tokens) else 0
@@ -270,13 +288,13 @@ def _index(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     ``rows`` has (node, prefix). Shingles with the same classes are one list, named by a hash of them.
     """
-    # once by shingle: counting and the join back go without another shuffle
-    postings = rows.select("node", F.posexplode("prefix").alias("place", "token")).repartition("token")
-    tokens = postings.groupBy("token").agg(
-        F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")
-    )
-    tokens = tokens.where("df > 1").select("token", "df", F.xxhash64("df", "a", "b").alias("list"))
-    lists = postings.join(tokens, "token").groupBy("list", "node").agg(F.min("place").alias("place"), F.first("df").alias("df"))
+    # one shuffle by shingle: the classes that share it are counted and named where they meet
+    postings = rows.select("node", F.posexplode("prefix").alias("place", "token"))
+    here = Window.partitionBy("token")
+    names = [F.bit_xor(F.xxhash64("node", F.lit(salt))).over(here) for salt in (0, 1)]
+    shared = postings.select("node", "place", F.count("*").over(here).alias("df"), *[x.alias(c) for x, c in zip(names, "ab", strict=True)])
+    shared = shared.where("df > 1").select("node", "place", "df", F.xxhash64("df", "a", "b").alias("list"))
+    lists = shared.groupBy("list", "node").agg(F.min("place").alias("place"), F.first("df").alias("df"))
     return lists.join(known.select("node", "n", *_BITS), "node")
 
 
@@ -325,50 +343,45 @@ def _between(apart: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         "list", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "df", *numbers, "wide"
     )
 
-    def judged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        value = {c: table.column(c).to_numpy() for c in ["list", "low", "high", "part", "df", *numbers]}
-        wide = table.column("wide").to_pylist()
-        low, high = value["low"][0], value["high"][0]
-        left = np.flatnonzero(value["part"] == low)
-        right = left if low == high else np.flatnonzero(value["part"] == high)
-        i, j = left[:, None], right[None, :]
+    def judged(cells: pa.Table) -> pa.RecordBatch:
+        """Candidates of whole cells, row by row with the ones ``k`` places further on in the cell."""
+        value = {c: cells.column(c).to_numpy() for c in ["list", "low", "high", "part", "df", *numbers]}
+        new = np.ones(cells.num_rows, bool)
+        new[1:] = sum(value[c][1:] != value[c][:-1] for c in ("list", "low", "high")) > 0
+        ends = np.append(np.flatnonzero(new)[1:], cells.num_rows)[np.cumsum(new) - 1]
         n, place, component = value["n"], value["place"], value["component"]
-        both = n[i] + n[j]
-        meets = (component[i] != component[j]) & ((100 + percent) * (place[i] + place[j]) <= (100 - percent) * both)
-        meets &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        if low == high:
-            meets &= value["node"][i] < value["node"][j]
-        i, j = np.nonzero(meets)
-        i, j = left[i], right[j]
-        flipped = sum(np.bitwise_count((value[c][i] ^ value[c][j]).view(np.uint64)).astype(np.int64) for c in _BITS)
-        some = (100 + percent) * flipped <= (100 - percent) * (n[i] + n[j])
-        found = [
-            (a, b) for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True)
-            if (100 + percent) * _least_difference(wide[a], wide[b]) <= (100 - percent) * int(n[a] + n[b])
-        ]
-        a, b = (value["node"][[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
-        size = len(found)
+        some, k, i = [], 1, np.arange(cells.num_rows)
+        while len(i := i[i + k < ends[i]]):
+            j = i + k
+            both = n[i] + n[j]
+            meets = (component[i] != component[j]) & ((value["low"][i] == value["high"][i]) | (value["part"][i] != value["part"][j]))
+            meets &= ((100 + percent) * (place[i] + place[j]) <= (100 - percent) * both) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            x, y = i[meets], j[meets]
+            flipped = sum(np.bitwise_count((value[c][x] ^ value[c][y]).view(np.uint64)).astype(np.int64) for c in _BITS)
+            near = (100 + percent) * flipped <= (100 - percent) * both[meets]
+            some.append(np.stack([x[near], y[near]]))
+            k += 1
+        i, j = np.concatenate(some, axis=1) if some else np.zeros((2, 0), np.int64)
+        near = _differ(cells.column("wide"), i, j) * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+        i, j = i[near], j[near]
+        a, b = value["node"][i], value["node"][j]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(size, value["df"][0])), pa.array(np.full(size, value["list"][0]))],
-            names=["x", "y", "df", "list"],
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(value["df"][i]), pa.array(value["list"][i])], names=["x", "y", "df", "list"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        held = None
         for batch in batches:
-            cell = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cell = np.stack([held.column(c).to_numpy() for c in ("list", "low", "high")])
+            # the last cell may go on in the next batch
             edges = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-            for a, b in zip(np.append(0, edges), np.append(edges, batch.num_rows), strict=True):
-                if a == b:
-                    continue
-                if held and tuple(cell[:, a]) != current:
-                    yield judged(held)
-                    held = []
-                current = tuple(cell[:, a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield judged(held)
+            if len(edges):
+                yield judged(held.slice(0, edges[-1]).combine_chunks())
+                held = held.slice(edges[-1])
+        if held is not None and held.num_rows:
+            yield judged(held.combine_chunks())
 
     cell = ["list", "low", "high"]
     found = rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "x long, y long, df long, list long")

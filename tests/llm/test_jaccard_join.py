@@ -112,6 +112,16 @@ def test_groups_that_leaders_leave_open(spark, monkeypatch, block):
     assert found == brute(rows, 3, 90)
 
 
+def test_parity_of_many_pairs_is_that_of_each():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 54, n).astype(np.uint64)) for n in (1, 5, 40, 60, 70, 200, 900, 1100)]
+    wide = [jj._parity(s) for s in sets]
+    i, j = (x.ravel() for x in np.meshgrid(range(8), range(8)))
+    found = jj._differ(pa.chunked_array([wide[:3], wide[3:]], pa.binary()), i, j)
+    assert found.tolist() == [jj._least_difference(wide[a], wide[b]) for a, b in zip(i, j, strict=True)]
+    assert len(jj._differ(pa.chunked_array([], pa.binary()), i[:0], j[:0])) == 0
+
+
 def test_fingerprints_of_links_always_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):
