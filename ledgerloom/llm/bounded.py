@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _CHUNK_BITS = 14
+_FLAG_BITS = 17
 
 
 def _smallest(counts: np.ndarray) -> np.dtype:
@@ -60,6 +61,36 @@ def bucket_counts(df: DataFrame, buckets_of: Callable[[pa.RecordBatch], Iterator
     return out[: 1 << bits]
 
 
+def bucket_flags(df: DataFrame, buckets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """Which of ``2 ** bits`` buckets occur in what ``buckets_of`` makes of the rows.
+
+    As ``bucket_counts``, with one bit a bucket from the tasks to the driver.
+    """
+    low = min(bits, _FLAG_BITS)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for buckets in buckets_of(batch):
+                seen[buckets] = True
+        for chunk in range(1 << (bits - low)):
+            part = seen[chunk << low : (chunk + 1) << low]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "flags": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    def united(rows: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(-(-(1 << low) // 8), np.uint8)
+        for part in rows["flags"]:
+            flags |= np.frombuffer(part, np.uint8)
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "flags": [flags.tobytes()]})
+
+    parts = df.mapInArrow(partial, "chunk int, flags binary")
+    out = np.zeros(1 << bits, bool)
+    for row in parts.groupBy("chunk").applyInPandas(united, "chunk int, flags binary").collect():
+        out[row["chunk"] << low : (row["chunk"] + 1) << low] = np.unpackbits(np.frombuffer(row["flags"], np.uint8))[: 1 << low].astype(bool)
+    return out
+
+
 def text_slices(batch: pa.RecordBatch, column: str, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of at most ``rows`` rows and about ``size`` bytes of text; one text is never cut."""
     lengths = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")

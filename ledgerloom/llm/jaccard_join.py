@@ -56,6 +56,7 @@ ID_BITS = 22
 BLOCK = 512
 PARITY = 256
 STARS = 2
+AT_ONCE = 512
 _CLASS_BITS = 5
 _BITS = [f"p{i}" for i in range(PARITY // 64)]
 _OTHER_ORDERS = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
@@ -110,10 +111,14 @@ def _least_difference(a: bytes, b: bytes) -> int:
 
 def _differ(wide: pa.ChunkedArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """``_least_difference`` of the pairs of rows ``i`` and ``j``, those of one size of parity bits at a time."""
-    parity = [np.frombuffer(x, np.uint64) for x in wide.to_pylist()] if len(i) else []
-    sizes = np.array([len(x) for x in parity], np.int64)
     out = np.zeros(len(i), np.int64)
-    common = np.minimum(sizes[i], sizes[j]) if len(i) else out
+    if not len(i):
+        return out
+    needed, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = place[: len(i)], place[len(i) :]
+    parity = [np.frombuffer(x, np.uint64) for x in wide.take(pa.array(needed)).to_pylist()]
+    sizes = np.array([len(x) for x in parity], np.int64)
+    common = np.minimum(sizes[i], sizes[j])
     for size in np.unique(common).tolist():
         pairs = np.flatnonzero(common == size)
         rows, place = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
@@ -200,7 +205,7 @@ def _flags(ids: DataFrame) -> np.ndarray:
     def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield _id_bucket(batch.column(0).to_numpy(zero_copy_only=False))
 
-    return bounded.bucket_counts(ids, buckets, ID_BITS) > 0
+    return bounded.bucket_flags(ids, buckets, ID_BITS)
 
 
 def _flagged(rows: DataFrame, flags: np.ndarray, wanted: bool = True) -> DataFrame:
@@ -269,10 +274,12 @@ def _near(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (x, y, df, list) that all filters leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "wx", "wy", "ox", "oy")]
-            near = [_may_link(n, (p, q), (f, g), percent) for n, p, q, f, g in zip(*columns, strict=True)]
-            yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y", "df", "list"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "wx", "wy", "ox", "oy")]
+                near = [_may_link(n, (p, q), (f, g), percent) for n, p, q, f, g in zip(*columns, strict=True)]
+                yield batch.filter(pa.array(near, pa.bool_())).select(["x", "y", "df", "list"])
 
     pairs = cut(pairs)
     nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
@@ -404,7 +411,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, width: int, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, sets = None, {}
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             found: list[tuple[int, int]] = []
             for entry, kind, x, y, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if entry != current:

@@ -162,3 +162,9 @@ def test_parity_bits_never_exceed_the_difference():
         a, b = (tokens[rng.random(len(tokens)) < rng.uniform(0.5, 1)] for _ in range(2))
         if len(a) and len(b):
             assert jj._least_difference(jj._parity(a), jj._parity(b)) <= len(np.setxor1d(a, b))
+
+
+def test_flags_are_the_buckets_that_occur(spark):
+    frame = spark.createDataFrame([(i * 37 % 5000,) for i in range(300)], "b long").repartition(3)
+    flags = jj.bounded.bucket_flags(frame, lambda batch: iter([batch.column(0).to_numpy()]), 18)
+    assert np.flatnonzero(flags).tolist() == sorted(i * 37 % 5000 for i in range(300))
