@@ -254,9 +254,10 @@ def planted(words: list[str], weights: np.ndarray, many: int = PLANTED, seed: in
 
 
 def context_words(docs: DataFrame) -> list[str]:
-    """Words of the starts of a bounded number of texts, the first by a hash."""
+    """Words of the starts of a bounded number of texts, the first by a hash; hashes are drawn before any text is read out."""
     texts = docs.where(F.length("text") > 0).select(F.substring("text", 1, CONTEXT_CHARS).alias("start"), F.xxhash64("text").alias("pick"))
-    rows = texts.orderBy("pick", "start").limit(CONTEXT_TEXTS).collect()
+    picks = [r["pick"] for r in texts.select("pick").distinct().orderBy("pick").limit(CONTEXT_TEXTS).collect()]
+    rows = texts.where(F.col("pick").isin(picks)).groupBy("pick").agg(F.min("start").alias("start")).collect() if picks else []
     return sorted({w.strip(".,;:!?()|") for r in rows for w in r["start"].split()} - {""})
 
 
