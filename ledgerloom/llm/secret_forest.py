@@ -397,4 +397,6 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
             texts = pa.array([clean(t.as_py()) for t in batch.column(place)], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    # names of its own for the way through Python, which does not take every name
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
