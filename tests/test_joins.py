@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,20 @@ def test_kth_smallest_narrows_without_ordering_everything(spark):
     assert training.kth_smallest(texts_frame, "v", 2000) == f"{sorted(values)[1999]:09d}"
     with pytest.raises(ValueError):
         training.kth_smallest(frame, "v", 3001)
+
+
+def test_points_travel_once_per_block_not_once_per_cell(spark, monkeypatch):
+    """Unlike points are out of nobody's reach, so every cell meets every other one."""
+    monkeypatch.setattr(blocks, "ROWS_PER_PIVOT", 12)
+    monkeypatch.setattr(blocks, "SMALL_BLOCK_ROWS", 100)
+    rng = np.random.default_rng(5)
+    points = [(i, [float(x) for x in v / np.linalg.norm(v)], 1.0) for i, v in enumerate(rng.normal(size=(900, 24)))]
+    frame = spark.createDataFrame(points, "rep bigint, point array<double>, size double")
+
+    def kernel(left, right, a, b, tiles):
+        return pd.DataFrame({"sent": [len(left) + len(right)], "compared": [sum(len(x) * len(y) for x, y in tiles)]})
+
+    reach = neighbours._score_reach(-1.0)
+    tasks = blocks.block_join(frame, frame, neighbours.chord, reach, kernel, "sent long, compared long").collect()
+    assert sum(t["compared"] for t in tasks) == 900 * 900
+    assert sum(t["sent"] for t in tasks) <= 900 * 4 * blocks.BLOCKS_PER_SIDE
