@@ -5,9 +5,13 @@ import json
 import random
 from decimal import Decimal
 
+import pytest
+
 from ledgerloom.functions.indel import lcs_lengths
+from ledgerloom.operators import rangefirst, similarity
 from ledgerloom.operators.similarity import categorize_run
 from ledgerloom.plans import ingest as plan
+from ledgerloom.runtime import cut
 from ledgerloom.sources import statements as st
 
 TEXTS = ["NORTH STAR COFFEE", "NORTH STAR COFFEES", "NORTH STAR TOFFEE", "NORTH STARS TOFFEE", "GREEN GROCER", "GREEN GROCERS X", "RAIL CARD"]
@@ -103,3 +107,27 @@ def test_a_whole_run(spark):
     assert [(r.transaction_id, r.similarity_category, r.llm_category) for r in clash] == [("f2#000000", "Fun", "Food")]
     taken = sorted((r.payment_id, r.cycle_period, r.transaction_id) for r in done.matches.collect())
     assert taken == [(7, "2027-01", "f1#000000"), (7, "2027-02", "f2#000000")]
+
+
+def test_rows_of_a_run_are_shuffled_not_sent_through_the_driver(spark):
+    """Small files are no small tables: ten thousand rows of one text take a few kilobytes on disk."""
+    ids = spark.range(10_000).selectExpr("cast(id as string) AS transaction_id")
+    incoming = cut(ids.selectExpr("transaction_id", "'ACME' AS description", "'A' AS llm_category"))
+    matches = cut(ids.selectExpr("transaction_id", "'1' AS match_id", "'A' AS match_category", "90.0D AS score"))
+    decided = similarity.with_decision(incoming, matches)
+    assert "BroadcastHashJoin" not in decided._jdf.queryExecution().executedPlan().toString()
+    assert decided.where("source = 'similarity'").count() == 10_000
+
+
+def test_many_questions_of_few_texts_stay_where_they_are(spark):
+    """The first items per text are the small side, though their size is only known once they are stored."""
+    questions = cut(spark.range(20_000).selectExpr("'ACME' AS c_key", "id AS q", "1L AS low", "5L AS high"))
+    items = cut(spark.range(60_000).selectExpr("'ACME' AS c_key", "id AS match_id", "id + 4 AS cents", "100L AS reach"))
+    stored = []
+    keep = lambda df: stored.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(rangefirst, "cut", keep)
+        found = rangefirst.first_in_range(questions, items, ["c_key"], "match_id", [])
+    assert found.count() == 20_000 and {r["item"]["order"] for r in found.select("item").distinct().collect()} == {0}
+    joined = [p for p in stored if "Join" in p]
+    assert joined and all("BuildLeft" not in p for p in joined)
