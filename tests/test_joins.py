@@ -216,3 +216,21 @@ def test_points_travel_once_per_block_not_once_per_cell(spark, monkeypatch):
     tasks = blocks.block_join(frame, frame, neighbours.chord, reach, kernel, "sent long, compared long").collect()
     assert sum(t["compared"] for t in tasks) == 900 * 900
     assert sum(t["sent"] for t in tasks) <= 900 * 4 * blocks.BLOCKS_PER_SIDE
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_index_rows_are_sorted_by_the_hash_of_their_vector(spark, monkeypatch, alike):
+    if alike:
+        monkeypatch.setattr(neighbours, "vector_hash", lambda vector: F.lit(7).cast("long"))
+    rng = np.random.default_rng(5)
+    kinds = [*rng.normal(size=(5, 3)).tolist(), [0.0, 1.0, 0.5], [-0.0, 1.0, 0.5], [0.0, 0.0, 0.0]]
+    rows = [(i, kinds[int(rng.integers(len(kinds)))]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id long, vector array<float>")
+    found = neighbours._first_copies(frame, 4)
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and not any("vector#" in x.split("], [")[1] for x in windows)
+    want = set()
+    for kind in {tuple(k) for k in kinds if any(k)}:
+        ids = [i for i, v in rows if tuple(v) == kind]
+        want |= {(i, ids[0], n) for n, i in enumerate(ids[:4], 1)}
+    assert {(r["id"], r["rep"], r["copy"]) for r in found.collect()} == want
