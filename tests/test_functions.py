@@ -187,3 +187,11 @@ def test_payment_status(spark):
     frame = spark.createDataFrame(rows, "m string, c date, n date, want string")
     status = decisions.payment_status(F.lit("monthly"), F.col("m"), F.col("c"), F.col("n"), F.lit(today), 5)
     assert [r[0] for r in frame.select(status).collect()] == [r[3] for r in rows]
+
+
+def test_strip_takes_white_space_of_any_kind_without_a_pattern(spark):
+    rows = [(i, f"{chr(i)} {chr(i)}a{chr(i)}b {chr(i)}") for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    frame = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, " \n\r\n"), (-4, "　x\n")], "id int, t string")
+    both = frame.select("id", text.strip(F.col("t")).alias("ours"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert both.where("NOT ours <=> want").collect() == []
+    assert "regexp" not in frame.select(text.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()

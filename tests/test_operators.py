@@ -492,3 +492,10 @@ def test_ranks_of_a_sorted_result(spark):
     rows = spark.range(1000).select(F.xxhash64("id").alias("v"), "id").repartition(7)
     ranked = paging.with_rank(rows.orderBy("v", "id")).collect()
     assert [r["rank"] for r in sorted(ranked, key=lambda r: (r.v, r.id))] == list(range(1, 1001))
+
+
+def test_answers_read_the_ledger_once(spark, sf_dir):
+    from ledgerloom.catalog import q_extraction
+
+    plan = q_extraction.statement_answers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and sum("Relation [l_orderkey" in x for x in plan.splitlines()) == 1
