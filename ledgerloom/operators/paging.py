@@ -65,6 +65,15 @@ def page(ordered: DataFrame, number: int, size: int = s.DEFAULTS.page_size) -> D
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def _number_below(cuts: list[Column], key: Column) -> Column:
+    """How many of the ascending ``cuts`` are below ``key``: among the ends of groups first, then within one group."""
+    size = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[at : at + size] for at in range(0, len(cuts), size)]
+    passed = F.size(F.filter(F.array(*[g[-1] for g in groups]), lambda c: c < key))
+    within = F.size(F.filter(F.get(F.array(*[F.array(*g) for g in groups]), passed), lambda c: c < key))
+    return F.when(passed == len(groups), F.lit(len(cuts))).otherwise(passed * size + within)
+
+
 def deep_page(rows: DataFrame, keys: list[Column], number: int, size: int = s.DEFAULTS.page_size, bound: int = PAGE_ROWS) -> DataFrame:
     """The page that ``page`` gives of ``rows`` ordered by ``keys`` (ascending, unique together), without sorting what precedes it.
 
@@ -85,7 +94,7 @@ def deep_page(rows: DataFrame, keys: list[Column], number: int, size: int = s.DE
             break
         drawn = part.select(key.alias("key")).orderBy(F.xxhash64("key", F.lit(n)), "key").limit(SPLITTERS).distinct().orderBy("key").collect()
         cuts = [F.struct(*[F.lit(x) for x in r["key"]]).cast(kind) for r in drawn]
-        place = F.size(F.filter(F.array(*cuts), lambda c: c < key))
+        place = _number_below(cuts, key)
         counts = {r["place"]: r["count"] for r in part.groupBy(place.alias("place")).count().collect()}
         first, before = 0, 0
         while before + counts.get(first, 0) <= skip:

@@ -499,3 +499,16 @@ def test_answers_read_the_ledger_once(spark, sf_dir):
 
     plan = q_extraction.statement_answers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and sum("Relation [l_orderkey" in x for x in plan.splitlines()) == 1
+
+
+def test_number_below_and_the_stored_rows_of_a_deep_page(spark, sf_dir):
+    from ledgerloom.catalog import q_ledger
+
+    rows = spark.range(-1, 62).select((F.col("id") * 1.0).alias("x"))
+    key = F.struct(F.col("x").alias("k0"))
+    for n in (1, 2, 3, 16, 17, 30):
+        cuts = [F.struct(F.lit(2.0 * i).alias("k0")) for i in range(n)]
+        wrong = rows.where(paging._number_below(cuts, key) != F.size(F.filter(F.array(*cuts), lambda c: c < key)))
+        assert wrong.count() == 0
+    plan = q_ledger.deep_page(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
