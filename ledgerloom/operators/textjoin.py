@@ -6,6 +6,8 @@ An edit spoils one segment at most, so one is left, whole and in order, in the s
 after it has been edited too, so its place is off by so much at most. The longer text enters the index with its
 segments and their places, the shorter one asks with all runs of ``q`` characters and the places they may come from: an
 equi-join, however many texts there are. A segment that many texts share is skewed, not grouped: the join may be split.
+A segment and its place are one number in the join; texts of one length are cut together in tasks. Of the side with more texts only
+entries go on that fall into a bucket of the other side's entries, of which there is a fixed number, one bit each.
 
 Pairs that meet are tested on lengths, places and character counts before anything is scored. The
 counts are unary, four numbers of 64 bits that say which character classes occur once, twice, three and
@@ -14,6 +16,8 @@ four times or more; every edit changes one bit. Each distinct text takes part on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,75 +28,152 @@ from ledgerloom.functions.indel import lcs_lengths
 from ledgerloom.runtime import cut
 
 CLASSES = 64
+BUCKET_BITS = 22
+AT_ONCE = 1 << 20
 _COUNTS = ("once", "twice", "thrice", "often")
+_FACTS = ", ".join(["key string", "n int", *[f"{c} long" for c in _COUNTS]])
 
 
-def _edits(one: Column, other: Column, threshold: int) -> Column:
+def _edits(one: Column | int, other: Column | int, threshold: int) -> Column | int:
     """Most insertions and deletions that the threshold allows two lengths."""
+    if isinstance(one, int):
+        return (one + other) * (100 - threshold) // 100
     return F.floor((one + other) * (100 - threshold) / 100).cast("int")
 
 
-def _segment(length: Column, threshold: int) -> Column:
+def _segment(length: int, threshold: int) -> int:
     """Characters of a segment of a text that is the longer one; 0 if it is too short to be cut."""
-    return F.floor(length / (_edits(length, length, threshold) + 1)).cast("int")
+    return length // (_edits(length, length, threshold) + 1)
+
 
+def _same_lengths(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one length at a time, with the matrix of their code points."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        step = max(1, AT_ONCE // max(1, n))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            letters = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le"), np.uint32)
+            yield part, letters.reshape(len(part), n)
 
-def _unary_counts(text: Column) -> Column:
-    def add(seen: Column, letter: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(letter), F.lit(CLASSES)))
-        new = [seen["once"].bitwiseOR(bit)]
-        new += [seen[here].bitwiseOR(seen[less].bitwiseAND(bit)) for less, here in zip(_COUNTS, _COUNTS[1:], strict=False)]
-        return F.struct(*[x.alias(name) for x, name in zip(new, _COUNTS, strict=True)])
 
-    start = F.struct(*[F.lit(0).cast("long").alias(name) for name in _COUNTS])
-    # the split of an empty text has one empty part
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, add)
+def _unary_counts(letters: np.ndarray) -> list[np.ndarray]:
+    rows = np.arange(len(letters))[:, None] * CLASSES
+    seen = np.bincount((rows + letters % CLASSES).ravel(), minlength=len(letters) * CLASSES).reshape(-1, CLASSES)
+    return [np.packbits(seen > i, axis=1, bitorder="little").view(np.int64).ravel() for i in range(len(_COUNTS))]
 
 
 def _texts(texts: DataFrame) -> DataFrame:
     """Distinct texts with their length ``n`` and unary counts."""
-    distinct = texts.where("key is not null").select("key").distinct()
-    counted = distinct.select("key", F.length("key").alias("n"), _unary_counts(F.col("key")).alias("counts"))
-    return cut(counted.select("key", "n", *[F.col(f"counts.{c}").alias(c) for c in _COUNTS]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, letters in _same_lengths(batch.column(0).to_pylist()):
+                n = np.full(len(rows), letters.shape[1], np.int32)
+                columns = [batch.column(0).take(pa.array(rows)), pa.array(n), *map(pa.array, _unary_counts(letters))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", *_COUNTS])
+
+    return cut(texts.where("key is not null").select("key").distinct().mapInArrow(run, _FACTS))
 
-def _indexed(texts: DataFrame, threshold: int) -> DataFrame:
-    """Each text with its segments: ``q``, ``place`` and ``segment``."""
-    q = _segment(F.col("n"), threshold)
-    rows = texts.withColumn("q", q).withColumn("at", F.expr("explode(if(q = 0, array(0), sequence(0, int(n div q) - 1)))"))
-    return rows.select("*", (F.col("at") * F.col("q")).alias("place"), F.expr("substring(key, at * q + 1, q)").alias("segment")).drop("at")
 
+def _codes(letters: np.ndarray, q: int, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number for each text and each run of ``q`` characters from ``starts`` that stands at ``places`` of the longer text."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    runs = np.zeros((len(letters), letters.shape[1] - q + 1), np.uint64)
+    for i in range(q):
+        runs = (runs + letters[:, i : i + runs.shape[1]] + np.uint64(1)) * odd
+        runs ^= runs >> np.uint64(29)
+    codes = (runs[:, starts] + (places * (1 << 20) + q).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    codes ^= codes >> np.uint64(32)
+    return (codes * odd) ^ (codes >> np.uint64(17))
 
-def _asking(texts: DataFrame, threshold: int) -> DataFrame:
-    """Each text with the segments of longer texts that it may hold: ``q``, ``place`` there, ``start`` here, ``segment``."""
+
+def _cuts(n: int, threshold: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(q, starts, places) of the segments of a text of ``n`` characters as the longer one."""
+    q = _segment(n, threshold)
+    places = np.arange(n // q, dtype=np.int64) * q if q else np.zeros(1, np.int64)
+    return [(q, places, places)]
+
+
+def _runs(n: int, threshold: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(q, starts, places) of the segments of longer texts that one of ``n`` characters may hold, with their places there."""
     # of the longest partner all edits are needed for the lengths: l - b = D
-    longest = F.floor(F.col("n") * (200 - threshold) / threshold).cast("int")
-    lengths = F.sequence(F.col("n"), longest)
-    kinds = F.array_distinct(F.transform(lengths, lambda length: _segment(length, threshold)))
-    rows = texts.withColumns({"longest": longest, "q": F.explode(kinds)})
-    rows = rows.withColumn("start", F.expr("explode(if(q = 0, array(0), if(n >= q, sequence(0, n - q), cast(array() as array<int>))))"))
+    longest = n * (200 - threshold) // threshold
     # the longer text has lost up to (D + g) / 2 characters before the segment, g = l - b, or gained (D - g) / 2
-    before = F.floor((_edits(F.col("longest"), F.col("n"), threshold) + F.col("longest") - F.col("n")) / 2).cast("int")
-    after = F.floor(_edits(F.col("n"), F.col("n"), threshold) / 2).cast("int")
-    rows = rows.withColumns({"low": F.greatest(F.col("start") - after, F.lit(0)), "high": F.least(F.col("start") + before, F.col("longest"))})
-    grid = F.expr("if(q = 0, array(0), if(ceil(low / q) <= high div q, sequence(int(ceil(low / q)), int(high div q)), cast(array() as array<int>)))")
-    rows = rows.withColumn("at", F.explode(grid))
-    return rows.select(
-        "key", "n", *_COUNTS, "q", (F.col("at") * F.col("q")).cast("int").alias("place"), "start",
-        F.expr("substring(key, start + 1, q)").alias("segment"),
-    )
+    before = (_edits(longest, n, threshold) + longest - n) // 2
+    after = _edits(n, n, threshold) // 2
+    some = []
+    for q in sorted({_segment(length, threshold) for length in range(n, longest + 1)}):
+        if not q:
+            some.append((0, np.zeros(1, np.int64), np.zeros(1, np.int64)))
+        elif q <= n:
+            starts = np.arange(n - q + 1, dtype=np.int64)
+            first = -(-np.maximum(starts - after, 0) // q)
+            size = np.maximum(np.minimum(starts + before, longest) // q - first + 1, 0)
+            places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+            some.append((q, np.repeat(starts, size), places * q))
+    return some
+
+
+def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bucket = codes & np.uint64((1 << BUCKET_BITS) - 1)
+    return (bucket >> np.uint64(6)).astype(np.int64), bucket & np.uint64(63)
+
+
+def _entries(texts: DataFrame, threshold: int, longer: bool, flags: np.ndarray | None = None) -> DataFrame:
+    """Each text with its entries: ``code``, ``q``, ``place`` in the longer text, ``start`` here; only those in ``flags``."""
+    sent = None if flags is None else texts.sparkSession.sparkContext.broadcast(flags)
+    own = _cuts if longer else _runs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, letters in _same_lengths(batch.column(0).to_pylist()):
+                for q, starts, places in own(letters.shape[1], threshold):
+                    step = max(1, AT_ONCE // max(1, len(starts)))
+                    for at in range(0, len(rows), step):
+                        codes = _codes(letters[at : at + step], q, starts, places)
+                        found = np.ones(codes.shape, bool)
+                        if sent is not None:
+                            word, bit = _buckets(codes)
+                            found = (sent.value[word] >> bit & np.uint64(1)).astype(bool)
+                        i, j = np.nonzero(found)
+                        facts = batch.take(pa.array(rows[at + i]))
+                        numbers = [codes[i, j].view(np.int64), np.full(len(i), q, np.int32), places[j].astype(np.int32), starts[j].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*facts.columns, *map(pa.array, numbers)], names=[*batch.schema.names, "code", "q", "place", "start"]
+                        )
+
+    return texts.select("key", "n", *_COUNTS).mapInArrow(run, f"{_FACTS}, code long, q int, place int, start int")
+
+
+def _flags(entries: DataFrame) -> np.ndarray:
+    """Which of a fixed number of buckets hold an entry; at most as many words as there are go through the driver."""
+    bucket = F.col("code").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+    bit = F.expr("shiftleft(1L, int(bucket & 63))")
+    words = entries.select(bucket.alias("bucket")).groupBy((F.shiftright("bucket", 6)).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    out = np.zeros(1 << (BUCKET_BITS - 6), np.int64)
+    for row in words.collect():
+        out[row["word"]] = row["bits"]
+    return out.view(np.uint64)
 
 
 def _meeting(longer: DataFrame, shorter: DataFrame, threshold: int, strictly: bool) -> DataFrame:
     """(long_key, short_key) that agree on a segment and on all that is known without reading them."""
-    a, b = _indexed(longer, threshold).alias("a"), _asking(shorter, threshold).alias("b")
+    if longer.count() <= shorter.count():
+        index = _entries(longer, threshold, True)
+        asking = _entries(shorter, threshold, False, _flags(index))
+    else:
+        asking = _entries(shorter, threshold, False)
+        index = _entries(longer, threshold, True, _flags(asking))
+    a, b = index.alias("a"), asking.alias("b")
     edits, gap = _edits(F.col("a.n"), F.col("b.n"), threshold), F.col("a.n") - F.col("b.n")
     moved = F.col("b.start") - F.col("a.place")
     apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _COUNTS), F.lit(0))
     near = (gap > 0 if strictly else gap >= 0) & (gap <= edits) & (apart <= edits)
     near &= (F.col("a.q") == 0) | (F.abs(moved) + F.abs(gap + moved) <= edits)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("q", "place", "segment")]
-    return a.join(b, [*same, near]).select(F.col("a.key").alias("long_key"), F.col("b.key").alias("short_key"))
+    near &= (F.col("a.q") == F.col("b.q")) & (F.col("a.place") == F.col("b.place"))
+    return a.join(b, [F.col("a.code") == F.col("b.code"), near]).select(F.col("a.key").alias("long_key"), F.col("b.key").alias("short_key"))
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:

@@ -93,6 +93,20 @@ def test_candidates_do_not_grow_with_the_register(spark):
     assert max(shares) < 1.4 * min(shares)
 
 
+def test_texts_unlike_the_register_make_no_entries(spark):
+    """Entries of the larger side are left out where the smaller side has none."""
+    from ledgerloom.operators import textjoin
+
+    few = textjoin._texts(spark.createDataFrame([("NORTH STAR COFFEE #1000",), ("GREEN GROCER #1000",)], "key string"))
+    rows = [(f"{i:07d} " + "".join(chr(192 + i * 7 % 50 + k) for k in range(20)),) for i in range(500)] + [("GREEN GROCER #100123",)]
+    many = textjoin._texts(spark.createDataFrame(rows, "key string"))
+    for longer in (True, False):
+        flags = textjoin._flags(textjoin._entries(few, 85, not longer))
+        kept = textjoin._entries(many, 85, longer, flags)
+        assert kept.where("key like 'GREEN%'").count() and kept.where("key not like 'GREEN%'").count() < 50
+    assert [(r.left_key, r.right_key) for r in similar_texts(many, few).collect()] == [("GREEN GROCER #100123", "GREEN GROCER #1000")]
+
+
 def test_similar_texts_of_long_texts(spark):
     base = "lorem ipsum dolor sit amet " * 12
     near, far = base[:-20] + "changed a little", base[::-1]
