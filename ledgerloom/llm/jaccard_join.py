@@ -15,7 +15,8 @@ the first ``n - ceil(percent * n / 100) + 1`` shingles of each have one in commo
 4. whole sets are fetched for what all filters leave, and counted.
 
 A group of thousands of near copies is not spelled out as pairs. In up to ``STARS`` rounds each list names a leader, the
-other components of the list are compared with it, and what links is contracted. Lists that still hold several components are
+other components of the list are compared with it, and what links is contracted. The first leader has then been compared with all, and
+leaves its list. Lists that still hold several components are
 compared in blocks, of which a task returns only the candidates between different components. A task verifies
 the candidates of a list, split into blocks, so that a set travels once per list and not once per pair. Nothing is capped: the
 result is exact but for collisions of 54-bit hashes within a pair, of the 64-bit sums that name the classes and of those that name lists.
@@ -57,6 +58,7 @@ BLOCK = 512
 PARITY = 256
 STARS = 2
 AT_ONCE = 512
+SLICE = 1 << 20
 _CLASS_BITS = 5
 _BITS = [f"p{i}" for i in range(PARITY // 64)]
 _OTHER_ORDERS = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
@@ -80,7 +82,7 @@ def _frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     """For each bucket of shingles 0, or how many doublings it lies above what chance explains."""
 
     def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in bounded.text_slices(batch, "text", MAX_TEXTS):
+        for part in bounded.text_slices(batch, "text", MAX_TEXTS, SLICE):
             data, offsets = text_bytes(part.column(0))
             start, end, bounds = word_spans(data, offsets)
             hashes, _ = shingle_hashes(word_hashes(data, start, end), bounds, width)
@@ -159,7 +161,7 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded.text_slices(batch, "text", MAX_TEXTS):
+            for part in bounded.text_slices(batch, "text", MAX_TEXTS, SLICE):
                 sets, bounds = shingle_sets(part.column(1), width)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
@@ -208,6 +210,10 @@ def _flags(ids: DataFrame) -> np.ndarray:
     return bounded.bucket_flags(ids, buckets, ID_BITS)
 
 
+def _found(ids: pa.Array, flags: np.ndarray) -> np.ndarray:
+    return flags[_id_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False))] & np.asarray(ids.is_valid())
+
+
 def _flagged(rows: DataFrame, flags: np.ndarray, wanted: bool = True) -> DataFrame:
     """``rows`` whose first column, a long, falls into a flagged bucket; or those whose does not, a null among them.
 
@@ -217,9 +223,7 @@ def _flagged(rows: DataFrame, flags: np.ndarray, wanted: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            found = sent.value[_id_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False))] & np.asarray(ids.is_valid())
-            yield batch.filter(pa.array(found == wanted))
+            yield batch.filter(pa.array(_found(batch.column(0), sent.value) == wanted))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -250,7 +254,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(wanted.value[_id_bucket(batch.column(0).to_numpy(zero_copy_only=False))]))
-            for part in bounded.text_slices(batch, "text", MAX_TEXTS):
+            for part in bounded.text_slices(batch, "text", MAX_TEXTS, SLICE):
                 sets, bounds = shingle_sets(part.column(1), width)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -305,13 +309,23 @@ def _index(rows: DataFrame, known: DataFrame) -> DataFrame:
     return lists.join(known.select("node", "n", *_BITS), "node")
 
 
-def _apart(index: DataFrame, components: DataFrame | None) -> DataFrame:
-    """``index`` with each class's ``component``, without the lists that lie in one."""
-    if components is None:
+def _apart(index: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
+    """``index`` with each class's ``component``, without the lists that lie in one.
+
+    Turn 0 compares every class of a list with the leader, so leaders of turn 0 are left out later, and lists of two with them.
+    """
+    if turn == 0:
         return index.withColumn("component", F.col("node"))
-    merged = index.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = merged.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return merged.join(split.where("low <> high").select("list"), "list")
+    merged = index.where("df > 2")
+    if components is None:
+        merged = merged.withColumn("component", F.col("node"))
+    else:
+        merged = merged.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = merged.groupBy("list").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("place", "node")).alias("first")
+    )
+    split = split.where("low <> high").select("list", F.col("first.node").alias("judged"))
+    return merged.join(split, "list").where("node <> judged").drop("judged")
 
 
 def _stars(apart: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -447,13 +461,13 @@ def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
     links, components = [], None
     for turn in range(STARS):
-        pairs = _near(_stars(_apart(index, components), turn, percent), rows, percent)
+        pairs = _near(_stars(_apart(index, components, turn), turn, percent), rows, percent)
         links.append(_verified(docs, pairs, known, width, percent))
         if links[-1].isEmpty():
             break
         components = cut(connected_components(reduce(DataFrame.unionByName, links)))
         _release(docs.sparkSession)
-    apart = cut(_apart(index, components))
+    apart = cut(_apart(index, components, STARS))
     _release(docs.sparkSession)
     links.append(_verified(docs, _near(_between(apart, rows, percent), rows, percent), known, width, percent))
     final = components if components is not None and links[-1].isEmpty() else connected_components(reduce(DataFrame.unionByName, links))
@@ -504,19 +518,21 @@ def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame
     whole = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     named = whole.select(F.col(f"c{docs.columns.index('doc_id')}").cast("long").alias("id"), "*")
     text = docs.columns.index("text") + 1
+    sent = spark.sparkContext.broadcast(flags)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Flagged rows, with their signatures. In one step: two would keep a Python worker each for every task."""
         for batch in batches:
-            for part in bounded.text_slices(batch, f"c{text - 1}", MAX_TEXTS):
+            batch = batch.filter(pa.array(_found(batch.column(0), sent.value)))
+            for part in bounded.text_slices(batch, f"c{text - 1}", MAX_TEXTS, SLICE):
                 sets, bounds = shingle_sets(part.column(text), width)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[pa.array(x) for x in _signatures(sets, bounds)], pa.array(np.diff(bounds))],
                     schema=pa.schema([*part.schema, ("sig1", pa.int64()), ("sig2", pa.int64()), ("size", pa.int64())]),
                 )
 
-    doubtful = _flagged(named, flags)
-    schema = T.StructType([*doubtful.schema, *[T.StructField(c, T.LongType()) for c in ("sig1", "sig2", "size")]])
-    doubtful = doubtful.mapInArrow(signed, schema)
+    schema = T.StructType([*named.schema, *[T.StructField(c, T.LongType()) for c in ("sig1", "sig2", "size")]])
+    doubtful = named.mapInArrow(signed, schema)
     first = doubtful.where("size > 0").join(stay.withColumnRenamed("doc_id", "id"), ["id", "sig1", "sig2"], "left_semi")
     first = first.dropDuplicates(["id", "sig1", "sig2"])
     kept = [_flagged(named, flags, False), doubtful.where("size = 0"), first]

@@ -168,3 +168,21 @@ def test_flags_are_the_buckets_that_occur(spark):
     frame = spark.createDataFrame([(i * 37 % 5000,) for i in range(300)], "b long").repartition(3)
     flags = jj.bounded.bucket_flags(frame, lambda batch: iter([batch.column(0).to_numpy()]), 18)
     assert np.flatnonzero(flags).tolist() == sorted(i * 37 % 5000 for i in range(300))
+
+
+def test_what_the_first_leaders_settled_is_not_compared_again(spark):
+    rows = [(1, 10, 0, 2), (1, 11, 1, 2), (2, 10, 1, 3), (2, 11, 0, 3), (2, 12, 2, 3)]
+    index = spark.createDataFrame(rows, "list long, node long, place int, df long")
+    links = spark.createDataFrame([(11, 10), (10, 10)], "node long, component long")
+    for components in (links, None):
+        left = jj._apart(index, components, 1).select("list", "node").collect()
+        assert sorted(map(tuple, left)) == [(2, 10), (2, 12)]
+    assert jj._apart(index, None, 0).count() == 5
+
+
+def test_a_task_of_one_of_each_needs_one_python_worker(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, text), (3, text + " more"), (9, None)], "doc_id long, text string")
+    plan = jj.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    # one for each of the three kinds of rows that stay
+    assert plan.split("== Initial Plan ==")[0].count("MapInArrow") == 3
