@@ -26,12 +26,15 @@ from ledgerloom.runtime import cut
 
 
 def with_cycle(pairs: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
-    """Keeps pairs within the window around the nearest due date and names their cycle."""
+    """Keeps pairs within the window around the nearest due date and names their cycle.
+
+    The date comes from a generator, whose result is a column. Written as an expression the optimizer would repeat it wherever
+    it is used, which makes methods of a size that Java does not compile.
+    """
     day = F.col("transaction_date")
-    due = dates.nearest_due_date(F.col("frequency"), F.col("due_month"), F.col("due_day"), day)
-    near = pairs.withColumn("due_date", due).where(
-        F.abs(F.datediff(day, F.col("due_date"))) <= cfg.match_window_days
-    )
+    for name, value in dates.nearest_due_steps(F.col("frequency"), F.col("due_month"), F.col("due_day"), day):
+        pairs = pairs.withColumn(name, F.explode(F.array(value)))
+    near = pairs.drop("_here", "_there").where(F.abs(F.datediff(day, F.col("due_date"))) <= cfg.match_window_days)
     return near.withColumn("cycle_period", dates.cycle_period(F.col("frequency"), F.col("due_date")))
 
 
@@ -41,19 +44,23 @@ def live_cycles(matches: DataFrame) -> DataFrame:
 
 
 def _first_per_cycle(pairs: DataFrame, matches: DataFrame, cfg: s.Settings) -> DataFrame:
-    """First arrival takes a (payment, cycle) without a live match; a minimum, so combined early."""
-    free = with_cycle(pairs, cfg).join(live_cycles(matches), ["payment_id", "cycle_period"], "left_anti")
-    first = free.groupBy("payment_id", "cycle_period").agg(
-        F.min(F.struct("transaction_id", "amount", "expected_amount", "is_trusted")).alias("first")
+    """First arrival takes a (payment, cycle) without a live match; a minimum, so combined early.
+
+    The columns of the first row are of fixed width each, as a struct of them could not be combined by hash. A cycle has a
+    live match or not for all of its rows alike, which is looked up once they are combined.
+    """
+    names = ("amount", "expected_amount", "is_trusted")
+    first = with_cycle(pairs, cfg).groupBy("payment_id", "cycle_period").agg(
+        F.min("transaction_id").alias("first_id"), *[F.min_by(c, "transaction_id").alias(c) for c in names]
     )
-    return first.select(
+    free = first.join(live_cycles(matches), ["payment_id", "cycle_period"], "left_anti")
+    status = match_status(F.col("is_trusted"), F.col("amount"), F.col("expected_amount"), cfg)
+    return free.select(
         "payment_id",
         "cycle_period",
-        "first.transaction_id",
-        F.col("first.amount").alias("amount_at_match"),
-        match_status(
-            F.col("first.is_trusted"), F.col("first.amount"), F.col("first.expected_amount"), cfg
-        ).alias("status"),
+        F.col("first_id").alias("transaction_id"),
+        F.col("amount").alias("amount_at_match"),
+        status.alias("status"),
     )
 
 

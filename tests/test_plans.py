@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import dates
 from ledgerloom.operators import categories as cats
 from ledgerloom.operators import dashboards as dash
 from ledgerloom.operators import filters as flt
 from ledgerloom.operators import fx, recurring, similarity
+from ledgerloom.settings import DEFAULTS
 from ledgerloom.sources.bindings import bind
 
 
@@ -72,3 +74,25 @@ def test_rates_join_by_equality(spark, sf_dir):
     windows = [line for line in text.splitlines() if "Window" in line and "currency" in line]
     assert all("rate_date" in line for line in windows)
     assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_due_dates_are_computed_once_and_first_rows_combined_by_hash(spark):
+    pairs = spark.sql(
+        """SELECT id AS transaction_id, date_add(DATE '2000-01-01', CAST(id % 800 AS INT)) AS transaction_date, CAST(id AS DECIMAL(18,2)) AS amount,
+        id % 7 AS payment_id, CAST(5 AS DECIMAL(18,2)) AS expected_amount, CASE WHEN id % 7 = 0 THEN 'annual' WHEN id % 7 < 6 THEN 'monthly' END AS frequency,
+        CASE WHEN id % 7 = 0 THEN 2 END AS due_month, CAST(31 - id % 7 AS INT) AS due_day, true AS is_trusted FROM range(5000)"""
+    )
+    matches = spark.createDataFrame([(1, "2000-02", "approved"), (2, "2000-02", "rejected")], "payment_id long, cycle_period string, status string")
+    first = recurring._first_per_cycle(pairs, matches, DEFAULTS)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("add_months") <= 2
+    assert "SortAggregate" not in first._jdf.queryExecution().sparkPlan().toString()
+    due = dates.nearest_due_date(F.col("frequency"), F.col("due_month"), F.col("due_day"), F.col("transaction_date"))
+    cycle = dates.cycle_period(F.col("frequency"), F.col("due"))
+    plain = pairs.withColumn("due", due).where("abs(datediff(transaction_date, due)) <= 5").select("payment_id", cycle.alias("cycle_period"), "transaction_id")
+    wanted = {}
+    for payment, period, row in plain.collect():
+        wanted[payment, period] = min(row, wanted.get((payment, period), row))
+    assert wanted.pop((1, "2000-02")) is not None
+    assert {(r.payment_id, r.cycle_period): r.transaction_id for r in first.collect()} == wanted
+    assert all(r.amount_at_match == r.transaction_id for r in first.collect())
