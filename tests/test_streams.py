@@ -110,3 +110,21 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         runtime.shared_dir(Session())
     Session.conf.get = staticmethod(lambda _key, default=None: "/shared/cp/")
     assert runtime.shared_dir(Session()) == "/shared/cp"
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for i in range(st.LISTERS + 30):
+        (tmp_path / "inbox" / f"box={i}").mkdir(parents=True)
+        (tmp_path / "inbox" / f"box={i}" / "a.txt").write_text(str(i))
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        listed = st.list_files(spark, str(tmp_path / "inbox"), "txt")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [stage for job in tracker.getJobIdsForGroup("listing") for stage in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(stage).numTasks for stage in stages) <= st.LISTERS
+    assert spark.conf.get(setting) == before
+    assert listed.count() == st.LISTERS + 30
