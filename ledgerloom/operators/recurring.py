@@ -29,7 +29,7 @@ def with_cycle(pairs: DataFrame, cfg: s.Settings = s.DEFAULTS) -> DataFrame:
     """Keeps pairs within the window around the nearest due date and names their cycle.
 
     The date comes from a generator, whose result is a column. Written as an expression the optimizer would repeat it wherever
-    it is used, which makes methods of a size that Java does not compile.
+    it is used.
     """
     day = F.col("transaction_date")
     for name, value in dates.nearest_due_steps(F.col("frequency"), F.col("due_month"), F.col("due_day"), day):
