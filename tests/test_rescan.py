@@ -4,7 +4,9 @@ import math
 import random
 from decimal import Decimal
 
+from ledgerloom import runtime
 from ledgerloom.functions.indel import lcs_lengths
+from ledgerloom.operators import rangefirst, similarity
 from ledgerloom.operators.similarity import rescan
 
 TEXTS = ["NORTH STAR COFFEE", "NORTH STAR COFFEES", "NORTH STAR TOFFEE", "GREEN GROCER", "GREEN GROCERS X"]
@@ -75,3 +77,27 @@ def test_two_kinds_of_evidence_in_job_order(spark):
     for r in [*rows, *jobs]:
         r["vector"] = None
     assert sorted(tuple(r) for r in plain) == brute(rows, jobs)
+
+
+def test_tables_with_a_row_per_question_or_job_are_not_sent_to_all_tasks(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return runtime.cut(df)
+
+    monkeypatch.setattr(similarity, "cut", noted)
+    monkeypatch.setattr(rangefirst, "cut", noted)
+    rng = random.Random(4)
+    rows, jobs = made(rng, 60, 0), made(rng, 25, 1000)
+    amount = "amount decimal(18,2)"
+    unsure = spark.createDataFrame([(r["id"], r["text"], Decimal(r["amount"])) for r in rows], f"transaction_id long, description string, {amount}")
+    corrected = spark.createDataFrame(
+        [(j["id"], j["id"], j["text"], Decimal(j["amount"]), j["category"], "manual") for j in jobs],
+        f"job_id long, transaction_id long, description string, {amount}, category_name string, category_source string",
+    )
+    found = rescan(unsure, corrected)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    # the join of similar texts is another operator's
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "MapInArrow" not in p]
