@@ -97,7 +97,9 @@ def test_tables_with_a_row_per_question_or_job_are_not_sent_to_all_tasks(spark,
         f"job_id long, transaction_id long, description string, {amount}, category_name string, category_source string",
     )
     found = rescan(unsure, corrected)
-    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    ledger = unsure.selectExpr("transaction_id", "'UNSURE' AS category", "'unsure' AS category_source")
+    for df in (found, similarity.apply_rescan(ledger, found)):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
     # the join of similar texts is another operator's
     assert sum("SortMergeJoin" in p for p in plans) > 5
     assert not [p for p in plans if "BroadcastHashJoin" in p and "MapInArrow" not in p]
