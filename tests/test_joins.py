@@ -248,3 +248,44 @@ def test_index_rows_are_sorted_by_the_hash_of_their_vector(spark, monkeypatch, a
         ids = [i for i, v in rows if tuple(v) == kind]
         want |= {(i, ids[0], n) for n, i in enumerate(ids[:4], 1)}
     assert {(r["id"], r["rep"], r["copy"]) for r in found.collect()} == want
+
+
+PAIRED = "id bigint, vector array<double>, category string, llm_category string"
+
+
+def listed(frame, threshold):
+    """(id, partner or -1, n_similar)."""
+    found = neighbours.similar_partners(frame, threshold).fillna(-1, ["partner"]).collect()
+    return sorted((r["id"], r["partner"], r["n_similar"]) for r in found)
+
+
+def test_all_pairs_are_listed_whatever_their_labels(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(neighbours, "COPIES_AT_ONCE", 4)
+    rng = np.random.default_rng(12)
+    kinds = [None, "UNSURE", "c0", "c1"]
+    rows = [(i, v, kinds[rng.integers(4)], kinds[rng.integers(4)]) for i, v in vectors(9, 120, 30)]
+    scores = cosine([(i, v) for i, v, *_ in rows])
+    want = []
+    for a in range(len(rows)):
+        near = []
+        for b in range(len(rows)):
+            same = any(rows[x][3] not in (None, "UNSURE") and rows[x][3] == rows[y][2] for x, y in ((a, b), (b, a)))
+            if a != b and min(1.0, scores[a, b] + (0.05 if same else 0.0)) >= 0.97 - 1e-12:
+                near.append(b)
+        want += [(a, b, len(near)) for b in near or [-1]]
+    assert listed(spark.createDataFrame(rows, PAIRED), 0.97) == sorted(want)
+
+
+def test_a_pair_at_the_threshold_itself_is_a_pair(spark):
+    # cosine 1/2 either time; divided by their lengths first, the vectors come to less
+    rows = [(1, [1.0, 0.0, 0.0, 1.0], "a", "a"), (2, [1.0, 1.0, 0.0, 0.0], "b", "b"), (3, [0.0, 0.0, 2.0, 0.0], "b", "b")]
+    frame = spark.createDataFrame(rows, PAIRED)
+    assert listed(frame, 0.5) == [(1, 2, 1), (2, 1, 1), (3, -1, 0)]
+    assert {tuple(sorted(r)) for r in neighbours.similar_links(frame, 0.5).collect()} == {(1, 2)}
+
+
+def test_a_vector_that_is_no_number_hides_no_pair(spark, small_blocks):
+    rows = [(i, v, "c", "UNSURE") for i, v in vectors(9, 120, 0)]
+    odd = [(1000, [float("nan"), 1.0, 1.0, 1.0, 1.0], "c", "UNSURE")]
+    plain = listed(spark.createDataFrame(rows, PAIRED), 0.97)
+    assert listed(spark.createDataFrame(rows + odd, PAIRED), 0.97) == [*plain, (1000, -1, 0)]
