@@ -289,3 +289,19 @@ def test_a_vector_that_is_no_number_hides_no_pair(spark, small_blocks):
     odd = [(1000, [float("nan"), 1.0, 1.0, 1.0, 1.0], "c", "UNSURE")]
     plain = listed(spark.createDataFrame(rows, PAIRED), 0.97)
     assert listed(spark.createDataFrame(rows + odd, PAIRED), 0.97) == [*plain, (1000, -1, 0)]
+
+
+def test_links_of_many_vectors_in_two_rounds(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(blocks, "SMALL_BLOCK_ROWS", 20)
+    rng = np.random.default_rng(3)
+    for spread, share in ((0.02, 1.0), (0.3, 0.0), (0.02, 0.8)):
+        dense = rng.random(240) < share
+        points = [(np.array([1.0, 0, 0, 0, 0]) if d else rng.normal(size=5)) + spread * rng.normal(size=5) for d in dense]
+        rows = [(i, v.tolist(), "c", "UNSURE") for i, v in enumerate(points)]
+        near = cosine([(i, v) for i, v, *_ in rows]) >= 0.97
+        label = np.arange(len(rows))
+        while (now := np.where(near, label[None, :], len(rows)).min(axis=1)).tolist() != label.tolist():
+            label = now
+        frame = spark.createDataFrame(rows, PAIRED)
+        found = {r["node"]: r["component"] for r in components.connected_components(neighbours.similar_links(frame, 0.97)).collect()}
+        assert found == {a: label[a] for a in range(len(rows)) if near[a].sum() > 1}
