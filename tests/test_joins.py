@@ -305,3 +305,21 @@ def test_links_of_many_vectors_in_two_rounds(spark, small_blocks, monkeypatch):
         frame = spark.createDataFrame(rows, PAIRED)
         found = {r["node"]: r["component"] for r in components.connected_components(neighbours.similar_links(frame, 0.97)).collect()}
         assert found == {a: label[a] for a in range(len(rows)) if near[a].sum() > 1}
+
+
+@pytest.mark.parametrize("few", [0.0, 1.0])
+def test_the_best_of_a_tile_are_the_same_with_few_and_many_hits(monkeypatch, few):
+    monkeypatch.setattr(neighbours, "FEW", few)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(300, 8))
+    points = np.concatenate([points, 2 * points[:40]])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    side = pd.DataFrame({"rep": np.arange(len(points))})
+    tiles = iter([(np.arange(100), np.arange(340)), (np.arange(100, 340), np.arange(50, 300))])
+    found = neighbours._top_kernel(3, 0.8)(side, side, points, points, tiles)
+    want = []
+    for rows, cols in ((range(100), range(340)), (range(100, 340), range(50, 300))):
+        for i in rows:
+            near = sorted((-round(float(points[i] @ points[j]), 12), j) for j in cols if points[i] @ points[j] >= 0.8)
+            want += [(i, j) for _, j in near[:3]]
+    assert sorted(zip(found["q_rep"], found["i_rep"], strict=True)) == sorted(want)

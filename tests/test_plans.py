@@ -96,3 +96,15 @@ def test_due_dates_are_computed_once_and_first_rows_combined_by_hash(spark):
     assert wanted.pop((1, "2000-02")) is not None
     assert {(r.payment_id, r.cycle_period): r.transaction_id for r in first.collect()} == wanted
     assert all(r.amount_at_match == r.transaction_id for r in first.collect())
+
+
+def test_vectors_are_searched_once_by_categorize(spark):
+    rows = [(1, "A SHOP", 5, "UNSURE", [1.0, 0.0]), (2, "B SHOP", 5, "UNSURE", [0.0, 1.0])]
+    incoming = spark.createDataFrame(rows, "transaction_id long, description string, amount int, llm_category string, vector array<float>")
+    incoming = incoming.withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    candidates = incoming.selectExpr("transaction_id + 10 AS transaction_id", "description", "amount", "'X' AS category_name", "'llm' AS category_source")
+    index = incoming.selectExpr("transaction_id + 10 AS id", "vector")
+    decided = similarity.categorize(incoming, candidates, index)
+    # the search is behind a stored table, which the open rows and the outcome read
+    assert "InPandas" not in plan(decided)
+    assert sorted((r["transaction_id"], r["precedent_id"]) for r in decided.collect()) == [(1, 11), (2, 12)]
