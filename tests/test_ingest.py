@@ -131,3 +131,16 @@ def test_many_questions_of_few_texts_stay_where_they_are(spark):
     assert found.count() == 20_000 and {r["item"]["order"] for r in found.select("item").distinct().collect()} == {0}
     joined = [p for p in stored if "Join" in p]
     assert joined and all("BuildLeft" not in p for p in joined)
+
+
+def test_a_round_of_a_run_joins_rows_with_what_they_may_follow_only(spark, monkeypatch):
+    """What does not change from round to round stands in one table, the decisions of the round before in one more."""
+    plans = []
+    monkeypatch.setattr(similarity, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = [(f"f#{i}", "ACME", "A" if i == 1 else "UNSURE") for i in range(4)]
+    incoming = spark.createDataFrame(rows, "transaction_id string, description string, llm_category string").selectExpr("*", "5.0BD AS amount")
+    candidates = incoming.selectExpr("1L AS transaction_id", "'OTHER SHOP' AS description", "amount", "'B' AS category_name", "'llm' AS category_source").limit(1)
+    found = {r["transaction_id"]: (r["source"], r["precedent_id"]) for r in categorize_run(incoming, candidates).collect()}
+    assert found == {"f#0": ("unsure", None), "f#1": ("llm", None), "f#2": ("similarity", "f#1"), "f#3": ("similarity", "f#1")}
+    last = plans[-1]
+    assert last.count("SortMergeJoin") + last.count("BroadcastHashJoin") == 2
